@@ -35,8 +35,8 @@ def recode(c: Column, mapping: dict[str, str], default: str | None = "unclear")
 
 def term_pattern(term: str) -> str:
     """A wildcard phrase as a word-bounded pattern; ``*`` stands for any word characters."""
-    parts = [re.escape(w).replace(r"\*", r"\w*") for w in term.lower().split()]
-    return r"\b" + r"[\s-]+".join(parts) + r"\b"
+    parts = [re.escape(w).replace(r"\*", r"[\p{L}\p{N}_]*") for w in term.lower().split()]
+    return r"(?<![\p{L}\p{N}_])" + r"[\s-]+".join(parts) + r"(?![\p{L}\p{N}_])"
 
 
 def group_pattern(terms: list[str]) -> str:

@@ -37,8 +37,23 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(a for a, _ in one) + "".join(gone), "".join(b for _, b in one), many
 
 
+def _ranges(chars: list[str], gap: int) -> str:
+    """A regex class that covers ``chars``; code points closer than ``gap`` share a range."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and cp - runs[-1][1] <= gap:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def fold_accents(c: Column) -> Column:
-    """NFKD without combining marks, for every character that decomposes to ASCII letters or digits."""
+    """NFKD without combining marks, for every character that decomposes to ASCII letters or digits.
+
+    One ``translate`` does the work. Only texts that may hold a character that expands to several
+    (a coarse class test, then a finer one) take the character-by-character path.
+    """
     src, dst, many = _fold_tables()
     table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     expanded = F.array_join(
@@ -46,7 +61,8 @@ def fold_accents(c: Column) -> Column:
                     lambda ch: F.coalesce(F.try_element_at(table, ch), ch)),
         "",
     )
-    return F.translate(F.when(c.rlike("[" + "".join(many) + "]"), expanded).otherwise(c), src, dst)
+    rare = c.rlike(_ranges(list(many), 0x60)) & c.rlike(_ranges(list(many), 2))
+    return F.translate(F.when(rare, expanded).otherwise(c), src, dst)
 
 
 def normalize_title(c: Column) -> Column:
@@ -193,6 +209,20 @@ def canonical_url(c: Column) -> Column:
     return F.concat(url_host(c), F.regexp_replace(path, r"(\.html?)?/*$", ""))
 
 
+def normalize_entity(c: Column, synonyms: list[tuple[str, str]], prefixes: list[str] = (),
+                     qualifiers: list[str] = (), missing: str = "NR") -> Column:
+    """Canonical entity name: prefixes off, first synonym that matches, else qualifiers off and squeezed."""
+    s = strip(F.coalesce(c, F.lit("")))
+    for p in prefixes:
+        s = F.regexp_replace(s, "(?i)^" + p, "")
+    plain = F.regexp_replace(s, r"(?i)\b(" + "|".join(qualifiers) + r")\b", "") if qualifiers else s
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"^[ ,;-]+|[ ,;-]+$", "")
+    out = F.when((s == "") | s.isin(*fv.MISSING_CODES), F.when(s == "", missing).otherwise(s))
+    for pattern, name in synonyms:
+        out = out.when(s.rlike("(?i)^(?:" + pattern + ")"), name)
+    return out.otherwise(F.when(plain == "", missing).otherwise(plain))
+
+
 def labelled_note(parts: list[tuple[str, Column]], sep: str = " | ") -> Column:
     """``label: text`` parts joined by ``sep``; blank parts are left out."""
     return F.concat_ws(sep, *[F.when(strip(c) != "", F.concat(F.lit(f"{label}: "), strip(c))) for label, c in parts])

@@ -123,8 +123,8 @@ def version_pairs(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFr
     The authors must share a surname, or one side has no authors. The result is the pairs themselves.
     Rows meet on title, window and surname; a preprint meets only records it may be a version of.
     """
-    rows = _in_windows(records.where(F.col("doi_norm") != "")
-                       .select("idx", "title_norm", "year_norm", "doi_norm", "preprint", "author_tokens"), year_tol)
+    rows = _in_windows(records.select("idx", "title_norm", "year_norm", "doi_norm", "preprint", "author_tokens"),
+                       year_tol).where("doi_norm <> ''")
     unknown = F.size("author_tokens") == 0
     tokened = rows.withColumn("unknown", unknown).withColumn(
         "token", F.explode(F.when(unknown, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), "author_tokens"))))
