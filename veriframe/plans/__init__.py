@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "dedup"]
+MODULES = ["text", "dedup", "raters", "joins", "tables"]
 
 
 def load_all() -> None:

@@ -108,8 +108,8 @@ def dedup_audit_map(t):
 
 @query(f"""WITH RECURSIVE {REC_SQL},
 m AS (SELECT rec.*, g, CASE WHEN rec.idx = rep THEN -1 ELSE rec.idx END AS pos FROM rec JOIN grp USING (idx) JOIN repx USING (g)),
-l AS (SELECT g, string_agg(db, ';' ORDER BY at) AS source_database FROM (SELECT g, db, min(idx) AS at FROM m GROUP BY 1, 2) GROUP BY 1),
-l2 AS (SELECT g, string_agg(lang, ';' ORDER BY at) AS route FROM (SELECT g, lang, min(idx) AS at FROM m GROUP BY 1, 2) GROUP BY 1)
+l AS (SELECT g, string_agg(db, ';' ORDER BY first_at) AS source_database FROM (SELECT g, db, min(idx) AS first_at FROM m GROUP BY 1, 2) GROUP BY 1),
+l2 AS (SELECT g, string_agg(lang, ';' ORDER BY first_at) AS route FROM (SELECT g, lang, min(idx) AS first_at FROM m GROUP BY 1, 2) GROUP BY 1)
 SELECT ids.record_id, any_value(l.source_database) AS source_database, any_value(l2.route) AS route, coalesce(arg_min(title, pos) FILTER (WHERE title <> ''), '') AS title,
   coalesce(arg_min(lang || ', A. B.', pos) FILTER (WHERE NOT no_authors), '') AS authors, CAST(arg_min(year, pos) AS VARCHAR) AS year, arg_min(journal, pos) AS journal,
   coalesce(arg_min(doi, pos) FILTER (WHERE doi <> ''), '') AS doi, coalesce(arg_min(pmid, pos) FILTER (WHERE pmid <> ''), '') AS pmid,
