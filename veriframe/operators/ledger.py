@@ -9,12 +9,11 @@ from ..functions.stats import ratio
 from .ordered import previous
 
 
-def attempt_rollup(log: DataFrame, key: str, order: list[str], route: str, outcome: str, ok: list[str],
-                   max_parts: int = 1000) -> DataFrame:
+def attempt_rollup(log: DataFrame, key: str, order: list[str], route: str, outcome: str, ok: list[str]) -> DataFrame:
     """Per item: the attempts in order as ``route->outcome``, how many, the last outcome and a verdict.
 
-    Attempts are first folded into runs of at most ``max_parts`` consecutive ones, so that no task
-    collects single rows of an item with very many attempts.
+    The attempts of an item are sorted in 64 salted parts before the parts are merged into its one
+    line of text.
     """
     step = F.concat_ws("->", route, outcome)
     part = F.pmod(F.xxhash64(*order), F.lit(64))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.stats import ratio
 
-ONE = F.lit(1)
+
 
 
 def grouped_counts(df: DataFrame, by: dict[str, str], with_field: list[str] = ()) -> DataFrame:
     """Counts per label; a blank label is counted under its stand-in. ``with_field`` adds filled counts."""
     cols = [F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit(blank)).alias(c) for c, blank in by.items()]
-    return df.groupBy(*cols).agg(F.count(ONE).alias("n"), *[
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), *[
         F.count_if(F.col(f).isNotNull() & (F.col(f).cast("string") != "")).alias(f"with_{f}") for f in with_field])
 
 
@@ -23,12 +23,12 @@ def multi_value_counts(df: DataFrame, cell: Column, sep: str = ";", blank: str =
     """A row counts once for every value its cell lists."""
     items = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), sep), F.trim), lambda x: x != ""))
     items = F.when(F.size(items) == 0, F.array(F.lit(blank))).otherwise(items)
-    return df.select(F.explode(items).alias("value")).groupBy("value").agg(F.count(ONE).alias("n"))
+    return df.select(F.explode(items).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def two_unit_counts(df: DataFrame, dims: list[str], units: dict[str, str]) -> DataFrame:
     """Rows and distinct units per cell; every unit is counted separately."""
-    return df.groupBy(*dims).agg(F.count(ONE).alias("n_rows"), *[F.count_distinct(c).alias(n) for n, c in units.items()])
+    return df.groupBy(*dims).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(c).alias(n) for n, c in units.items()])
 
 
 def _labels(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
@@ -62,8 +62,8 @@ def strata_table(df: DataFrame, strata: dict[str, list[str]], unit: str, conditi
 
 def inventory(df: DataFrame, dims: list[str], unit: str, raw: str) -> DataFrame:
     """Per cell: rows, distinct units, distinct raw-name variants and the variants, most units first."""
-    variants = df.groupBy(*dims, raw).agg(F.count(ONE).alias("_n"))
-    names = variants.groupBy(*dims).agg(F.sum("_n").alias("n_rows"), F.count(ONE).alias("n_variants"),
+    variants = df.groupBy(*dims, raw).agg(F.count(F.lit(1)).alias("_n"))
+    names = variants.groupBy(*dims).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_variants"),
                                         F.array_join(F.array_sort(F.collect_list(raw)), ";").alias("variants"))
     units = df.groupBy(*dims).agg(F.count_distinct(unit).alias("n_units"))
     return names.join(units, dims).orderBy(F.desc("n_units"), *dims)
@@ -71,7 +71,7 @@ def inventory(df: DataFrame, dims: list[str], unit: str, raw: str) -> DataFrame:
 
 def type_tally(df: DataFrame, entity: str, kind: str, example: Column, order: list[str]) -> DataFrame:
     """``kind(n);kind(n)`` per entity and its first example by order."""
-    per = df.groupBy(entity, kind).agg(F.count(ONE).alias("n"), F.min_by(example, F.struct(*order)).alias("_e"),
+    per = df.groupBy(entity, kind).agg(F.count(F.lit(1)).alias("n"), F.min_by(example, F.struct(*order)).alias("_e"),
                                        F.min(F.struct(*order)).alias("_o"))
     return per.groupBy(entity).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind, "n"))),
@@ -87,13 +87,13 @@ def share_table(spark: SparkSession, label: str, labels: list[str], columns: dic
     out = _labels(spark, label, [*labels, "DENOMINATOR"])
     for name, (df, cell) in columns.items():
         tagged = df.select(F.explode(F.concat(F.array_distinct(cell), F.array(F.lit("DENOMINATOR")))).alias(label))
-        n = tagged.groupBy(label).agg(F.count(ONE).alias(name))
+        n = tagged.groupBy(label).agg(F.count(F.lit(1)).alias(name))
         out = out.join(n, label, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     # The table has one row per fixed label, so one window over all of it is small.
     whole = W.partitionBy(F.lit(1))
     for name in columns:
         den = F.max(F.when(F.col(label) == "DENOMINATOR", F.col(name))).over(whole)
-        out = out.withColumn(f"{name}_pct", F.when(F.col(label) != "DENOMINATOR", F.round(100 * ratio(F.col(name), den), 1)))
+        out = out.withColumn(f"{name}_pct", F.when(F.col(label) != "DENOMINATOR", F.round(ratio(100 * F.col(name), den), 1)))
     return out
 
 
@@ -108,14 +108,14 @@ def field_profile(df: DataFrame, fields: list[str], vocab: dict[str, list[str]]
                                                           else F.array(F.col(f).cast("string"))).alias("vals")) for f in fields])
     long = df.select(F.explode(cells).alias("c")).select("c.field", F.explode_outer("c.vals").alias("value"))
     # Equal cells are counted before the shuffle.
-    g = long.groupBy("field", "value").agg(F.count(ONE).alias("n"))
+    g = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     v = F.col("value")
     outside = F.lit(False)
     for f, allowed in vocab.items():
         outside = outside | ((F.col("field") == f) & ~F.coalesce(v.isin(allowed), F.lit(False)))
-    pct = lambda cond: F.round(100 * ratio(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)), F.sum("n")), 1)
+    pct = lambda cond: F.round(ratio(100 * F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)), F.sum("n")), 1)
     return g.groupBy("field").agg(
-        F.sum("n").alias("n_cells"), F.count(ONE).alias("n_distinct"),
+        F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_distinct"),
         *[pct(v == code).alias(f"pct_{code.lower()}") for code in fv.MISSING_CODES],
         pct(F.trim(v).rlike(r"^-?\d+(\.\d+)?$")).alias("pct_numeric"),
         F.when(F.col("field").isin(list(vocab)), pct(outside)).alias("pct_outside"))
@@ -128,7 +128,7 @@ def cardinality_histogram(df: DataFrame, group: str, unit: str, bands: list[tupl
     for lo, hi, name in bands:
         cond = (F.col("k") >= lo) & ((F.col("k") <= hi) if hi else F.lit(True))
         label = F.when(cond, name) if label is None else label.when(cond, name)
-    return sizes.groupBy(label.alias("band")).agg(F.count(ONE).alias("n_groups"))
+    return sizes.groupBy(label.alias("band")).agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 def groups_with_several(df: DataFrame, family: str, group: str, category: str, least: int = 2) -> DataFrame:
@@ -148,7 +148,7 @@ def percentiles(df: DataFrame, value: str, by: list[str] = (), qs: dict[str, flo
     """Median, p90, minimum and maximum. Exact, or approximate with a bounded sketch when ``accuracy`` is given."""
     qs = qs or {"median": 0.5, "p90": 0.9}
     q = (lambda p: F.percentile_approx(value, p, accuracy)) if accuracy else (lambda p: F.percentile(value, p))
-    return df.groupBy(*by).agg(F.count(ONE).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
                                *[q(p).alias(n) for n, p in qs.items()])
 
 
@@ -165,10 +165,10 @@ def metric_rows(parts: list[tuple[str, DataFrame, Column, Column | None]]) -> Da
 
 def first_form(df: DataFrame, text: str, order: str) -> DataFrame:
     """First-seen spelling of each case-folded value."""
-    return df.groupBy(F.lower(text).alias("folded")).agg(F.min_by(text, order).alias("display"), F.count(ONE).alias("n"))
+    return df.groupBy(F.lower(text).alias("folded")).agg(F.min_by(text, order).alias("display"), F.count(F.lit(1)).alias("n"))
 
 
 def fill_report(df: DataFrame, source: str, route: str) -> DataFrame:
     """Filled and still missing rows per source and route."""
     return df.groupBy(source, F.coalesce(F.when(F.col(route) != "", F.col(route)), F.lit("still_missing")).alias(route)).agg(
-        F.count(ONE).alias("n"))
+        F.count(F.lit(1)).alias("n"))

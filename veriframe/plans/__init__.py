@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text", "dedup", "raters", "joins", "tables"]
+MODULES = ["text", "dedup", "raters", "joins", "tables", "versions", "sources"]
 
 
 def load_all() -> None:
