@@ -86,8 +86,9 @@ def locate_on_page(quotes: DataFrame, pages: DataFrame, key: str, doc: str, page
     q = quotes.select(key, doc, page, tx.normalize_quote(F.col(quote)).alias("_q"), tx.bigrams(tx.words(F.col(quote))).alias("_g"))
     p = pages.select(doc, F.col(page).alias("_p"), tx.normalize_quote(tx.dehyphenate(F.col(text))).alias("_t"),
                      tx.bigrams(tx.words(F.col(text))).alias("_pg"))
-    exact = F.contains("_t", "_q").alias("exact")
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect("_g", "_pg")), F.size("_g")), F.lit(0.0))
+    exact = F.contains("_t", "_q")
+    # Pairs are only compared where the text itself is not found.
+    share = F.when(exact, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect("_g", "_pg")), F.size("_g")), F.lit(0.0)))
     near = (q.withColumn("_p", F.explode(F.array(F.col(page) - 1, F.col(page), F.col(page) + 1)))
             .join(p, [doc, "_p"]).groupBy(key)
             .agg(F.max(exact).alias("exact"), F.max(share).alias("share")))

@@ -35,11 +35,11 @@ def annotate(records: DataFrame) -> DataFrame:
     )
 
 
-def exact_edges(records: DataFrame, key: str, rule: str) -> DataFrame:
+def exact_edges(records: DataFrame, key: str, rule: str, total: int | None = None) -> DataFrame:
     """Star edges from the least index of each key to its other rows."""
     keyed = records.where(F.col(key) != "").select("idx", key)
     groups = keyed.groupBy(key).agg(F.min("idx").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (attach_per_key(keyed, groups, [key], "n").where("idx <> src")
+    return (attach_per_key(keyed, groups, [key], "n", total=total).where("idx <> src")
             .select("src", F.col("idx").alias("dst"), F.lit(rule).alias("rule"), F.lit(None).cast("double").alias("score")))
 
 
@@ -75,15 +75,15 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(turned)
 
 
-def _in_windows(records: DataFrame, year_tol: int) -> DataFrame:
+def _in_windows(records: DataFrame, year_tol: int, total: int | None = None) -> DataFrame:
     """Records with their title id, once per year window. Records sharing a window are within the tolerance."""
     ids = title_table(records).select(F.col("title").alias("title_norm"), "title_id", F.col("n_rows").alias("title_rows"))
     rows = records.where((F.col("title_norm") != "") & F.col("year_norm").isNotNull())
-    return (attach_per_key(rows, ids, ["title_norm"], "title_rows").drop("title_rows")
+    return (attach_per_key(rows, ids, ["title_norm"], "title_rows", total=total).drop("title_rows")
             .withColumn("win", F.explode(F.sequence(F.col("year_norm") - year_tol, F.col("year_norm")))))
 
 
-def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFrame:
+def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int, total: int | None = None) -> DataFrame:
     """Edges that join every non-conflicting pair of records with similar titles, without listing the pairs.
 
     Two records conflict when both have a DOI and they differ, or both have a PMID and they differ.
@@ -93,7 +93,7 @@ def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFram
     the number of edges is linear in the records, and components and best scores are those of all pairs.
     """
     rows = _in_windows(records.select("idx", "title_norm", "year_norm", _kind(F.col("doi_norm"), F.col("pmid_norm"))
-                                      .alias("kind")), year_tol)
+                                      .alias("kind")), year_tol, total)
     heads = rows.groupBy("title_id", "win").agg(
         F.min("idx").alias("any_"),
         F.min(F.when(F.col("kind") == "none", F.col("idx"))).alias("none_"),
@@ -109,7 +109,8 @@ def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFram
                .when(F.col("kind") == "D", F.array("none_", "p_"))
                .when(F.col("kind") == "P", F.array("none_", "d_"))
                .otherwise(F.array("none_")))
-    return (attach_per_key(rows.select("idx", "kind", "title_id", "win"), partners, ["title_id", "win"], "n")
+    return (attach_per_key(rows.select("idx", "kind", "title_id", "win"), partners, ["title_id", "win"], "n",
+                           total=total and total * (year_tol + 1))
             .select("idx", "score", F.explode(targets).alias("to"))
             .where(F.col("to").isNotNull() & (F.col("to") != F.col("idx")))
             .select(F.least("idx", "to").alias("src"), F.greatest("idx", "to").alias("dst"),
@@ -117,14 +118,14 @@ def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFram
             .groupBy("src", "dst", "rule").agg(F.max("score").alias("score")))
 
 
-def version_pairs(records: DataFrame, pairs: DataFrame, year_tol: int) -> DataFrame:
+def version_pairs(records: DataFrame, pairs: DataFrame, year_tol: int, total: int | None = None) -> DataFrame:
     """Similar titles kept apart by differing DOIs where one side looks like a preprint.
 
     The authors must share a surname, or one side has no authors. The result is the pairs themselves.
     Rows meet on title, window and surname; a preprint meets only records it may be a version of.
     """
     rows = _in_windows(records.select("idx", "title_norm", "year_norm", "doi_norm", "preprint", "author_tokens"),
-                       year_tol).where("doi_norm <> ''")
+                       year_tol, total).where("doi_norm <> ''")
     unknown = F.size("author_tokens") == 0
     tokened = rows.withColumn("unknown", unknown).withColumn(
         "token", F.explode(F.when(unknown, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), "author_tokens"))))
@@ -151,18 +152,19 @@ def best_rules(edges: DataFrame) -> DataFrame:
                     .otherwise(F.col("r.rule")).alias("match_rule")))
 
 
-def _split_conflicts(grouped: DataFrame, key: str) -> DataFrame:
+def _split_conflicts(grouped: DataFrame, key: str, total: int | None) -> DataFrame:
     """Give each distinct identifier of a group its own group; blank ones stay with the group's least row."""
     keyed = grouped.withColumn("_k", F.when(F.col(key) != "", F.col(key)))
     heads = keyed.groupBy("group_idx").agg(F.min_by("_k", F.when(F.col("_k").isNotNull(), F.col("idx"))).alias("_first"),
                                            F.count(F.lit(1)).alias("_n"))
-    sub = attach_per_key(keyed, heads, ["group_idx"], "_n").withColumn("_s", F.coalesce("_k", "_first", F.lit("")))
+    sub = attach_per_key(keyed, heads, ["group_idx"], "_n", total=total).withColumn("_s", F.coalesce("_k", "_first", F.lit("")))
     new = sub.groupBy("group_idx", "_s").agg(F.min("idx").alias("_g"), F.count(F.lit(1)).alias("_m"))
-    return (attach_per_key(sub, new, ["group_idx", "_s"], "_m")
+    return (attach_per_key(sub, new, ["group_idx", "_s"], "_m", total=total)
             .select("idx", F.col("_g").alias("group_idx"), *[c for c in grouped.columns if c not in ("idx", "group_idx")]))
 
 
-def group_records(records: DataFrame, edges: DataFrame, conflict_policy: str = "reference") -> DataFrame:
+def group_records(records: DataFrame, edges: DataFrame, conflict_policy: str = "reference",
+                  total: int | None = None) -> DataFrame:
     """``(idx, group_idx)``; a record without a match is its own group.
 
     ``reference`` keeps transitive merges even if identifiers then differ inside a group; ``strict``
@@ -172,7 +174,7 @@ def group_records(records: DataFrame, edges: DataFrame, conflict_policy: str = "
     out = (records.select("idx", "doi_norm", "pmid_norm").join(comp, F.col("idx") == F.col("node"), "left")
            .select("idx", F.coalesce("component", "idx").alias("group_idx"), "doi_norm", "pmid_norm"))
     if conflict_policy == "strict":
-        out = _split_conflicts(_split_conflicts(out, "doi_norm"), "pmid_norm")
+        out = _split_conflicts(_split_conflicts(out, "doi_norm", total), "pmid_norm", total)
     elif conflict_policy != "reference":
         raise ValueError(f"conflict_policy must be 'reference' or 'strict', not {conflict_policy!r}")
     return out.select("idx", "group_idx")
@@ -251,12 +253,13 @@ def deduplicate(records: DataFrame, threshold: float = fv.FUZZY_THRESHOLD, year_
     year, journal, authors, abstract, pubtypes.
     """
     notes = cut_lineage(annotate(records))
+    total = notes.count()  # from the file footers; says whether any key can be hot at all
     pairs = cut_lineage(title_pairs(notes, threshold, year_tol, metric))
-    edges = cut_lineage(exact_edges(notes, "pmid_norm", "pmid")
-                        .unionByName(exact_edges(notes, "doi_norm", "doi"))
-                        .unionByName(fuzzy_edges(notes, pairs, year_tol)))
-    groups = cut_lineage(group_records(notes, edges, conflict_policy))
-    flagged = version_pairs(notes, pairs, year_tol)
+    edges = cut_lineage(exact_edges(notes, "pmid_norm", "pmid", total)
+                        .unionByName(exact_edges(notes, "doi_norm", "doi", total))
+                        .unionByName(fuzzy_edges(notes, pairs, year_tol, total)))
+    groups = cut_lineage(group_records(notes, edges, conflict_policy, total))
+    flagged = version_pairs(notes, pairs, year_tol, total)
 
     golden = record_ids(golden_records(notes, groups))
     lists = listed_values(notes, groups, LISTED_FIELDS)
@@ -269,7 +272,7 @@ def deduplicate(records: DataFrame, threshold: float = fv.FUZZY_THRESHOLD, year_
         F.col("record_id").alias("dedup_group_id"), blank.alias("dedup_status"), blank.alias("retained_record_id"))
 
     ids = golden.select("group_idx", "rep_idx", "record_id", "group_rows")
-    member = attach_per_key(groups, ids, ["group_idx"], "group_rows")
+    member = attach_per_key(groups, ids, ["group_idx"], "group_rows", total=total)
     rules = best_rules(edges)
     flag_side = flagged.select("a", "b", "score").unionByName(
         flagged.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))

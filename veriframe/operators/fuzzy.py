@@ -64,6 +64,8 @@ def similar_titles(titles: DataFrame, metric: str, threshold: float) -> DataFram
 
     ``titles`` has ``title_id`` (unique), ``block`` and ``title`` (distinct within its block).
     """
+    if threshold <= 2 / 3:
+        raise ValueError("the segment argument needs a threshold above 2/3")
     t = titles.withColumn("len", F.length("title")).where("len > 0")
     pairs = (_index_signatures(t, metric, threshold)
              .join(_probe_signatures(t, metric, threshold), ["block", "len", "seg", "piece"])

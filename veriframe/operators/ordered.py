@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+KEY = "_key"
 
 
 def id_bucket(c: str, width: int = 65536) -> Column:
@@ -20,54 +21,49 @@ def id_bucket(c: str, width: int = 65536) -> Column:
     return F.floor(F.col(c) / width)
 
 
-def _carry(df: DataFrame, keys: list[str], aggs: list[Column], group: list[str], name: str, carried: Column,
-           ) -> DataFrame:
+def _keyed(df: DataFrame, group: list[str], bucket: Column) -> DataFrame:
+    """Add the group and bucket as one struct. A struct with NULL fields equals its like, so that grouping,
+    window and join share one partitioning and NULL keys are kept."""
+    return df.withColumn(KEY, F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], bucket.alias("b")))
+
+
+def _carry(df: DataFrame, aggs: list[Column], n_group: int, name: str, carried: Column) -> DataFrame:
     """Join per-bucket summaries, combined over the earlier buckets of the group, back to the rows."""
-    per_bucket = df.groupBy(*keys).agg(*aggs)
-    if group:
-        before = W.partitionBy(*group).orderBy(BUCKET)
-    else:
-        per_bucket = per_bucket.withColumn("_all", F.lit(0))
-        before = W.partitionBy("_all").orderBy(BUCKET)
-    summary = per_bucket.withColumn(name, carried.over(before.rowsBetween(W.unboundedPreceding, -1)))
-    right = summary.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], name)
-    cond = [df[k].eqNullSafe(right[f"_r{i}"]) for i, k in enumerate(keys)]
-    return df.join(right, cond, "left").drop(*[f"_r{i}" for i in range(len(keys))])
+    groups = [F.col(f"{KEY}.g{i}") for i in range(n_group)] or [F.lit(0)]
+    before = W.partitionBy(*groups).orderBy(f"{KEY}.b").rowsBetween(W.unboundedPreceding, -1)
+    summary = df.groupBy(KEY).agg(*aggs).select(KEY, carried.over(before).alias(name))
+    # The first bucket of a group carries nothing, so groups of one bucket do not enter the join.
+    return df.join(summary.where(F.col(name).isNotNull()), KEY, "left")
 
 
 def row_numbers(df: DataFrame, order_by: list, bucket: Column, group: list[str] | None = None,
                 name: str = "rn") -> DataFrame:
     """``row_number() over (partition by group order by order_by)`` without one task per group."""
     group = group or []
-    keys = [*group, BUCKET]
-    base = df.withColumn(BUCKET, bucket)
-    out = _carry(base, keys, [F.count(F.lit(1)).alias("_n")], group, "_offset", F.sum("_n"))
-    local = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by))
-    return out.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + local).drop(BUCKET, "_offset")
+    out = _carry(_keyed(df, group, bucket), [F.count(F.lit(1)).alias("_n")], len(group), "_offset", F.sum("_n"))
+    local = F.row_number().over(W.partitionBy(KEY).orderBy(*order_by))
+    return out.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + local).drop(KEY, "_offset")
 
 
 def running_sum(df: DataFrame, value: Column, order_by: list, bucket: Column, group: list[str] | None = None,
                 name: str = "running") -> DataFrame:
     """Running total up to and including the current row."""
     group = group or []
-    keys = [*group, BUCKET]
-    base = df.withColumn(BUCKET, bucket).withColumn("_v", value)
-    out = _carry(base, keys, [F.sum("_v").alias("_s")], group, "_offset", F.sum("_s"))
-    local = F.sum("_v").over(W.partitionBy(*keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
+    base = _keyed(df.withColumn("_v", value), group, bucket)
+    out = _carry(base, [F.sum("_v").alias("_s")], len(group), "_offset", F.sum("_s"))
+    local = F.sum("_v").over(W.partitionBy(KEY).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
     total = F.coalesce(F.col("_offset"), F.lit(0)) + F.coalesce(local, F.lit(0))
-    return out.withColumn(name, total).drop(BUCKET, "_offset", "_v")
+    return out.withColumn(name, total).drop(KEY, "_offset", "_v")
 
 
 def previous(df: DataFrame, value: str, order_by: list[str], bucket: Column, group: list[str] | None = None,
              name: str = "prev") -> DataFrame:
     """``lag(value)`` in order, across bucket borders. ``value`` itself must not be NULL."""
     group = group or []
-    keys = [*group, BUCKET]
-    base = df.withColumn(BUCKET, bucket)
     last = F.max_by(F.col(value), F.struct(*order_by)).alias("_last")
-    out = _carry(base, keys, [last], group, "_before", F.last("_last", ignorenulls=True))
-    local = F.lag(value).over(W.partitionBy(*keys).orderBy(*order_by))
-    return out.withColumn(name, F.coalesce(local, F.col("_before"))).drop(BUCKET, "_before")
+    out = _carry(_keyed(df, group, bucket), [last], len(group), "_before", F.last("_last", ignorenulls=True))
+    local = F.lag(value).over(W.partitionBy(KEY).orderBy(*order_by))
+    return out.withColumn(name, F.coalesce(local, F.col("_before"))).drop(KEY, "_before")
 
 
 def take_smallest(df: DataFrame, quota: DataFrame, group: list[str], order_by: list[str], bucket: Column,
