@@ -123,3 +123,13 @@ ADJUDICATION_SEED = 20261008
 
 # Share of quote bigrams that must occur for a loose containment match.
 BIGRAM_SHARE = 0.75
+
+# Link templates of a record.
+DOI_LINK = "https://doi.org/"
+PMID_LINK = "https://pubmed.ncbi.nlm.nih.gov/"
+MIRROR_PMID_LINK = "https://europepmc.org/article/MED/"
+MIRROR_DOI_LINK = "https://europepmc.org/abstract/DOI/"
+TITLE_SEARCH_LINK = "https://scholar.google.com/scholar?q="
+
+# Fixed value: blocks above this many records are reported. They are matched like any other block.
+LARGE_BLOCK = 2000

@@ -228,11 +228,30 @@ def labelled_note(parts: list[tuple[str, Column]], sep: str = " | ") -> Column:
     return F.concat_ws(sep, *[F.when(strip(c) != "", F.concat(F.lit(f"{label}: "), strip(c))) for label, c in parts])
 
 
-def author_year(authors: Column, year: Column) -> Column:
-    """``Surname et al. 2020`` style label."""
-    first = F.regexp_extract(F.coalesce(F.try_element_at(authors, F.lit(1)), F.lit("")), r"^[^,\s]+", 0)
-    return F.concat_ws(" ", F.when(first != "", first), F.when(F.size(authors) > 1, F.lit("et al.")),
-                       F.when(year.isNotNull(), year.cast("string")))
+def author_year(authors: Column, year: Column, sep: str = ";") -> Column:
+    """First author and year as ``Roe A, 2020``; either alone where the other is blank."""
+    first = strip(F.substring_index(F.coalesce(authors, F.lit("")), sep, 1))
+    return F.concat_ws(", ", F.when(first != "", first), F.when(year.cast("string") != "", year.cast("string")))
+
+
+def percent_encode(c: Column) -> Column:
+    """Percent-encode text for a URL, keeping ``/`` and unreserved characters."""
+    e = F.url_encode(c)
+    for old, new in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        e = F.replace(e, F.lit(old), F.lit(new))
+    return e
+
+
+def record_links(doi: Column, pmid: Column, title: Column, record_id: Column) -> dict[str, Column]:
+    """Links and the file name a record's full text is saved under; '' where an identifier is blank."""
+    d, p, t = (strip(F.coalesce(c, F.lit(""))) for c in (doi, pmid, title))
+    return {
+        "doi_link": F.when(d != "", F.concat(F.lit(fv.DOI_LINK), d)).otherwise(""),
+        "pubmed_link": F.when(p != "", F.concat(F.lit(fv.PMID_LINK), p, F.lit("/"))).otherwise(""),
+        "mirror_link": F.when(p != "", F.concat(F.lit(fv.MIRROR_PMID_LINK), p)).when(d != "", F.concat(F.lit(fv.MIRROR_DOI_LINK), d)).otherwise(""),
+        "title_link": F.when(t != "", F.concat(F.lit(fv.TITLE_SEARCH_LINK), percent_encode(F.concat(F.lit('"'), t, F.lit('"'))))).otherwise(""),
+        "save_as": F.concat(F.regexp_replace(record_id, "[^A-Za-z0-9._-]", "_"), F.lit(".pdf")),
+    }
 
 
 def words(c: Column) -> Column:

@@ -82,3 +82,8 @@ def similar_titles(titles: DataFrame, metric: str, threshold: float) -> DataFram
 
 def first_token(c: Column) -> Column:
     return F.substring_index(c, " ", 1)
+
+
+def block_sizes(records: DataFrame, block: list[str], large: int) -> DataFrame:
+    """Records per block, with the blocks that an all-pairs comparison could not afford marked."""
+    return records.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > large)

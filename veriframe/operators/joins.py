@@ -9,6 +9,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions.rules import first_verdict
 from ..functions.stats import ratio
+from .fuzzy import first_token, similar_titles
 
 
 def lookup(rows: DataFrame, dim: DataFrame, key: str, fields: list[str], missing: str = "") -> DataFrame:
@@ -107,16 +108,24 @@ def reconcile_counts(expected: DataFrame, observed: DataFrame, key: str, toleran
 
 def best_candidate(items: DataFrame, candidates: DataFrame, on: list[str], item_key: str, cand_key: str, text: str,
                    year: str, threshold: float, year_tol: int, metric: str = "levenshtein") -> DataFrame:
-    """Best candidate per item among those that share ``on``, are within the year tolerance and reach the threshold.
+    """Best candidate per item among those that share ``on`` and the first word of the title, are within the year
+    tolerance and reach the threshold; ties go to the lower candidate id.
 
-    Lengths are compared before similarities; ties go to the lower candidate id.
+    Similar titles come from the exact segment index over the distinct titles of both sides, so no item is
+    compared with all candidates of its block. Of candidates with the same title, year and ``on`` only
+    the lowest id can win, so copies are reduced before they are joined.
     """
-    a = items.select(*on, item_key, F.col(text).alias("_ta"), F.col(year).alias("_ya"))
-    b = candidates.select(*on, cand_key, F.col(text).alias("_tb"), F.col(year).alias("_yb"))
-    j = a.join(b, on).where((F.abs(F.col("_ya") - F.col("_yb")) <= year_tol)
-                            & sim.length_bound(metric, F.col("_ta"), F.col("_tb"), threshold))
-    s = j.withColumn("score", sim.similarity(metric, F.col("_ta"), F.col("_tb"))).where(F.col("score") >= threshold)
-    return (s.groupBy(item_key).agg(F.max(F.struct("score", (-F.col(cand_key)).alias("neg"))).alias("m"))
+    a = items.select(*on, item_key, F.col(year).alias("_ya"), F.col(text).alias("_t"), F.md5(text).alias("_a")).where("_t <> ''")
+    b = candidates.select(*on, cand_key, F.col(year).alias("_yb"), F.col(text).alias("_t"), F.md5(text).alias("_b")).where("_t <> ''")
+    heads = b.groupBy(*on, "_yb", "_b").agg(F.min(cand_key).alias(cand_key))
+    titles = (a.select(F.col("_a").alias("title_id"), F.col("_t").alias("title"))
+              .unionByName(b.select(F.col("_b").alias("title_id"), F.col("_t").alias("title"))).distinct()
+              .withColumn("block", first_token(F.col("title"))))
+    found = similar_titles(titles, metric, threshold).select("id_a", "id_b", "score")
+    pairs = (found.toDF("_a", "_b", "score").unionByName(found.toDF("_b", "_a", "score").select("_a", "_b", "score"))
+             .unionByName(titles.select(F.col("title_id").alias("_a"), F.col("title_id").alias("_b"), F.lit(1.0).alias("score"))))
+    j = a.join(pairs, "_a").join(heads, [*on, "_b"]).where(F.abs(F.col("_ya") - F.col("_yb")) <= year_tol)
+    return (j.groupBy(item_key).agg(F.max(F.struct("score", (-F.col(cand_key)).alias("neg"))).alias("m"))
             .select(item_key, (-F.col("m.neg")).alias(cand_key), F.col("m.score").alias("score")))
 
 

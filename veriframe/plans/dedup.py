@@ -142,3 +142,21 @@ UNION ALL SELECT 'unique_by_field', 'pmid' || CASE WHEN p THEN '_with' ELSE '_wi
 UNION ALL SELECT 'unique_by_field', 'doi' || CASE WHEN d THEN '_with' ELSE '_without' END, count(*) FROM m GROUP BY 2""")
 def dedup_summary(t):
     return dd.identification_summary(dd.deduplicate(page_records(t), metric="levenshtein"))
+
+
+@query("""
+WITH w AS (SELECT string_split(p_name, ' ')[1] AS word, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT word, p_size, n, n > 5 AS large FROM w""")
+def block_sizes(t):
+    p = t.part.select(fz.first_token(c("p_name")).alias("word"), "p_size")
+    return fz.block_sizes(p, ["word", "p_size"], 5)
+
+
+@query(f"""WITH {REC_SQL}, w AS (SELECT *, 'FS/' || idx AS rid FROM rec)
+SELECT idx, CASE WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE '' END AS doi_link, CASE WHEN pmid <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' ELSE '' END AS pubmed_link,
+  CASE WHEN pmid <> '' THEN 'https://europepmc.org/article/MED/' || pmid WHEN doi <> '' THEN 'https://europepmc.org/abstract/DOI/' || doi ELSE '' END AS mirror_link,
+  CASE WHEN trim(title) <> '' THEN 'https://scholar.google.com/scholar?q=' || replace(url_encode('"' || trim(title) || '"'), '%2F', '/') ELSE '' END AS title_link,
+  'FS_' || idx || '.pdf' AS save_as, CASE WHEN no_authors THEN CAST(year AS VARCHAR) ELSE lang || ', A. B., ' || year END AS label FROM w""")
+def record_links(t):
+    r = page_records(t).withColumn("doi_norm", tx.normalize_doi(c("doi")))
+    links = tx.record_links(c("doi_norm"), c("pmid"), c("title"), F.concat(F.lit("FS/"), c("idx").cast("string")))
+    return r.select("idx", *[v.alias(k) for k, v in links.items()], tx.author_year(F.array_join("authors", "; "), c("year")).alias("label"))

@@ -188,9 +188,8 @@ SELECT item, page_id, round(score, 6) AS score FROM b WHERE rn = 1""")
 def best_candidate(t):
     tn = tx.normalize_title(c("title"))
     r = page_records(t).select(c("idx").alias("page_id"), tn.alias("tn"), c("year").cast("int").alias("y"), c("route").alias("lang")).where("tn <> ''")
-    r = r.withColumn("fw", F.substring_index("tn", " ", 1))
-    items = r.where(F.length("tn") > 20).select(c("page_id").alias("item"), F.expr("substr(tn, 1, length(tn) - 2)").alias("tn"), (c("y") + 1).alias("y"), "lang", "fw")
-    return jn.best_candidate(items, r, ["lang", "fw"], "item", "page_id", "tn", "y", 0.9, 1).withColumn("score", F.round("score", 6))
+    items = r.where(F.length("tn") > 20).select(c("page_id").alias("item"), F.expr("substr(tn, 1, length(tn) - 2)").alias("tn"), (c("y") + 1).alias("y"), "lang")
+    return jn.best_candidate(items, r, ["lang"], "item", "page_id", "tn", "y", 0.9, 1).withColumn("score", F.round("score", 6))
 
 
 @query(f"""

@@ -233,10 +233,9 @@ SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVE
 def stream_latest(t):
     base = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     schema, s = event_stream(t)
-    q = sl.latest_state(s, ["user_id"], ["ts", "event_id"], f"{base}/state", f"{base}/checkpoint")
+    q = sl.latest_state(s, ["user_id"], ["ts", "event_id"], f"{base}/changes", f"{base}/checkpoint")
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
-    return sl.read_state(t.spark, f"{base}/state", last, schema)
+    return sl.read_state(t.spark, f"{base}/changes", ["user_id"], ["ts", "event_id"], schema)
 
 
 @query("""

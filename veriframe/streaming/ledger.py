@@ -19,24 +19,30 @@ def read_log(spark: SparkSession, folder: str, schema, glob: str | None = None,
     return r.parquet(folder)
 
 
-def latest_state(stream: DataFrame, keys: list[str], order_by: list[str], state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last write per key in a versioned Parquet table.
+def latest_state(stream: DataFrame, keys: list[str], order_by: list[str], changes: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last write per key. The state lives in the distributed state store; every micro-batch
+    writes only the keys it touched.
 
-    Every micro-batch writes version ``batch + 1`` from version ``batch`` and its own latest rows. A
-    batch that is run again overwrites the same version from the same inputs, so a lost executor or
-    a restart changes nothing.
+    A batch that is run again overwrites its own folder, so a lost executor or a restart changes nothing.
     """
+    rest = [c for c in stream.columns if c not in keys]
+    state = (stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_by)).alias("_row"))
+             .select(*keys, *[F.col("_row")[c].alias(c) for c in rest]))
+
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, keys, order_by)
-        if number > 0:
-            new = latest(spark.read.schema(batch.schema).parquet(f"{state}/version={number}").unionByName(new), keys, order_by)
-        new.write.mode("overwrite").parquet(f"{state}/version={number + 1}")
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+    return (state.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_state(spark: SparkSession, changes: str, keys: list[str], order_by: list[str], schema) -> DataFrame:
+    """The current row per key: the latest of its recorded changes."""
+    return latest(spark.read.schema(schema).parquet(f"{changes}/batch=*"), keys, order_by)
 
 
-def read_state(spark: SparkSession, state: str, last_batch: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{state}/version={last_batch + 1}")
+def compact_state(spark: SparkSession, changes: str, target: str, keys: list[str], order_by: list[str], schema) -> None:
+    """Write the current rows to ``target`` as batch 0 of a shorter log; the old log is left as it is."""
+    read_state(spark, changes, keys, order_by, schema).write.parquet(f"{target}/batch=0")
 
 
 def daily_totals(stream: DataFrame, ts: str, by: list[str], value: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
