@@ -137,8 +137,7 @@ def test_merge_rules(spark):
     assert g[2] == 2            # similar title, differing DOI: kept apart
     assert g[3] == 3 and g[4] == 4 and g[5] == 5   # year too far, no title, no year
     assert g[7] == 6            # DOI spelled differently
-    flagged = {(r.a, r.b) for r in res.flagged.collect()}
-    assert flagged == {(0, 2)}
+    assert {(r.idx, r.partner) for r in res.flagged.collect()} == {(0, 2), (2, 0)}
     notes = {r.input_index: r.notes for r in res.audit.collect()}
     assert "FS-000002" in notes[0] and "FS-000001" in notes[2]
     m = {r.group_idx: r for r in res.master.collect()}
@@ -146,6 +145,29 @@ def test_merge_rules(spark):
     assert m[0].source_database == "DB;B" and m[0].record_id == "FS-000001"
 
 
+def test_version_flags_equal_all_pairs(spark):
+    rng = random.Random(11)
+    titles = noisy_titles(11, 3, 3, 2)
+    rows = [rec(i, rng.choice(titles), str(rng.choice([2019, 2020, 2022])), doi=rng.choice(["", f"10.1/{rng.randrange(6)}"]),
+                journal=rng.choice(["bioRxiv", "J", "J"]), authors=rng.choice([("Roe, A",), ("Li, B", "Roe, C"), ("Kim, D",), ()])) for i in range(90)]
+    norm = {r[0]: " ".join(r[8].split()) for r in rows}
+    sur = {r[0]: {a.split(",")[0].lower() for a in r[11]} for r in rows}
+    first = {}
+    for r in rows:
+        first.setdefault(norm[r[0]], r[0])
+    want = {}
+    for a, b in combinations(rows, 2):
+        x, y = norm[a[0]], norm[b[0]]
+        s = RATIO["levenshtein"](x, y)
+        if (x.split()[0] == y.split()[0] and abs(int(a[9]) - int(b[9])) <= 1 and a[7] and b[7] and a[7] != b[7] and s >= 0.95
+                and ("bioRxiv" in (a[10], b[10])) and (sur[a[0]] & sur[b[0]] or not sur[a[0]] or not sur[b[0]])):
+            for p, q in ((a, b), (b, a)):
+                want.setdefault((p[0], first[norm[q[0]]]), set()).add(q[0])
+    notes = dd.annotate(frame(spark, rows))
+    got = {(r.idx, r.title_id): r.partner for r in dd.version_flags(notes, dd.title_pairs(notes, 0.95, 1, "levenshtein"), 1).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] in want[k] for k in got)
+
+
 def test_strict_policy_splits_a_transitive_conflict(spark):
     t = "acute immune response to a long run in adults"
     rows = [rec(0, t, doi="10.1/a"), rec(1, t, pmid="1111"), rec(2, t, doi="10.1/b"), rec(3, t)]

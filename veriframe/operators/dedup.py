@@ -118,26 +118,36 @@ def fuzzy_edges(records: DataFrame, pairs: DataFrame, year_tol: int, total: int
             .groupBy("src", "dst", "rule").agg(F.max("score").alias("score")))
 
 
-def version_pairs(records: DataFrame, pairs: DataFrame, year_tol: int, total: int | None = None) -> DataFrame:
-    """Similar titles kept apart by differing DOIs where one side looks like a preprint.
-
-    The authors must share a surname, or one side has no authors. The result is the pairs themselves.
-    Rows meet on title, window and surname; a preprint meets only records it may be a version of.
+def version_flags(records: DataFrame, pairs: DataFrame, year_tol: int, total: int | None = None) -> DataFrame:
+    """Records that may be a version of another: similar title, differing DOIs, one side looks like a preprint,
+    and the authors share a surname or one side has none.
+
+    ``(idx, title_id, partner, score)``: one row per flagged record and similar title, with one counterpart.
+    A title that thousands of DOIs share is not listed pair by pair. Counterparts are summarised per
+    title, window and surname by their least and greatest DOI: if any DOI of a summary differs from
+    a record's own, one of these two does.
     """
     rows = _in_windows(records.select("idx", "title_norm", "year_norm", "doi_norm", "preprint", "author_tokens"),
-                       year_tol, total).where("doi_norm <> ''")
-    unknown = F.size("author_tokens") == 0
-    tokened = rows.withColumn("unknown", unknown).withColumn(
-        "token", F.explode(F.when(unknown, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), "author_tokens"))))
-    a = tokened.where("preprint").select(F.col("title_id").alias("id_a"), "win", "token", F.col("idx").alias("x"),
-                                         F.col("doi_norm").alias("doi_x"), F.col("unknown").alias("unknown_x"))
-    b = tokened.select(F.col("title_id").alias("id_b"), "win", "token", F.col("idx").alias("y"),
-                       F.col("doi_norm").alias("doi_y"), F.col("unknown").alias("unknown_y"))
-    # The empty token stands for "authors unknown on one side".
-    met = ((F.col("token") != "") | F.col("unknown_x") | F.col("unknown_y")) & (F.col("doi_x") != F.col("doi_y"))
-    return (a.join(_both_ways(pairs), "id_a").join(b, ["id_b", "win", "token"]).where(met)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
-            .groupBy("a", "b").agg(F.max("score").alias("score")))
+                       year_tol, total).where("doi_norm <> ''").withColumn("unknown", F.size("author_tokens") == 0)
+    # A record is found under its surnames, under "everyone", and under "no authors" if it has none.
+    every, nobody = F.lit("*every"), F.lit("*nobody")
+    found_as = F.concat("author_tokens", F.array(every), F.when(F.col("unknown"), F.array(nobody)).otherwise(F.array().cast("array<string>")))
+    entry = F.struct("doi_norm", "idx")
+    heads = (rows.select("title_id", "win", "preprint", "doi_norm", "idx", F.explode(found_as).alias("who"))
+             .groupBy("title_id", "win", "who").agg(
+                 F.min(entry).alias("lo"), F.max(entry).alias("hi"),
+                 F.min(F.when(F.col("preprint"), entry)).alias("pre_lo"), F.max(F.when(F.col("preprint"), entry)).alias("pre_hi")))
+    targets = (_both_ways(pairs).join(heads.withColumnRenamed("title_id", "id_b"), "id_b")
+               .withColumnRenamed("id_a", "title_id").withColumnRenamed("id_b", "partner_title"))
+    looks_for = F.when(F.col("unknown"), F.array(every)).otherwise(F.concat("author_tokens", F.array(nobody)))
+    probes = rows.select("idx", "title_id", "win", "preprint", "doi_norm", F.explode(looks_for).alias("who"))
+    sizes = probes.groupBy("title_id", "win", "who").agg(F.count(F.lit(1)).alias("n"))
+    met = attach_per_key(probes, targets.join(sizes, ["title_id", "win", "who"]), ["title_id", "win", "who"], "n")
+    lo = F.when(F.col("preprint"), F.col("lo")).otherwise(F.col("pre_lo"))
+    hi = F.when(F.col("preprint"), F.col("hi")).otherwise(F.col("pre_hi"))
+    partner = F.when(lo["doi_norm"] != F.col("doi_norm"), lo["idx"]).when(hi["doi_norm"] != F.col("doi_norm"), hi["idx"])
+    return (met.withColumn("partner", partner).where("partner IS NOT NULL")
+            .groupBy("idx", F.col("partner_title").alias("title_id")).agg(F.min("partner").alias("partner"), F.max("score").alias("score")))
 
 
 def best_rules(edges: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def deduplicate(records: DataFrame, threshold: float = fv.FUZZY_THRESHOLD, year_
                         .unionByName(exact_edges(notes, "doi_norm", "doi", total))
                         .unionByName(fuzzy_edges(notes, pairs, year_tol, total)))
     groups = cut_lineage(group_records(notes, edges, conflict_policy, total))
-    flagged = version_pairs(notes, pairs, year_tol, total)
+    flagged = version_flags(notes, pairs, year_tol, total)
 
     golden = record_ids(golden_records(notes, groups))
     lists = listed_values(notes, groups, LISTED_FIELDS)
@@ -274,11 +284,9 @@ def deduplicate(records: DataFrame, threshold: float = fv.FUZZY_THRESHOLD, year_
     ids = golden.select("group_idx", "rep_idx", "record_id", "group_rows")
     member = attach_per_key(groups, ids, ["group_idx"], "group_rows", total=total)
     rules = best_rules(edges)
-    flag_side = flagged.select("a", "b", "score").unionByName(
-        flagged.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    note_rows = (flag_side.join(member.select(F.col("idx").alias("b"), "record_id"), "b")
-                 .groupBy(F.col("a").alias("idx"))
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", F.format_string(
+    note_rows = (flagged.join(member.select(F.col("idx").alias("partner"), "record_id"), "partner")
+                 .groupBy("idx")
+                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("partner", F.format_string(
                      "possible_version_pair with %s (title_year_fuzzy(%.3f)); not merged: DOIs differ",
                      "record_id", "score").alias("t")))), lambda s: s["t"]), " | ").alias("notes")))
     audit = (notes.join(member, "idx").join(rules, "idx", "left").join(note_rows, "idx", "left")

@@ -121,12 +121,14 @@ def golden_record(t):
                     F.md5("abstract").alias("abstract_md5"), "abstract_source")
 
 
-@query(f"""WITH RECURSIVE {REC_SQL}
-SELECT i AS a, j AS b, round(score, 6) AS score FROM prs WHERE score >= 0.95 AND doi_conflict AND overlap AND preprint""")
-def version_pairs(t):
+@query(f"""WITH RECURSIVE {REC_SQL},
+t AS (SELECT tn, min(idx) AS title_id FROM rec GROUP BY 1), f AS (SELECT i, j, score FROM prs WHERE score >= 0.95 AND doi_conflict AND overlap AND preprint),
+d AS (SELECT i, j, score FROM f UNION ALL SELECT j, i, score FROM f)
+SELECT i AS idx, title_id, round(max(score), 6) AS score FROM d JOIN rec ON rec.idx = j JOIN t USING (tn) GROUP BY 1, 2""")
+def version_flags(t):
     notes = cut_lineage(dd.annotate(page_records(t)))
     pairs = dd.title_pairs(notes, 0.95, 1, "levenshtein")
-    return dd.version_pairs(notes, pairs, 1).select("a", "b", F.round("score", 6).alias("score"))
+    return dd.version_flags(notes, pairs, 1).select("idx", "title_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {REC_SQL},
