@@ -223,6 +223,15 @@ def csv_round_trip(t):
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
+def utc_instant(ts):
+    """A zone-free timestamp read as UTC, whatever the session's zone: a watermark needs an instant."""
+    return F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def utc_wall(ts):
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def event_stream(t):
     schema = t.events.select(*EVENT_COLS).schema
     return schema, sl.read_log(t.spark, t.folder, schema, glob="events.parquet")
@@ -244,11 +253,11 @@ SELECT d AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM
 def stream_daily_totals(t):
     base = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     _, s = event_stream(t)
-    s = s.withColumn("ts", c("ts").cast("timestamp"))
+    s = s.withColumn("ts", utc_instant(c("ts")))
     q = sl.run_to_table(sl.daily_totals(s, "ts", ["event_type"], "value"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     out = t.spark.read.parquet(f"{base}/out")
-    return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return out.select(utc_wall(c("start")).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("""
@@ -256,7 +265,7 @@ SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)""")
 def stream_dedup(t):
     base = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     _, s = event_stream(t)
-    s = s.withColumn("ts", c("ts").cast("timestamp"))
+    s = s.withColumn("ts", utc_instant(c("ts")))
     q = sl.run_to_table(sl.unique_intake(s, "ts", ["user_id", "event_type"], "60 days"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     return t.spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("n"))
