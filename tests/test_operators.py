@@ -46,6 +46,15 @@ def test_running_sum_and_previous_cross_buckets(skewed):
     assert p.withColumn("w", F.lag("v").over(w)).where("NOT (prev <=> w)").count() == 0
 
 
+def test_quantiles_equal_exact_percentiles(skewed):
+    got = {r.g: r for r in od.quantiles(skewed, "v", ["g"], {"a": 0.5, "b": 0.9, "c": 0.0, "d": 1.0, "e": 0.333}, F.floor(c("v") / 5)).collect()}
+    want = skewed.groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", q).alias(k) for k, q in zip("abcde", (0.5, 0.9, 0.0, 1.0, 0.333))]).collect()
+    assert len(got) == len(want) == 4
+    for r in want:
+        assert got[r.g].n == r.n and all(got[r.g][k] == pytest.approx(r[k]) for k in "abcde")
+    assert od.quantiles(skewed, "v", [], {"m": 0.5}, F.floor("v")).first().m == pytest.approx(skewed.agg(F.percentile("v", 0.5)).first()[0])
+
+
 def test_latest_and_superseded_split_the_log(skewed):
     last, old = od.latest(skewed, ["g"], ["x", "id"]), od.superseded(skewed.where("g IS NOT NULL"), ["g"], ["x", "id"])
     assert last.count() == 4 and old.count() == skewed.where("g IS NOT NULL").count() - 3

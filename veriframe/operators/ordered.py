@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .skew import attach_per_key
+
 BUCKET = "_bucket"
 KEY = "_key"
 
@@ -91,6 +93,33 @@ def take_smallest(df: DataFrame, quota: DataFrame, group: list[str], order_by: l
     return whole.unionByName(cut)
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], bucket: Column) -> DataFrame:
+    """Exact interpolated quantiles per group, with count, minimum and maximum.
+
+    Only the buckets that hold a wanted rank are sorted; nothing keeps the values of a group together.
+    """
+    keyed = _keyed(df.where(F.col(value).isNotNull()), by, bucket)
+    groups = [F.col(f"{KEY}.g{i}") for i in range(len(by))] or [F.lit(0)]
+    counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    whole, before = W.partitionBy(*groups), W.partitionBy(*groups).orderBy(f"{KEY}.b").rowsBetween(W.unboundedPreceding, -1)
+    facts = counts.select(KEY, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"),
+                          F.min("_lo").over(whole).alias("min"), F.max("_hi").over(whole).alias("max"))
+    at = {q: (F.col("n") - 1) * F.lit(q) for q in qs.values()}
+    ranks = F.array(*[r for p in at.values() for r in (F.floor(p) + 1, F.ceil(p) + 1)])
+    wanted = F.filter(F.array_distinct(ranks), lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
+    marks = facts.withColumn("_want", wanted).where(F.size("_want") > 0).drop("_n")
+    local = F.row_number().over(W.partitionBy(KEY).orderBy(value))
+    hit = keyed.join(marks, KEY).withColumn("_rn", F.col("_before") + local).where(F.array_contains("_want", F.col("_rn")))
+
+    def one(q: float) -> Column:
+        lo = F.max(F.when(F.col("_rn") == F.floor(at[q]) + 1, F.col(value)))
+        hi = F.max(F.when(F.col("_rn") == F.ceil(at[q]) + 1, F.col(value)))
+        part = F.max(at[q] - F.floor(at[q]))
+        return lo + (hi - lo) * part
+    out = hit.groupBy(*by).agg(F.max("n").alias("n"), F.max("min").alias("min"), F.max("max").alias("max"), *[one(q).alias(name) for name, q in qs.items()])
+    return out
+
+
 def latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """Last write wins per key: one partial aggregate, no sort of the group."""
     rest = [c for c in df.columns if c not in keys]
@@ -102,5 +131,5 @@ def latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
 
 def superseded(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """Every row that is not the last write of its key, with the position that replaced it."""
-    top = df.groupBy(*keys).agg(F.max(F.struct(*order_by)).alias("superseded_by"))
-    return df.join(top, keys).where(F.struct(*order_by) < F.col("superseded_by"))
+    top = df.groupBy(*keys).agg(F.max(F.struct(*order_by)).alias("superseded_by"), F.count(F.lit(1)).alias("_n"))
+    return attach_per_key(df, top, keys, "_n").drop("_n").where(F.struct(*order_by) < F.col("superseded_by"))

@@ -32,7 +32,3 @@ def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col:
              .drop("_hot"))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast hint behind a count that stops at ``max_rows + 1``; otherwise a plain shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

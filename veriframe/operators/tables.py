@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.stats import ratio
+from .ordered import quantiles
 
 
 
@@ -144,12 +145,15 @@ def flag_matrix(df: DataFrame, entity: str, flags: dict[str, Column], least: int
     return agg.where(total >= least)
 
 
-def percentiles(df: DataFrame, value: str, by: list[str] = (), qs: dict[str, float] | None = None, accuracy: int | None = None) -> DataFrame:
-    """Median, p90, minimum and maximum. Exact, or approximate with a bounded sketch when ``accuracy`` is given."""
+def percentiles(df: DataFrame, value: str, by: list[str] = (), qs: dict[str, float] | None = None, bucket: Column | None = None,
+                accuracy: int = 10_000) -> DataFrame:
+    """Median, p90, minimum and maximum per group. Exact with ``bucket`` (an order-preserving coarse form of the
+    value), else from a sketch of bounded size."""
     qs = qs or {"median": 0.5, "p90": 0.9}
-    q = (lambda p: F.percentile_approx(value, p, accuracy)) if accuracy else (lambda p: F.percentile(value, p))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-                               *[q(p).alias(n) for n, p in qs.items()])
+    if bucket is not None:
+        return quantiles(df, value, list(by), qs, bucket)
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+                               *[F.percentile_approx(value, q, accuracy).alias(n) for n, q in qs.items()])
 
 
 def metric_rows(parts: list[tuple[str, DataFrame, Column, Column | None]]) -> DataFrame:

@@ -125,7 +125,7 @@ def flag_matrix(t):
 @query("""
 SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1""")
 def duration_percentiles(t):
-    return tb.percentiles(t.events, "value", ["event_type"]).withColumns({x: F.round(x, 6) for x in ("median", "p90")})
+    return tb.percentiles(t.events, "value", ["event_type"], bucket=F.floor("value")).withColumns({x: F.round(x, 6) for x in ("median", "p90")})
 
 
 @query("""
