@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..session import cut_lineage
 
 # Fixed value: a shorter quote is too short to be checked.
 MIN_WORDS = 4
@@ -25,9 +26,15 @@ def split_pages(docs: DataFrame, key: str, text: str, marker: str = r"\[\[page (
             .select(key, F.get("_n", F.col("_i")).cast("int").alias("page"), F.col("page_text").alias(text)))
 
 
+def _gram_hashes(ws: Column) -> Column:
+    """Distinct adjacent word pairs as 64-bit hashes."""
+    pairs = F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.array_distinct(F.array_compact(pairs))
+
+
 def _pairs(df: DataFrame, key: list[str], ws: Column) -> DataFrame:
-    """Distinct word pairs per row, as 64-bit hashes."""
-    return df.select(*key, F.explode(F.transform(tx.bigrams(ws), lambda g: F.xxhash64(g))).alias("gram")).distinct()
+    """One row per word pair; they are made distinct inside the row, so this needs no shuffle."""
+    return df.select(*key, F.explode(_gram_hashes(ws)).alias("gram"))
 
 
 def _rarest(grams: DataFrame, df_counts: DataFrame, key: str, keep: Column) -> DataFrame:
@@ -49,7 +56,8 @@ def locate_verbatim(quotes: DataFrame, quote_key: str, quote: str, docs: DataFra
     d = docs.select(doc_key, tx.normalize_quote(F.col(text)).alias("_t"))
     inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
     grams_q = _pairs(q.withColumn("need", F.lit(1)), [quote_key, "need"], inner)
-    grams_d = _pairs(d, [doc_key], F.split("_t", " ")).join(grams_q.select("gram").distinct(), "gram", "left_semi")
+    # Only pairs some quote has; read twice below, and far smaller than the texts, so they are written once.
+    grams_d = cut_lineage(_pairs(d, [doc_key], F.split("_t", " ")).join(grams_q.select("gram").distinct(), "gram", "left_semi"))
     freq = grams_d.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     anchors = _rarest(grams_q, freq, quote_key, F.lit(1))
     candidates = anchors.join(grams_d, "gram").select(quote_key, doc_key).distinct()
@@ -64,9 +72,10 @@ def bigram_share(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame,
     A text that holds ``k`` of ``m`` pairs holds at least one of any ``m - k + 1`` of them, so only
     the rarest ``m - k + 1`` pairs of a quote propose candidates. The share is then counted exactly.
     """
-    qw = quotes.select(quote_key, tx.bigrams(tx.words(F.col(quote))).alias("_g")).where(F.size("_g") > 0)
-    qg = qw.select(quote_key, F.size("_g").alias("m"), F.explode(F.transform("_g", lambda g: F.xxhash64(g))).alias("gram"))
-    dg = _pairs(docs, [doc_key], tx.words(F.col(text))).join(qg.select("gram").distinct(), "gram", "left_semi")
+    qw = quotes.select(quote_key, _gram_hashes(tx.words(F.col(quote))).alias("_g")).where(F.size("_g") > 0)
+    qg = qw.select(quote_key, F.size("_g").alias("m"), F.explode("_g").alias("gram"))
+    # Only pairs some quote has; read three times below, so they are written once.
+    dg = cut_lineage(_pairs(docs, [doc_key], tx.words(F.col(text))).join(qg.select("gram").distinct(), "gram", "left_semi"))
     freq = dg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     need = F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1
     probes = _rarest(qg.withColumn("need", need.cast("int")), freq, quote_key, F.col("need"))

@@ -271,7 +271,8 @@ def deduplicate(records: DataFrame, threshold: float = fv.FUZZY_THRESHOLD, year_
     groups = cut_lineage(group_records(notes, edges, conflict_policy, total))
     flagged = version_flags(notes, pairs, year_tol, total)
 
-    golden = record_ids(golden_records(notes, groups))
+    # Read by the master, the audit map and the notes, so it is computed once and written.
+    golden = cut_lineage(record_ids(golden_records(notes, groups)))
     lists = listed_values(notes, groups, LISTED_FIELDS)
     blank = F.lit("")
     joined = golden.join(lists, "group_idx", "left")
@@ -308,15 +309,17 @@ def identification_summary(result: DedupResult) -> DataFrame:
     def part(df: DataFrame, section: str, item: Column, value: Column = one) -> DataFrame:
         return df.groupBy(item.alias("item")).agg(value.alias("value")).select(F.lit(section).alias("section"), "item", "value")
 
-    fill = F.explode(F.array(*[F.concat(F.lit(f), F.when(F.col(f) != "", "_with").otherwise("_without"))
-                               for f in ("abstract", "pmid", "doi")]))
+    # One pass over the master table.
+    fields = {f"{f}_{w}": F.count_if((F.col(f) != "") if w == "with" else (F.col(f) == "")) for f in ("abstract", "pmid", "doi") for w in ("with", "without")}
+    wide = m.agg(one.alias("total"), *[v.alias(k) for k, v in fields.items()])
+    unique = wide.unpivot([], wide.columns, "item", "value").where("value > 0")
+    unique = unique.select(F.when(F.col("item") == "total", "unique").otherwise("unique_by_field").alias("section"), "item", "value")
     parts = [
         part(r, "input", F.lit("total")),
         part(r, "input_by_database", tx.first_filled(F.col("source_database"), F.lit("UNKNOWN"))),
         part(r, "input_by_route", tx.first_filled(F.col("route"), F.lit("NR"))),
         part(a.where("kept = 'FALSE'"), "removed_by_rule", F.col("rule")),
-        part(m, "unique", F.lit("total")),
-        part(m.select(fill.alias("k")), "unique_by_field", F.col("k")),
+        unique,
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -160,7 +160,7 @@ def cells(aligned: DataFrame, columns: list[dict], table: str, keep: list[str] =
 
 def _metrics(coded_only: bool = False) -> list[Column]:
     cond = F.col("kind").isin("coded", "count") if coded_only else F.lit(True)
-    n = {k: F.count_if(cond & (F.col("category") == k)) for k in ("agree", "disagree", "only_a", "only_b")}
+    n = {k: F.coalesce(F.sum(F.when(cond & (F.col("category") == k), F.col("_n"))), F.lit(0)) for k in ("agree", "disagree", "only_a", "only_b")}
     both, any_ = n["agree"] + n["disagree"], n["agree"] + n["disagree"] + n["only_a"] + n["only_b"]
     p = "coded_" if coded_only else ""
     return [any_.alias(f"{p}cells"), *[v.alias(p + k) for k, v in n.items()],
@@ -168,13 +168,16 @@ def _metrics(coded_only: bool = False) -> list[Column]:
 
 
 def diff_rollup(cell_rows: DataFrame, total: str = "ALL") -> DataFrame:
-    """Agreement by table, by family, by table and field, and overall; all cells and coded cells only."""
+    """Agreement by table, by family, by table and field, and overall; all cells and coded cells only.
+
+    Cells are counted by field and category first; the grouping sets expand that small table only.
+    """
     dims = ["table", "family", "field"]
+    counts = cell_rows.groupBy(*dims, "kind", "category").agg(F.count(F.lit(1)).alias("_n"))
     sets = [["table"], ["family"], ["table", "field"], []]
-    # Few distinct keys: the partial aggregate does nearly all of the work.
-    g = cell_rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(
+    g = counts.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(
         *[F.grouping(c).alias(f"_g{c}") for c in dims], *_metrics(), *_metrics(True),
-        F.count_if(F.col("category") == "both_empty").alias("both_empty"))
+        F.coalesce(F.sum(F.when(F.col("category") == "both_empty", F.col("_n"))), F.lit(0)).alias("both_empty"))
     return g.select(*[F.when(F.col(f"_g{c}") == 1, total).otherwise(F.col(c)).alias(c) for c in dims],
                     *[c for c in g.columns if c not in dims and not c.startswith("_g")])
 

@@ -218,6 +218,32 @@ def csv_round_trip(t):
     return back.select(c("c_custkey").cast("bigint").alias("c_custkey"), "c_mktsegment", F.coalesce("note", F.lit("")).alias("note"))
 
 
+@query(f"""WITH {PAGE_SQL}
+SELECT 'Scopus' AS source_database, 'E AND I AND T' AS route, 'S1' AS search_id, count(*) AS n, count(DISTINCT doi) AS n_doi, sum(y)::BIGINT AS years FROM ps
+UNION ALL SELECT 'Web of Science Core Collection', 'E AND O AND T', '', count(*), count(DISTINCT pm), sum(y)::BIGINT FROM ps WHERE n < 500""")
+def ingest_files(t):
+    """Write two kinds of export files from the pages and ingest the folder: formats, labels and ids from the paths."""
+    root = f"{ensure_checkpoint_dir(t.spark)}/exports-{uuid.uuid4().hex}"
+    p = page_fields(t)
+    p.select(c("title").alias("Title"), c("y").alias("Year"), c("doi").alias("DOI"), F.lit("e").alias("EID")).write.option("header", True).option("escape", '"').csv(f"{root}/scopus_EI")
+    lines = F.concat(F.lit("FN x\nPT J\nTI "), F.trim("title"), F.lit("\nPY "), c("y"), F.lit("\nDI "), c("pm"), F.lit("\nER"))
+    p.where("n < 500").select(lines.alias("value")).write.text(f"{root}/wos_EO")
+    searches = p.select(F.lit("Scopus").alias("database"), F.lit("E AND I AND T").alias("route"), F.lit("S1").alias("id")).distinct()
+    recs = discover.number_rows(discover.ingest(t.spark, root, searches))
+    return recs.groupBy("source_database", "route", "search_id").agg(F.count_distinct("idx").alias("n"), F.count_distinct("doi").alias("n_doi"), F.sum(c("year").cast("bigint")).alias("years"))
+
+
+@query("""SELECT o_orderkey AS "doc.id", o_orderpriority AS "item.standard_name", o_orderstatus AS "item.original_label", CASE WHEN o_totalprice > 100000 THEN 'min' END AS time_unit FROM orders""")
+def schema_migration(t):
+    """Rows of a newer nested layout brought to the older columns; a column without a destination would be refused."""
+    item = F.struct(c("o_orderstatus").alias("analyte_raw"), c("o_orderpriority").alias("analyte_canonical"))
+    new = nested.flatten(t.orders.select(F.struct(c("o_orderkey").alias("id")).alias("doc"), item.alias("item"), F.when(c("o_totalprice") > 100000, c("o_totalprice")).alias("time_value_min")))
+    renames = {"item.analyte_raw": "item.original_label", "item.analyte_canonical": "item.standard_name", "time_value_min": "time_value"}
+    unit = {"time_unit": F.when(c("time_value").isNotNull(), "min")}
+    out = nested.migrate(new, renames, unit, {"doc.id", "item.original_label", "item.standard_name", "time_value", "time_unit"})
+    return out.drop("time_value")
+
+
 # --- streaming ------------------------------------------------------------------------------------
 
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
