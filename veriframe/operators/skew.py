@@ -11,7 +11,7 @@ MAX_HOT = 10_000
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, limit: int = 100_000,
                    how: str = "inner", total: int | None = None) -> DataFrame:
-    """Join one row per key (``per_key``, with its row count ``n_col``) back to ``rows``.
+    """Join a few rows per key (``per_key``, with the key's row count ``n_col`` in ``rows``) back to ``rows``.
 
     Keys above ``limit`` rows are salted over ``SALTS`` tasks. The list of hot keys is broadcast; it
     holds the ``MAX_HOT`` largest, so it has at most ``MAX_HOT`` rows, and any key left out of it has
@@ -20,8 +20,8 @@ def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col:
     """
     if total is not None and total <= limit:
         return rows.join(per_key, keys, how)
-    hot = F.broadcast(per_key.where(F.col(n_col) > limit).orderBy(F.desc(n_col), *keys).limit(MAX_HOT)
-                      .select(*keys, F.lit(True).alias("_hot")))
+    hot = F.broadcast(per_key.where(F.col(n_col) > limit).select(*keys, n_col).distinct()
+                      .orderBy(F.desc(n_col), *keys).limit(MAX_HOT).select(*keys, F.lit(True).alias("_hot")))
     left = (rows.join(hot, keys, "left")
             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
                         .otherwise(F.lit(-1)))

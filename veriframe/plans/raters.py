@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules as ru
-from ..functions import stats as st
 from ..operators import agreement as ag
 from ..operators import reconcile as rc
 from ..operators import sampling as sp

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as ru
-from ..functions import text as tx
 from ..operators import ledger as lg
 from ..operators import ordered as od
 from ..operators import tables as tb
