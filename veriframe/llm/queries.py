@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, merge_replay, simhash, token_counts, vafile
+from . import licenses, merge_replay, simhash, token_counts, url_aliases, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1_exact_top_k(spark, folder):
     return vafile.top_k(table(spark, folder, "embeddings"))
 
 
+@query(url_aliases.judge_sql())
+def op2_url_filter(spark, folder):
+    return url_aliases.judge(table(spark, folder, "pages"))
+
+
 @query()
 def op3_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
