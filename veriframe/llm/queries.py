@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, merge_replay, simhash, spaced_seeds, token_counts, url_aliases, vafile
+from . import licenses, merge_replay, simhash, spaced_seeds, string_kernel, token_counts, url_aliases, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op6_benchmark_decontamination(spark, folder):
     return spaced_seeds.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op7_language_id(spark, folder):
+    return string_kernel.identify(table(spark, folder, "documents"))
+
+
 @query()
 def op8_byte_bpe(spark, folder):
     return merge_replay.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
