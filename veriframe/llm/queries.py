@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, merge_replay, simhash, spaced_seeds, string_kernel, token_counts, url_aliases, vafile
+from . import kneser_ney, licenses, merge_replay, simhash, spaced_seeds, string_kernel, token_counts, url_aliases, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op4_simhash_near_dedup(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op5_quality_classifier(spark, folder):
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(table(spark, folder, "documents"), trusted)
+
+
 @query(spaced_seeds.contaminated_sql())
 def op6_benchmark_decontamination(spark, folder):
     return spaced_seeds.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
