@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, licenses, merge_replay, simhash, spaced_seeds, string_kernel, token_counts, url_aliases, vafile
+from . import kneser_ney, licenses, merge_replay, simhash, spaced_seeds, string_kernel, style_tree, token_counts, url_aliases, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op8_byte_bpe(spark, folder):
     return merge_replay.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query()
+def op9_main_text(spark, folder):
+    return style_tree.extract(table(spark, folder, "pages"))
+
+
 @query(licenses.scan_sql())
 def op10_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
