@@ -38,11 +38,11 @@ def planted(rng, bench):
     out = []
     for n, (_, text) in enumerate(b for b in bench if b[1]):
         w = re.findall(r"\w+", text)
-        for share in (0.0, 0.1, 0.19, 0.3):
+        for m, share in enumerate((0.0, 0.1, 0.19, 0.3)):
             v = list(w)
             for i in rng.sample(range(len(v)), int(share * len(v))):
                 v[i] = "other"
-            out.append((200 + 10 * n + int(share * 10), prose(rng, 20) + " " + " ".join(v) + ". " + prose(rng, 5), "en", "s", 1))
+            out.append((200 + 10 * n + m, prose(rng, 20) + " " + " ".join(v) + ". " + prose(rng, 5), "en", "s", 1))
         out.append((900 + n, " ".join(w[:len(w) // 2]), "en", "s", 1))
         out.append((1000 + n, " - ".join(w), "en", "s", 1))
     return out

@@ -26,7 +26,7 @@ from .shipping import Shared, by_value
 ORDER = 4
 BEGIN, END, STRANGE = 2, 3, 0xFFFF
 SHARD = 4_000_000
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 3_000_000
 #: A document is judged as if it held this many more characters of average text, so that a few rare ones do not condemn a short text.
 PRIOR = 60
 QUANTILE = 0.995
@@ -247,7 +247,8 @@ def _language(lang: str) -> Column:
 def _fitted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, lang: str, quantile: float):
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_k")).where("_k IS NOT NULL").distinct()
     calibrating = F.crc32(F.col("_k").cast("string")) % 5 == 0
-    trusted = (docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).where(~calibrating).join(ids.where(~calibrating), "_k", "left_semi"))
+    trusted = (docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).where(~calibrating)
+               .join(ids.where(~calibrating).hint("merge"), "_k", "left_semi"))  # ids grow with the documents: never broadcast
     named = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"), _language(lang))
     model = train(named, trusted, "_t")
     scored = cut_lineage(score(named, [F.col("_k"), F.col("lang"), F.monotonically_increasing_id().alias("_row")], "_t", model, ["_row"]))

@@ -48,7 +48,7 @@ def build(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale
         lo, hi = v.min(axis=0), v.max(axis=0)
         # Marks are integers; cell c of a dimension holds lo + marks[c] <= x <= lo + marks[c + 1] - 1.
         span = hi.astype(object) - lo.astype(object) + 1
-        marks = np.array([[int(s) * c >> bits for c in range((1 << bits) + 1)] for s in span], dtype=object).reshape(len(span), -1)
+        marks = np.array([[int(s) * c >> bits for c in range((1 << bits) + 1)] for s in span], dtype=object).reshape(len(span), (1 << bits) + 1)
         edges = (marks + lo.astype(object)[:, None])
         cells = np.empty(v.shape, np.uint8 if bits <= 8 else np.uint16)
         for d in range(v.shape[1]):
@@ -135,8 +135,8 @@ def products(vectors: np.ndarray, query: np.ndarray, exact_in_double: bool) -> n
 
 def search_block(ids, vectors, cells, edges, queries, skip, k: int):
     """For every query the places and scores of its k best vectors of a block; ``skip`` is the place of its own row or -1."""
-    top = max(np.abs(vectors).max(initial=0), 1) if vectors.size else 1
-    sizes = vectors.shape[1] * float(top) * float(max(np.abs(queries).max(initial=0), 1))
+    most = lambda x: np.abs(x.astype(np.float64)).max(initial=1)
+    sizes = vectors.shape[1] * most(vectors) * most(queries)
     in_double = sizes < EXACT / 4
     low, high = bounds(cells, edges, queries) if in_double else (np.full((len(queries), len(ids)), -np.inf), np.full((len(queries), len(ids)), np.inf))
     for i, q in enumerate(queries):
@@ -156,7 +156,7 @@ def search_block(ids, vectors, cells, edges, queries, skip, k: int):
         while at < len(places):
             now = places[at:at + step]
             got, scores = np.concatenate([got, now]), np.concatenate([scores, products(vectors[now], q, in_double)])
-            best = np.lexsort((ids[got], -scores))[:k]
+            best = np.lexsort((ids[got], ~scores))[:k]  # ~x falls as x rises, over all of long
             got, scores = got[best], scores[best]
             at, step = at + step, step * 2
             if at < len(places) and len(got) == k and upper[places[at]] < scores[-1]:
