@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -74,8 +76,10 @@ def _numbered(df: DataFrame, group: list[str], order: list[str], bucket: Column)
 
 def _outer(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
     left = a.select(*on, F.struct(*[c for c in a.columns if not c.startswith("_")]).alias("a"))
-    right = b.select(*on, F.struct(*[c for c in b.columns if not c.startswith("_")]).alias("b"))
-    j = left.join(right, on, "full_outer")
+    right = b.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(on)], F.struct(*[c for c in b.columns if not c.startswith("_")]).alias("b"))
+    # NULL keys pair with NULL keys, as they do in the numbering.
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(on)])
+    j = left.join(right, same, "full_outer").select(*[F.coalesce(c, f"_b{i}").alias(c) for i, c in enumerate(on)], "a", "b")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     return j.select(*on, F.when(both, how).when(F.col("a").isNotNull(), "only_a").otherwise("only_b").alias("how"), "a", "b")
 
@@ -211,15 +215,31 @@ def empty_by_both(cell_rows: DataFrame, parent: str, notes: DataFrame) -> DataFr
     return j.select("table", "field", parent, "n", reason.alias("reason"))
 
 
-def within_rounding(a: Column, b: Column, most: int = 10) -> Column:
-    """Do two numeric cells agree at the coarser of their precisions? NULL if either is not a number."""
-    x, y = tx.parse_number(a), tx.parse_number(b)
-    d = F.least(tx.decimals_of(a), tx.decimals_of(b))
-    out = None
-    for k in range(most + 1):
-        same = F.bround(x, k) == F.bround(y, k)
-        out = F.when(d == k, same) if out is None else out.when(d == k, same)
-    return F.when(x.isNotNull() & y.isNotNull(), out.otherwise(x == y))
+def _rounded(x: Column, scale: Column) -> Column:
+    """``x * scale`` rounded to an integer, half to even, as if the product were exact.
+
+    A product that comes out halfway between integers may have been a little less or more; its rounding error, from the products of
+    the factors' halves (27 bits each), tells which.
+    """
+    half = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    xh, sh = half(x), half(scale)
+    xl, sl = x - xh, scale - sh
+    p = x * scale
+    error = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(p).cast("double")
+    return F.when((p - low == 0.5) & (error < 0), low).when((p - low == 0.5) & (error > 0), low + 1).otherwise(F.rint(p))
+
+
+def within_rounding(a: Column, b: Column) -> Column:
+    """Do two numeric cells agree at the coarser of their precisions? NULL if either is not a number.
+
+    The binary value is rounded, half to even, at any number of decimals: 2.675 is a little less than it is written, and agrees with 2.67.
+    """
+    x, y = tx.parse_number(a).cast("double"), tx.parse_number(b).cast("double")
+    scale = F.pow(F.lit(10.0), F.least(tx.decimals_of(a), tx.decimals_of(b)).cast("double"))
+    # Beyond 2^52 a double has no fraction left to round.
+    small = (F.abs(x * scale) < 2.0 ** 52) & (F.abs(y * scale) < 2.0 ** 52)
+    return F.when(x.isNotNull() & y.isNotNull(), (x == y) | (small & (_rounded(x, scale) == _rounded(y, scale))))
 
 
 def numeric_rescore(cell_rows: DataFrame) -> DataFrame:

@@ -117,26 +117,23 @@ def drop_reference_list(text: Column) -> Column:
 def drop_back_matter(text: Column) -> Column:
     """Drop back-matter sections up to the next body heading or page marker."""
     return F.regexp_replace(
-        text, rf"(?ims)^\s*{BACK_MATTER}.*?(?=^\[\[page \d+\]\]|^\s*{BACK_MATTER_END}|\z)", "")
+        text, rf"(?ims)^[ \t]*{BACK_MATTER}.*?(?=^\[\[page \d+\]\]|^[ \t]*{BACK_MATTER_END}|\z)", "")
 
 
 def drop_repeated_lines(df: DataFrame, key: str, text: str, times: int = REPEATED_LINE_COUNT,
                         shorter_than: int = REPEATED_LINE_LENGTH) -> DataFrame:
     """Remove lines that occur ``times`` or more often in their own text; the rest keep their order.
 
-    ``(key, text, dropped_lines)``. A sentinel line keeps texts of which nothing is left.
+    ``(key, text, dropped_lines)``, found inside each row: the corpus is not shuffled.
     """
-    lines = df.select(key, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.split(text, "\n"))).alias("pos", "line"))
-    marked = lines.withColumn("stripped", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    same = marked.groupBy(key, "stripped").agg(F.count(F.lit(1)).alias("n"),
-                                               F.collect_list(F.struct("pos", "line")).alias("at"))
-    repeated = ((F.col("n") >= times) & (F.col("stripped") != "") & (F.length("stripped") < shorter_than)
-                & ~F.col("stripped").startswith("[[page"))
-    drop = F.coalesce(repeated, F.lit(False))
-    kept = same.select(key, F.when(drop, F.col("n")).otherwise(0).alias("gone"),
-                       F.when(drop, F.array().cast("array<struct<pos:int,line:string>>")).otherwise(F.col("at")).alias("at"))
-    whole = kept.groupBy(key).agg(F.sum("gone").alias("dropped_lines"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
-    return whole.select(key, F.array_join(F.transform("at", lambda s: s["line"]), "\n").alias(text), "dropped_lines")
+    lines = F.split(text, "\n")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    worth = df.select(key, lines.alias("lines"), F.sort_array(F.filter(F.transform(lines, strip), lambda x: (x != "") & (F.length(x) < shorter_than) & ~x.startswith("[[page"))).alias("s"))
+    # In sorted order a line that stands ``times`` times meets itself ``times - 1`` places on.
+    again = F.array_distinct(F.filter("s", lambda x, i: F.get("s", i + (times - 1)) == x))
+    kept = worth.select(key, "lines", again.alias("again")).select(
+        key, "lines", F.filter("lines", lambda x: ~F.coalesce(F.array_contains("again", strip(x)), F.lit(False))).alias("left"))
+    return kept.select(key, F.array_join("left", "\n").alias(text), (F.size("lines") - F.size("left")).cast("bigint").alias("dropped_lines"))
 
 
 def trim_boilerplate(df: DataFrame, key: str, text: str) -> DataFrame:

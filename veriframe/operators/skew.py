@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-MAX_HOT = 10_000
+from ..session import cut_lineage
+
+#: A key is hot if it has over this many rows and over one part in ``SHARE`` of all; so there are fewer than ``SHARE`` hot keys.
+SHARE = 5_000
 
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, limit: int = 100_000,
                    how: str = "inner", total: int | None = None) -> DataFrame:
     """Join a few rows per key (``per_key``, with the key's row count ``n_col`` in ``rows``) back to ``rows``.
 
-    Keys above ``limit`` rows are salted over ``SALTS`` tasks. The list of hot keys is broadcast; it
-    holds the ``MAX_HOT`` largest, so it has at most ``MAX_HOT`` rows, and any key left out of it has
-    under ``1 / MAX_HOT`` of the rows. Every row is joined either way. Where ``total`` rows are known
-    to be within ``limit`` no key can be hot and a plain join is planned.
+    A hot key is dealt over as many tasks as its count holds ``limit`` rows. The list of hot keys is broadcast as 64-bit hashes: fewer
+    than ``SHARE`` keys can each have more than one part in ``SHARE`` of the rows, whatever the size, and two keys of one hash are
+    dealt alike on both sides. Where ``total`` rows are known to be within ``limit`` no key can be hot and a plain join is planned.
     """
     if total is not None and total <= limit:
         return rows.join(per_key, keys, how)
-    hot = F.broadcast(per_key.where(F.col(n_col) > limit).select(*keys, n_col).distinct()
-                      .orderBy(F.desc(n_col), *keys).limit(MAX_HOT).select(*keys, F.lit(True).alias("_hot")))
-    left = (rows.join(hot, keys, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    per_key = cut_lineage(per_key)  # read for the total, the hot keys and the join
+    if total is None:
+        total = per_key.select(*keys, n_col).distinct().agg(F.coalesce(F.sum(n_col), F.lit(0)).cast("double")).first()[0]
+    least = max(limit, total / SHARE)
+    key_hash = F.xxhash64(*keys)
+    hot = F.broadcast(per_key.where(F.col(n_col) > least).groupBy(key_hash.alias("_hash"))
+                      .agg(F.ceil(F.max(n_col) / least).cast("int").alias("_salts")))
+    left = (rows.withColumn("_hash", key_hash).join(hot, "_hash", "left")
+            .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"))
                         .otherwise(F.lit(-1)))
-            .drop("_hot"))
-    right = (per_key.join(hot, keys, "left")
-             .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+            .drop("_hash", "_salts"))
+    right = (per_key.withColumn("_hash", key_hash).join(hot, "_hash", "left")
+             .withColumn("_salt", F.explode(F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
                                             .otherwise(F.array(F.lit(-1)))))
-             .drop("_hot"))
+             .drop("_hash", "_salts"))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
-

@@ -193,8 +193,10 @@ def page_rows(t):
 
 
 @query("""
-WITH r AS (SELECT md5(concat_ws('|', '=' || floor(l_extendedprice)::BIGINT, '=' || l_linenumber, '=' || l_orderkey, coalesce('=' || CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '~'))) AS h FROM lineitem)
-SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS digest FROM r""")
+WITH c AS (SELECT floor(l_extendedprice)::BIGINT::VARCHAR AS a, l_linenumber::VARCHAR AS b, l_orderkey::VARCHAR AS c, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS d FROM lineitem),
+r AS (SELECT sha256(length(a) || ':' || a || length(b) || ':' || b || length(c) || ':' || c || coalesce(length(d) || ':' || d, '~')) AS h FROM c)
+SELECT count(*) AS rows, concat_ws('-', sum(('0x' || substr(h, 1, 16))::UBIGINT)::VARCHAR, sum(('0x' || substr(h, 17, 16))::UBIGINT)::VARCHAR,
+  sum(('0x' || substr(h, 33, 16))::UBIGINT)::VARCHAR, sum(('0x' || substr(h, 49, 16))::UBIGINT)::VARCHAR) AS digest FROM r""")
 def table_fingerprint(t):
     return sinks.fingerprint(t.lineitem.select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("l_extendedprice"), F.when(c("l_returnflag") != "N", c("l_returnflag")).alias("l_returnflag")))
 

@@ -63,8 +63,9 @@ def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType,
     doc = T.StructType([*schema.fields, T.StructField("records", T.ArrayType(schema))])
     d = spark.read.schema(doc).option("multiLine", True).json(docs).select("*", *provenance())
     own = F.array(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))
-    rows = d.select(*PROVENANCE[:2], F.col("source_seq").alias("_d"), F.posexplode(F.coalesce("records", own)).alias("_i", "r"))
-    rows = rows.select(*PROVENANCE[:2], (F.col("_d") * F.lit(1 << 24) + F.col("_i")).alias("source_seq"), "r.*")
+    rows = d.select(*PROVENANCE[:2], F.explode(F.coalesce("records", own)).alias("r"))
+    # Numbered after the records of a document are laid out, so a document may hold any number of them.
+    rows = rows.select(*PROVENANCE[:2], F.monotonically_increasing_id().alias("source_seq"), "r.*")
     return out.unionByName(rows.withColumn(BAD, F.lit(None).cast("string")))
 
 

@@ -10,8 +10,8 @@ from ..functions.rules import first_verdict
 from ..operators.ordered import latest, superseded
 from ..operators.validate import assert_empty, duplicate_keys
 
-# Fixed value: names of batch files.
-BATCH_NAME = r"^batch_\d{3}\.json$"
+# Fixed value: names of batch files; three digits or more.
+BATCH_NAME = r"^batch_(\d{3,})\.json$"
 
 
 def read_batches(spark: SparkSession, folder: str, schema: T.StructType | str, name: str = BATCH_NAME) -> DataFrame:
@@ -21,8 +21,10 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType | str, n
 
 
 def latest_batches(rows: DataFrame, key: str, file: str = "file") -> tuple[DataFrame, DataFrame]:
-    """The row of the last file per id, and the rows it superseded."""
-    return latest(rows, [key], [file]), superseded(rows, [key], [file])
+    """The row of the last file per id, and the rows it superseded. Files come in the order of their number, then of their name."""
+    numbered = rows.withColumn("_no", F.coalesce(F.regexp_extract(file, r"(\d+)", 1).try_cast("bigint"), F.lit(-1)))
+    old = superseded(numbered, [key], ["_no", file])
+    return latest(numbered, [key], ["_no", file]).drop("_no"), old.drop("_no").withColumn("superseded_by", F.struct(F.col("superseded_by")[file].alias(file)))
 
 
 def unique_batches(rows: DataFrame, key: str) -> DataFrame:
