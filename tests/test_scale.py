@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriframe.operators import diff as df_
+from veriframe.operators import fuzzy as fz
 from veriframe.operators import redact as rd
 from veriframe.operators.skew import attach_per_key
 from veriframe.sources import records, runs, sinks
@@ -84,3 +85,27 @@ def test_repeated_lines_inside_a_row(spark):
     df = spark.createDataFrame([(1, text), (2, "x\n" * 6 + "x"), (3, ""), (4, None), (1, text)], "k int, t string")
     got = {r.k: (r.t, r.dropped_lines) for r in rd.drop_repeated_lines(df, "k", "t", times=6).collect()}
     assert got[1] == ("Head\na\nb\nHead\n\n\n\n\n\n\n", 6) and got[2] == ("", 7) and got[3] == ("", 0)
+
+
+def test_a_common_head_proposes_nothing(spark):
+    """Titles from one template: the rows on which titles meet grow with their number, not with its square."""
+    head = "assessment of long term outcomes after the standard intervention in "
+    met = {}
+    for n in (400, 3200):
+        rng = random.Random(n)
+        rows = [(i, "b", head + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))) for i in range(n)]
+        t = spark.createDataFrame(rows, "title_id long, block string, title string").withColumn("len", F.length("title"))
+        grams = fz.rare_grams(t, "levenshtein", 0.95).groupBy("block", "gram").count()
+        met[n] = grams.agg(F.sum(c("count") * (c("count") - 1) / 2)).first()[0] or 0
+        assert met[n] < 12 * n
+        assert fz.similar_titles(t.drop("len"), "levenshtein", 0.95).count() == 0
+
+
+def test_long_titles_have_few_rows(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(1000))
+    rows = [(1, "b", text), (2, "b", text[:500] + "x" + text[501:]), (3, "b", text[::-1])]
+    t = spark.createDataFrame(rows, "title_id long, block string, title string")
+    per = fz.rare_grams(t.withColumn("len", F.length("title")), "indel", 0.95).groupBy("title_id").count().agg(F.max("count")).first()[0]
+    assert per <= 4 * 105 + 1
+    assert [(r.id_a, r.id_b) for r in fz.similar_titles(t, "indel", 0.95).collect()] == [(1, 2)]

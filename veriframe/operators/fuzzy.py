@@ -1,11 +1,12 @@
 """Exact blocked similarity self-join without enumerating the pairs of a block.
 
 Pairs share a block key and a year band and reach a similarity threshold. Identical titles are
-collapsed first, so copies cost one title. Candidate title pairs then come from a segment index:
-if two strings are at most ``d`` edits apart and the shorter is cut into ``d + 1`` segments, at least
-one segment occurs unchanged in the longer one, shifted by a bounded number of places (the partition
-argument of Li, Deng, Wang and Feng, "Pass-Join", VLDB 2011). Titles meet only on an equal segment
-within an equal block, and each candidate is verified with the real similarity, so the result is
+collapsed first, so copies cost one title. Candidate title pairs then come from a prefix filter over
+q-grams (Chaudhuri, Ganti, Kaushik, ICDE 2006; Bayardo, Ma, Srikant, WWW 2007): an edit changes at
+most q of a title's q-grams, so titles that are at most d edits apart share one of the q * d + 1
+rarest q-grams of either. Titles meet only on a rare q-gram of theirs; what a template or a common
+head gives to all titles of a block comes last in that order and proposes nothing as long as a title
+has q * d + 1 rarer q-grams. Each candidate is verified with the real similarity, so the result is
 exact for every block size: nothing is capped or skipped.
 """
 
@@ -15,48 +16,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..session import cut_lineage
 
 
-def _edits_expr(metric: str, threshold: float, length: str) -> str:
-    """SQL for the most edits a string of ``length`` (the shorter side) may be away from a match."""
+def _edit_rate(metric: str, threshold: float) -> float:
+    """The most edits a match may be away, per character of either title."""
     r = (1 - threshold) / threshold
-    factor = 2 * r if metric == "indel" else r
-    return f"int(floor({factor!r}D * {length} + 1e-9D))"
+    return 2 * r if metric == "indel" else r
 
 
-def _index_signatures(titles: DataFrame, metric: str, threshold: float) -> DataFrame:
-    """One row per segment of each title, keyed by block, title length, segment number and text."""
-    k = _edits_expr(metric, threshold, "len")
-    seg = F.expr(
-        "transform(sequence(0, k), i -> struct(i AS seg, "
-        "substring(title, int(floor(i * len / (k + 1))) + 1, "
-        "int(floor((i + 1) * len / (k + 1))) - int(floor(i * len / (k + 1)))) AS piece))")
-    return (titles.withColumn("k", F.expr(f"least({k}, len - 1)"))
-            .select("block", "title_id", "len", F.explode(seg).alias("s"))
-            .select("block", "title_id", "len", "s.seg", "s.piece"))
+def rare_grams(titles: DataFrame, metric: str, threshold: float) -> DataFrame:
+    """``(block, gram, title_id, len)``: the q-grams on which each title meets others.
 
-
-def _probe_signatures(titles: DataFrame, metric: str, threshold: float) -> DataFrame:
-    """Every substring of a title that could be a segment of a title of equal or shorter length."""
-    lo = sim.shorter_bound(metric, threshold)
-    k = _edits_expr(metric, threshold, "l")
-    lens = titles.select(
-        "block", "title_id", "title", "len",
-        F.explode(F.expr(f"sequence(greatest(1, int(ceil(len * {lo!r}D - 1e-9D))), len)")).alias("l"))
-    lens = lens.withColumn("k", F.expr(f"least({k}, l - 1)"))
-    segs = lens.select("*", F.explode(F.expr("sequence(0, k)")).alias("seg")).select(
-        "*",
-        F.expr("int(floor(seg * l / (k + 1)))").alias("p"),
-        F.expr("int(floor((seg + 1) * l / (k + 1))) - int(floor(seg * l / (k + 1)))").alias("w"),
-        F.expr("len - l").alias("delta"))
-    # A segment with i segments before it and k - i after it can shift by at most i places when seen
-    # from the left and by delta +/- (k - i) when seen from the right.
-    from_ = "greatest(0, p - seg, p + delta - (k - seg))"
-    to_ = "least(len - w, p + seg, p + delta + (k - seg))"
-    starts = segs.where(f"{from_} <= {to_}").select(
-        "block", "title_id", "title", "l", "seg", "w", F.explode(F.expr(f"sequence({from_}, {to_})")).alias("at"))
-    return starts.select("block", F.col("title_id").alias("probe_id"), F.col("l").alias("len"), "seg",
-                         F.expr("substring(title, at + 1, w)").alias("piece")).distinct()
+    Q-grams are taken with both ends padded and the second, third, ... occurrence of one counts as
+    another. They are ordered by the number of the block's titles that have them. A q-gram that no
+    other title has takes its place in the order but needs no row.
+    """
+    rate = _edit_rate(metric, threshold)
+    q = max(1, min(4, int(0.5 / rate))) if rate > 0 else 4
+    padded = F.concat(F.lit("\x01" * (q - 1)), F.col("title"), F.lit("\x02" * (q - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.col("len") + (q - 1)), lambda i: F.substr(padded, i, F.lit(q)))
+    numbered = F.transform("gs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("gs", F.lit(1), i), lambda h: h == g)).cast("string")))
+    rows = (titles.withColumn("gs", grams).select("block", "title_id", "len", F.explode(numbered).alias("gram")))
+    counts = rows.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("n"))
+    few = F.floor(F.col("len") * F.lit(rate) + 1e-9).cast("int") * q + 1
+    first = (rows.join(counts, ["block", "gram"]).groupBy("block", "title_id", "len")
+             .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")))
+    return (first.select("block", "title_id", "len", F.explode(F.slice("g", F.lit(1), few)).alias("g"))
+            .where("g.n > 1").select("block", F.col("g.gram").alias("gram"), "title_id", "len"))
 
 
 def similar_titles(titles: DataFrame, metric: str, threshold: float) -> DataFrame:
@@ -65,17 +52,21 @@ def similar_titles(titles: DataFrame, metric: str, threshold: float) -> DataFram
     ``titles`` has ``title_id`` (unique), ``block`` and ``title`` (distinct within its block).
     """
     if threshold <= 2 / 3:
-        raise ValueError("the segment argument needs a threshold above 2/3")
+        raise ValueError("the q-gram argument needs a threshold above 2/3")
     t = titles.withColumn("len", F.length("title")).where("len > 0")
-    pairs = (_index_signatures(t, metric, threshold)
-             .join(_probe_signatures(t, metric, threshold), ["block", "len", "seg", "piece"])
-             .where("title_id <> probe_id")
-             .select(F.least("title_id", "probe_id").alias("id_a"), F.greatest("title_id", "probe_id").alias("id_b"))
-             .distinct())
+    grams = cut_lineage(rare_grams(t, metric, threshold))
+    lo = sim.shorter_bound(metric, threshold)
+    pairs = (grams.select("block", "gram", F.col("title_id").alias("id_a"), F.col("len").alias("len_a"))
+             .join(grams.select("block", "gram", F.col("title_id").alias("id_b"), F.col("len").alias("len_b")), ["block", "gram"])
+             .where((F.col("id_a") < F.col("id_b")) & (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(lo) - 1e-9))
+             .select("id_a", "id_b").distinct())
     left = t.select(F.col("title_id").alias("id_a"), F.col("title").alias("title_a"))
     right = t.select(F.col("title_id").alias("id_b"), F.col("title").alias("title_b"))
+    # No metric's distance is under the edit distance, which stops at its bound.
+    most = F.floor(F.least(F.length("title_a"), F.length("title_b")) * F.lit(_edit_rate(metric, threshold)) + 1e-9).cast("int")
     scored = (pairs.join(left, "id_a").join(right, "id_b")
               .where(sim.length_bound(metric, F.col("title_a"), F.col("title_b"), threshold))
+              .where(F.call_function("levenshtein", F.col("title_a"), F.col("title_b"), most) >= 0)
               .withColumn("score", sim.similarity(metric, F.col("title_a"), F.col("title_b"))))
     return scored.where(F.col("score") >= threshold - 1e-12).select("id_a", "id_b", "title_a", "title_b", "score")
 
