@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .pretokens import class_table, slices, split_texts
 from .shipping import Shared, by_value, read_local
 
-SEGMENT_CHARS = 32_000_000
-SLICE_CHARS = 4_000_000
+SEGMENT_CHARS = 16_000_000
+SLICE_CHARS = 2_000_000
 NONE = np.int32(0x7FFFFFFF)
 
 

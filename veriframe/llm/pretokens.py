@@ -10,6 +10,8 @@ once, each from its now known state, marks the starts.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .shipping import by_value
@@ -27,6 +29,7 @@ STATES = 8
 TOGETHER, CHUNK = 3, 512
 
 
+@lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """The class of every code point, as the tokenizer libraries have it.
 
@@ -38,15 +41,15 @@ def class_table() -> np.ndarray:
     import regex
     from tokenizers import pre_tokenizers
 
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    everything = "".join(map(chr, points))
+    points = np.delete(np.arange(0x110000, dtype=np.uint32), slice(0xD800, 0xE000))
+    everything = points.tobytes().decode("utf-32-le")
     table = np.full(0x110000, OTHER, np.uint8)
     for cls, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, everything):
-            table[[ord(c) for c in m[0]]] = cls
+            table[points[m.start():m.end()]] = cls
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    for p in points:
-        if unicodedata.category(chr(p)) == "Cn" and table[p] != OTHER:
+    for p in np.flatnonzero(table != OTHER).tolist():
+        if unicodedata.category(chr(p)) == "Cn":
             table[p] = next((c for c, mate in ((LETTER, "a"), (NUMBER, "1")) if len(split(mate + chr(p))) == 1), OTHER)
     return table
 
