@@ -119,6 +119,7 @@ def test_streams_over_several_batches(spark, tmp_path):
     def drain():
         s = sl.read_log(spark, log, schema)
         sl.latest_state(s, ["k"], ["seq"], str(tmp_path / "state"), str(tmp_path / "c1")).awaitTermination()
+        sl.totals_log(sl.read_log(spark, log, schema), "ts", ["k"], "v", str(tmp_path / "open"), str(tmp_path / "c4")).awaitTermination()
         for op, name, c in ((sl.daily_totals(sl.read_log(spark, log, schema), "ts", ["k"], "v"), "totals", "c2"), (sl.unique_intake(sl.read_log(spark, log, schema), "ts", ["k", "v"], "30 days"), "uniq", "c3")):
             sl.run_to_table(op, str(tmp_path / name), str(tmp_path / c)).awaitTermination()
     add([("a", "2024-01-01 10:00:00", 1, 1.0), ("b", "2024-01-01 11:00:00", 2, 2.0)])
@@ -134,3 +135,6 @@ def test_streams_over_several_batches(spark, tmp_path):
     totals = {(str(r.start)[:10], r.k): (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "totals")).collect()}
     assert totals == {("2024-01-01", "a"): (1, 1.0), ("2024-01-01", "b"): (1, 2.0), ("2024-01-03", "a"): (2, 10.0)}
     assert spark.read.parquet(str(tmp_path / "uniq")).count() == 5
+    every = sl.read_totals(spark, str(tmp_path / "open"), ["k"])
+    assert {(str(r.start)[:10], r.k): (r.n, r.total) for r in every.collect()} == {**totals, ("2024-01-09", "c"): (1, 1.0)}
+    assert sl.late_rows(spark.read.schema(schema).parquet(log), every).first().late == 1

@@ -277,25 +277,24 @@ def stream_latest(t):
 
 @query("""
 WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, value FROM events)
-SELECT d AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+SELECT d AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY 1, 2""")
 def stream_daily_totals(t):
     base = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     _, s = event_stream(t)
     s = s.withColumn("ts", utc_instant(c("ts")))
-    q = sl.run_to_table(sl.daily_totals(s, "ts", ["event_type"], "value"), f"{base}/out", f"{base}/checkpoint")
-    q.awaitTermination()
-    out = t.spark.read.parquet(f"{base}/out")
+    sl.totals_log(s, "ts", ["event_type"], "value", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = sl.read_totals(t.spark, f"{base}/out", ["event_type"])
     return out.select(utc_wall(c("start")).alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("""
-SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)""")
+SELECT DISTINCT user_id, event_type FROM events""")
 def stream_dedup(t):
     base = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     _, s = event_stream(t)
     s = s.withColumn("ts", utc_instant(c("ts")))
     q = sl.run_to_table(sl.unique_intake(s, "ts", ["user_id", "event_type"], "60 days"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(f"{base}/out").select("user_id", "event_type")
 
 

@@ -201,9 +201,24 @@ def repeated_lines(t):
     return out.select("doc_id", c("dropped_lines").cast("bigint").alias("dropped_lines"), F.md5("text").alias("text_md5"))
 
 
-@query()
+# Some lines become headings, so that every rule of the trim has work.
+@query(rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS raw, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+m AS (SELECT doc_id, i, n, CASE WHEN h < '1' THEN 'Funding: ' || raw WHEN h < '2' THEN '  Results ' || raw WHEN h < '28' THEN 'References' ELSE raw END AS line FROM (SELECT *, md5(doc_id || '|' || i) AS h FROM l)),
+c AS (SELECT *, min(i) FILTER (WHERE i - 1 > n * 0.55 AND regexp_matches(trim(line), '{rd.TRIM_REFERENCE_LINE}')) OVER (PARTITION BY doc_id) AS cut FROM m),
+e AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^[ \t]*{rd.BACK_MATTER}') THEN 1 WHEN regexp_matches(line, '(?i)^(\[\[page \d+\]\]|[ \t]*{rd.BACK_MATTER_END})') THEN 0 END AS ev FROM c WHERE cut IS NULL OR i < cut),
+s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS inside, max(i) OVER (PARTITION BY doc_id) AS end_at FROM e),
+b AS (SELECT doc_id, i, CASE WHEN inside = 1 THEN '' ELSE line END AS line FROM s WHERE inside = 0 OR i = end_at),
+k AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS st FROM b), w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, st) AS times FROM k),
+f AS (SELECT *, (times >= 5 AND st <> '' AND length(st) < 120 AND NOT starts_with(st, '[[page')) AS gone FROM w),
+o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS dropped_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM f GROUP BY 1)
+SELECT doc_id, dropped_lines, md5(text) AS text_md5, length(text)::INT AS chars FROM o""")
 def trim_boilerplate(t):
-    out = rd.trim_boilerplate(t.documents.select("doc_id", "text"), "doc_id", "text")
+    h = lambda i: F.md5(F.concat(c("doc_id").cast("string"), F.lit("|"), (i + 1).cast("string")))
+    line = lambda x, i: (F.when(h(i) < "1", F.concat(F.lit("Funding: "), x)).when(h(i) < "2", F.concat(F.lit("  Results "), x))
+                         .when(h(i) < "28", "References").otherwise(x))
+    marked = t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    out = rd.trim_boilerplate(marked, "doc_id", "text")
     return out.select("doc_id", "dropped_lines", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 

@@ -52,6 +52,25 @@ def daily_totals(stream: DataFrame, ts: str, by: list[str], value: str, late: st
         F.col("window.start").alias("start"), *by, "n", "total")
 
 
+def totals_log(stream: DataFrame, ts: str, by: list[str], value: str, changes: str, checkpoint: str, late: str = "1 day", width: str = "1 day") -> StreamingQuery:
+    """Totals per window as a log of changes, open windows included: every micro-batch writes the windows it touched."""
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+    return (daily_totals(stream, ts, by, value, late, width).writeStream.outputMode("update").foreachBatch(step)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_totals(spark: SparkSession, changes: str, by: list[str]) -> DataFrame:
+    """The totals of every window so far: the last change of each."""
+    return latest(spark.read.parquet(changes), ["start", *by], ["batch"]).drop("batch")
+
+
+def late_rows(log: DataFrame, totals: DataFrame) -> DataFrame:
+    """``late``: rows of the log that came after their window was closed, and so are in no total."""
+    counts = log.agg(F.count(F.lit(1)).alias("late")).unionByName(totals.agg(F.coalesce(-F.sum("n"), F.lit(0)).alias("late")))
+    return counts.agg(F.sum("late").alias("late"))
+
+
 def unique_intake(stream: DataFrame, ts: str, content: list[str], late: str = "1 day") -> DataFrame:
     """Drop repeats of the same content, by digest, within the watermark."""
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in content]), 256)
