@@ -65,6 +65,16 @@ def locate_verbatim(quotes: DataFrame, quote_key: str, quote: str, docs: DataFra
             .where(F.contains("_t", "_q")).select(quote_key, doc_key))
 
 
+def quote_status(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str) -> DataFrame:
+    """``(quote_key, status, texts)`` for every quote: ``found`` with the number of texts that contain it, ``not_found``, or ``too_short``
+    to be looked up."""
+    n = locate_verbatim(quotes, quote_key, quote, docs, doc_key, text).groupBy(quote_key).agg(F.count(F.lit(1)).alias("texts"))
+    short = F.size(F.split(tx.normalize_quote(F.col(quote)), " ")) < MIN_WORDS
+    return (quotes.select(quote_key, F.coalesce(short, F.lit(True)).alias("_short")).join(n, quote_key, "left")
+            .select(quote_key, F.when(F.col("_short"), "too_short").when(F.col("texts") > 0, "found").otherwise("not_found").alias("status"),
+                    F.coalesce("texts", F.lit(0)).alias("texts")))
+
+
 def bigram_share(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str,
                  threshold: float = fv.BIGRAM_SHARE) -> DataFrame:
     """``(quote_key, doc_key, share)`` where at least ``threshold`` of the quote's word pairs occur in the text.

@@ -118,6 +118,19 @@ def evidence_containment(t):
     return ct.locate_verbatim(t.benchmark, "item_id", "text", t.documents, "doc_id", "text")
 
 
+# Half of the quotes are cut to three words, a quarter are altered.
+@query(r"""
+WITH b AS (SELECT item_id, md5(item_id::VARCHAR) AS h, text FROM benchmark),
+q AS (SELECT item_id, trim(regexp_replace(lower(CASE WHEN h < '8' THEN array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') WHEN h < 'c' THEN text || ' unseen' ELSE text END), '\s+', ' ', 'g')) AS q FROM b),
+d AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, CASE WHEN len(string_split(any_value(q), ' ')) < 4 THEN 'too_short' WHEN count(t) > 0 THEN 'found' ELSE 'not_found' END AS status,
+  CASE WHEN len(string_split(any_value(q), ' ')) < 4 THEN 0 ELSE count(t) END AS texts FROM q LEFT JOIN d ON contains(t, q) GROUP BY item_id""")
+def evidence_status(t):
+    h = F.md5(c("item_id").cast("string"))
+    quotes = t.benchmark.select("item_id", F.when(h < "8", F.substring_index("text", " ", 3)).when(h < "c", F.concat("text", F.lit(" unseen"))).otherwise(c("text")).alias("quote"))
+    return ct.quote_status(quotes, "item_id", "quote", t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
 BG = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
 
 
