@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,15 @@ def draw_key(seed: int, key: str) -> Column:
 def sample_strata(df: DataFrame, strata: list[str], key: str, fraction: float, seed: int) -> DataFrame:
     """An exact fraction of each stratum: the ``round(fraction * N)`` rows least in draw order.
 
-    The first three hex digits of the draw key cut every stratum, however large, into 4096 even
-    buckets; only the bucket that crosses the quota is sorted.
+    The leading hex digits of the draw key cut a stratum into even buckets, about as many as a bucket
+    of the largest stratum has rows; only the bucket that crosses the quota is sorted.
     """
-    quota = df.groupBy(*strata).agg(round_half_even(F.count(F.lit(1)) * F.lit(fraction)).alias("k"))
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 1
+    digits = max(1, math.ceil(math.log(largest, 16) / 2))
+    quota = sizes.select(*strata, round_half_even(F.col("n") * F.lit(fraction)).alias("k"))
     keyed = df.withColumn("_draw", draw_key(seed, key))
-    return take_smallest(keyed, quota, strata, ["_draw", key], F.substring("_draw", 1, 3)).drop("_draw")
+    return take_smallest(keyed, quota, strata, ["_draw", key], F.substring("_draw", 1, digits)).drop("_draw")
 
 
 def sample_round(df: DataFrame, seen: DataFrame, strata: list[str], key: str, fraction: float, seed: int,
