@@ -105,6 +105,43 @@ def test_keep_one_keeps_one_of_each_class(spark):
     assert kept.where("doc_id = 1").count() <= texts.count()
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = min(5, len(w))
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def test_keep_one_links_every_pair_of_similarity_eight_tenths(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, common = [], [rng.choice(vocabulary) for _ in range(40)]
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 12, 60, 300]))] + common * (i % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(1, 4)):  # up to about one shingle in nine is lost: similarities on both sides of 0.8
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.uniform(0.002, 0.035)))):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    hub = [rng.choice(vocabulary) for _ in range(80)]
+    texts += [" ".join(hub[:i] + ["x"] + hub[i + 1:]) for i in range(60)]  # one group of near copies, larger than a block
+    sets = [shingles(t) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if near(i, j)]
+    plain = [plain_fingerprint(t) for t in texts]
+    assert sum((plain[i] ^ plain[j]).bit_count() > 4 for i, j in pairs) > 50
+    label = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(label))
+
+
 @pytest.mark.parametrize("distance", [1, 3, 4])
 def test_every_near_pair_has_a_viable_chain(distance):
     rng = random.Random(distance)
