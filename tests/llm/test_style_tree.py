@@ -62,6 +62,21 @@ def test_site_branches_that_repeat_are_removed(spark):
     assert style_tree.extract(pages.where("false")).collect() == []
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = lambda body: f"<body><div class=top>The same words</div><div class=post>{body}</div></body>"
+    rows = [(i, f"http://copies.org/{i}", page("<p>The one article</p>")) for i in range(50)]
+    rows += [(1000 + i, f"http://mixed.org/{i}", page("<p>A copied article</p>")) for i in range(970)]
+    rows += [(2000 + i, f"http://mixed.org/o{i}", page(f"<p>Article {i} of its own</p>")) for i in range(30)]
+    rows += [(3000 + i, f"http://path.org/{i}", "<body><div class=post-123><p>Copied under its own class</p></div></body>") for i in range(25)]
+    rows += [(4000 + i, f"http://path.org/o{i}", page(f"<p>Other {i}</p>")) for i in range(30)]
+    rows += [(5000 + i, f"http://bare.org/{i}", page(f"<p>Other {i}</p>")) for i in range(30)] + [(5100, "http://bare.org/x", "<body><div class=top>The same words</div></body>")]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("The one article" in got[i] for i in range(50))
+    assert all(got[1000 + i] == "A copied article" for i in range(970)) and all(got[2000 + i] == f"Article {i} of its own" for i in range(30))
+    assert all(got[3000 + i] == "Copied under its own class" for i in range(25)) and all(got[4000 + i] == f"Other {i}" for i in range(30))
+    assert got[5000] == "Other 0" and got[5100] == "The same words"
+
+
 def test_importance_is_normalised_entropy(spark):
     nodes = spark.createDataFrame([("h", 1, 0, 5, c) for c in (1, 1, 2, 3)] + [("h", 2, 1, 5, 5)] * 4 + [("g", 1, 0, 5, 5)], "host string, node long, above long, shape long, content long")
     got = {(r.host, r.node): (r.pages, round(r.importance, 6)) for r in style_tree.importance(nodes).collect()}

@@ -7,8 +7,8 @@ branch is the highest found in it. Branches of low importance repeat what the si
 What the markup itself declares to be no article (navigation, footers, forms, adverts, comments and the like) goes in any case, as a
 host may have one page only.
 
-Style nodes are counted by grouping on host and path, so a host is never held together; a page is read twice, and no markup is shuffled
-unless the table of branches to remove is larger than the session broadcasts.
+Style nodes are counted over the different pages of a host, as copies of one page would agree in everything, by grouping on host and path,
+so a host is never held together; a page is read twice (a third time if nothing would be left of it), and no markup is shuffled unless the table of branches to remove is larger than the session broadcasts.
 """
 
 from __future__ import annotations
@@ -225,26 +225,38 @@ def numbering():
     return number
 
 
-def style_nodes(pages: DataFrame) -> DataFrame:
-    """``host, node, above, depth_up, shape, content``: one row for each page and style node; shape and content are hashes of the child
-    sequences and the texts of the page's elements there (0: none)."""
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """``host, page, nodes``: one row for each page that has a style node, ``page`` a hash of its markup, ``nodes`` the style nodes with the
+    style node above and the hashes of the child sequences and of the texts of the page's elements there (0: none)."""
     import pyarrow as pa
 
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("node", "above", "shape", "content")]))
+
     def run(batches):
         import xxhash
 
         number = numbering()
         digest = lambda x: xxhash.xxh64_intdigest(x.encode()) >> 1
         for batch in batches:
-            hosts, rows = batch.column(0).to_pylist(), []
-            for host, markup in zip(hosts, batch.column(1).to_pylist(), strict=True):
-                for node, (shape, content, above) in Page(markup or "", number, count=True).nodes.items():
-                    rows.append((host, node, above, digest(",".join(map(str, shape))) if shape else 0, digest(" ".join(" ".join(content).split())) if content else 0))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string()] + [pa.int64()] * 4, strict=True)],
-                                             names=["host", "node", "above", "shape", "content"])
+            hosts, marks, rows = [], [], []
+            for host, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = Page(markup or "", number, count=True).nodes
+                if found:
+                    hosts.append(host)
+                    marks.append(digest(markup))
+                    rows.append([{"node": node, "above": above, "shape": digest(",".join(map(str, shape))) if shape else 0,
+                                  "content": digest(" ".join(" ".join(content).split())) if content else 0} for node, (shape, content, above) in found.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(rows, kind)], names=["host", "page", "nodes"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, nodes array<struct<node: long, above: long, shape: long, content: long>>")
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, node long, above long, shape long, content long")
+def style_nodes(pages: DataFrame, distinct: bool = False) -> DataFrame:
+    """``host, node, above, shape, content``: one row for each page and style node, or for each ``distinct`` markup of a host and style node."""
+    rows = page_nodes(pages)
+    if distinct:
+        rows = rows.dropDuplicates(["host", "page"])
+    return rows.select("host", F.inline("nodes"))
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -279,14 +291,14 @@ def low_branches(nodes: DataFrame, least_pages: int = LEAST_PAGES, low: float =
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page: the article's blocks in page order, joined by a line feed; text is empty if there is none.
 
-    Null markup gives empty text; pages with a null URL, or one without a host, are merged as one site. Repeated rows give repeated rows (and
-    count as pages), a null key stays null, an empty table gives an empty result; other columns play no part.
+    Null markup gives empty text; pages with a null URL, or one without a host, are merged as one site. Repeated rows give repeated rows; pages of a
+    host with the same markup count as one page. Where the branches to remove are all that a page says, the page keeps them. A null key stays null, an empty table gives an empty result; other columns play no part.
     """
     import pyarrow as pa
 
     rows = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     hosted = rows.withColumn("host", parts(F.col("url"))[0])
-    branches = cut_lineage(low_branches(style_nodes(hosted)))
+    branches = cut_lineage(low_branches(style_nodes(hosted, distinct=True)))
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 
@@ -295,7 +307,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for batch in batches:
             texts = []
             for markup, removed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(Page(markup or "", number, frozenset(removed or ())).text())
+                text = Page(markup or "", number, frozenset(removed or ())).text()
+                texts.append(text or (Page(markup or "", number).text() if removed else ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["k", "url", "text", "n_chars"])
 
