@@ -164,6 +164,16 @@ def test_language_on_held_out_and_awkward_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({40, 41, 42, 46}) and kept.where("doc_id >= 1000 AND doc_id < 5000").count() == 300
 
 
+def test_unlearned_language_and_noise_go_and_missing_labels_are_filled(spark):
+    rng = random.Random(6)
+    finnish = "kaikki ihmiset syntyvät vapaina tasavertaisina arvoltaan oikeuksiltaan heille annettu järki omatunto toimittava toisiaan kohtaan".split()
+    clean = corpus(spark).where("doc_id < 5000").withColumn("lang", F.when(F.col("doc_id") % 10 > 1, F.col("lang")))
+    rows = [(6000 + i, " ".join(rng.choice(finnish) for _ in range(40)), None, "s", 1) for i in range(10)]
+    rows += [(6100 + i, " ".join("".join(rng.choice("bcdfgjkpqvxyz") for _ in range(6)) for _ in range(40)), None, "s", 1) for i in range(10)]
+    kept = {r.doc_id: r.lang for r in string_kernel.keep_identified(clean.unionByName(spark.createDataFrame(rows, clean.schema))).collect()}
+    assert kept == {i: "en" if i % 2 else "de" for i in range(1000, 1300)}
+
+
 def test_labels_of_held_out_documents_are_not_used(spark):
     docs = corpus(spark)
     lying = docs.withColumn("lang", F.when(string_kernel.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))

@@ -22,6 +22,10 @@ RIDGE = 1e-2
 BATCH = 512
 SLICE_CHARS = 2_000_000
 UNKNOWN = "und"
+#: A document passes if its score is above this quantile of held-out labelled documents of its language, moved by a share of the way
+#: towards the score of no evidence, 1 / languages, as the quantile of a few documents is uncertain.
+QUANTILE, MARGIN = 0.005, 0.25
+STEPS = 1000
 SEPARATOR = 1  # stands for every character that is no letter; letters stand for themselves
 
 
@@ -217,12 +221,40 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     return predict(docs, model, [F.col(key).alias("k"), held_out(F.col(key)).alias("held_out")], text).withColumnRenamed("k", key)
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with a score above ``least``, with their columns."""
+def least_scores(docs: DataFrame, model: dict | None, key: str, text: str, label: str, quantile: float = QUANTILE) -> tuple[dict[str, float], float]:
+    """By predicted language the score that a document must exceed, and that of languages without held-out labelled documents.
+
+    The quantile is over all labelled documents that are held out, exact to a step of 1 / STEPS, from counts of steps."""
+    if model is None:
+        return {}, 0.0
+    held = docs.where(held_out(F.col(f"`{key}`")) & F.col(f"`{label}`").isNotNull()).select(F.col(f"`{text}`").alias("t"))
+    steps = (predict(held, model, [], "t").where(F.col("lang_pred") != UNKNOWN)
+             .groupBy("lang_pred", F.floor(F.col("score") * STEPS).alias("step")).count().collect())
+    chance = 1 / len(model["languages"])
+
+    def least(rows) -> float:
+        rows, total, upto = sorted((r["step"], r["count"]) for r in rows), sum(r["count"] for r in rows), 0
+        for step, count in rows:
+            upto += count
+            if upto >= total * quantile:
+                return max(0.0, step / STEPS + MARGIN * (chance - step / STEPS))
+        return 0.0
+
+    return {y: least([r for r in steps if r["lang_pred"] == y]) for y in {r["lang_pred"] for r in steps}}, least(steps)
+
+
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified with a score above the least of that language, with their columns.
+
+    Text without letters, in a language that no label names, or of no language goes, as its score is lower than that of nearly all
+    held-out labelled documents. A null label is filled with the language that is predicted; other labels stay as they are."""
     model = fit(sample_grams(docs, key, text, label, ~held_out(F.col(key))))
+    least, pooled = least_scores(docs, model, key, text, label, quantile)
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang_pred")), F.lit(pooled)) if least else F.lit(pooled)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     judged = predict(docs.select(whole, F.col(f"`{text}`").alias("judged")), model, [F.col("row")], "judged")
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least)).select("row.*")
+    named = lambda c: F.coalesce(F.col(f"row.`{c}`"), F.col("lang_pred")).alias(c) if c == label else F.col(f"row.`{c}`")
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > limit)).select(*[named(c) for c in docs.columns])
 
 
 by_value(__name__)
