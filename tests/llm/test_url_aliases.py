@@ -62,6 +62,13 @@ def test_redirect_table_empty_table_and_extra_columns(spark):
     assert url_aliases.judge(frame(spark, [])).collect() == []
 
 
+def test_tags_over_several_lines(spark):
+    rows = [(1, "http://a.org/", '<link\n  href="http://b.net/es/1"\n  rel="canonical"\n>'), (2, "http://c.org/", '<meta\r\n content="0;\n url=http://b.net/fr/1"\r\n http-equiv="refresh">'),
+            (3, "http://d.org/", '<LINK data-x="\n"\tREL="alternate\ncanonical" HREF=\n"http://b.net/es/2">'), (4, "http://e.org/", '<link\nrel="alternate"\nhref="http://b.net/es/3">'),
+            (5, "http://f.org/", '<link rel="next canonical"\nhref="http://b.net/es/4">')]
+    assert verdicts(url_aliases.judge(frame(spark, rows))) == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "block")}
+
+
 @pytest.mark.parametrize("n", [300])
 def test_long_chain(spark, n):
     rows = [(i, f"http://s{i}.org/", f'<link rel="canonical" href="http://s{i + 1}.org">') for i in range(n)]

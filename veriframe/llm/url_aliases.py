@@ -29,9 +29,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LIKELY = r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TAGS = r"(?i)<(?:link|meta)\b[^>]*>"
-CANONICAL = r"""(?i)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
-REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: The SQL's own forms: they see tags on one line only.
+SQL_CANONICAL = r"""(?i)^<link\b.*\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+SQL_REFRESH = r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 TARGET = r"""(?i)\burl\s*=\s*["']?\s*([^"'>\s]+)"""
 
 
@@ -127,9 +130,9 @@ def judge_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
         WITH RECURSIVE rules(v, h, p) AS (VALUES {listed}),
         tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{q(HIDDEN)}', ' ', 'g'), '{q(TAGS)}')) AS tag FROM pages
             WHERE contains(url, '://') AND regexp_matches(html, '{q(LIKELY)}')),
-        targets AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '{q(CANONICAL)}')
+        targets AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '{q(SQL_CANONICAL)}')
                 THEN regexp_extract(tag, '{q(HREF)}', 1) || regexp_extract(tag, '{q(HREF)}', 2) || regexp_extract(tag, '{q(HREF)}', 3)
-                WHEN regexp_matches(tag, '{q(REFRESH)}') THEN regexp_extract(tag, '{q(TARGET)}', 1) END), '&amp;', '&') AS t FROM tags),
+                WHEN regexp_matches(tag, '{q(SQL_REFRESH)}') THEN regexp_extract(tag, '{q(TARGET)}', 1) END), '&amp;', '&') AS t FROM tags),
         bases AS (SELECT url, t, regexp_extract(url, '^[^:]*://[^/?#]*', 0) AS site, regexp_extract(url, '^[^:]*://[^?#]*', 0) AS page FROM targets WHERE t IS NOT NULL),
         whole AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
                 WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR t = '' OR starts_with(t, '#') THEN NULL
