@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, licenses, merge_replay, simhash, spaced_seeds, string_kernel, style_tree, token_counts, url_aliases, vafile
+from . import (kneser_ney, licenses, merge_replay, rank_index, simhash, spaced_seeds, string_kernel, style_tree, tandem_runs, token_counts, trie_join, url_aliases,
+               vafile)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,18 @@ def op9_main_text(spark, folder):
 @query(licenses.scan_sql())
 def op10_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query(rank_index.fill_in_middle_sql())
+def op11_fill_in_middle(spark, folder):
+    return rank_index.digest(rank_index.fill_in_middle(table(spark, folder, "documents")))
+
+
+@query()
+def op12_periodic_runs(spark, folder):
+    return tandem_runs.summary(tandem_runs.periodic_runs(table(spark, folder, "documents"), rewrite=tandem_runs.planted))
+
+
+@query()
+def op13_ngram_jaccard_join(spark, folder):
+    return trie_join.join_classes(table(spark, folder, "documents"))
