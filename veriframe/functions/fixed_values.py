@@ -133,3 +133,11 @@ TITLE_SEARCH_LINK = "https://scholar.google.com/scholar?q="
 
 # Fixed value: blocks above this many records are reported. They are matched like any other block.
 LARGE_BLOCK = 2000
+
+# Names of token counts in a run record, by class, and of the blocks that hold a record's own totals.
+TOKEN_CLASSES = {
+    "input": ["input_tokens", "prompt_tokens", "tokens_in", "total_input_tokens", "input"],
+    "reasoning": ["reasoning_tokens", "total_reasoning_tokens", "reasoning"],
+    "output": ["output_tokens", "completion_tokens", "tokens_out", "total_output_tokens", "output"],
+}
+TOTALS_BLOCKS = ["totals", "token_totals", "tokens", "usage", "summary"]

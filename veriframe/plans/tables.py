@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as ru
+from ..operators import json_totals as jt
 from ..operators import ledger as lg
 from ..operators import ordered as od
 from ..operators import tables as tb
@@ -232,3 +233,18 @@ def usage_totals_unknown(t):
 SELECT event_type, 'k' AS name, sum(CAST(regexp_extract(props, '\\d+') AS DOUBLE)) AS total, 0 AS not_numeric, count(*) AS n FROM events GROUP BY 1""")
 def json_leaf_totals(t):
     return lg.json_number_totals(t.events, "props", "^(k|.*tokens)$", ["event_type"])
+
+
+# Every order is one run record: its lines as nested entries, a name that is no count, text with brackets, and for a third of the orders totals of its own.
+@query("""
+WITH l AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS q, sum(CAST(trunc(l_extendedprice) AS BIGINT)) AS p, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 7 * n ELSE q END AS BIGINT) AS input, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 5 * n ELSE n END AS BIGINT) AS reasoning,
+  CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE p END AS BIGINT) AS output, CAST(CASE WHEN l_orderkey % 3 = 0 THEN 7 * n ELSE q + p END AS BIGINT) AS billable,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'totals block' ELSE 'summed per-record' END AS method FROM l""")
+def json_nested_totals(t):
+    usage = F.struct(c("l_quantity").cast("bigint").alias("prompt_tokens"), F.array(F.struct(c("l_extendedprice").alias("sum_tokens_out"), F.lit("9").alias("input"))).alias("parts"))
+    entry = F.struct(c("l_linenumber").alias("line"), F.lit('a "{[" b').alias("note"), usage.alias("usage"), F.struct(F.lit(1).alias("reasoning")).alias("deep"))
+    n = F.count(F.lit(1))
+    own = F.when(c("l_orderkey") % 3 == 0, F.struct((7 * n).alias("total_input_tokens"), F.array(F.struct((5 * n).alias("reasoning_tokens"))).alias("by_model")))
+    docs = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(entry).alias("records"), own.alias("totals"), F.lit(3).alias("tokens"))).alias("doc"))
+    return jt.json_class_totals(docs, ["l_orderkey"], "doc")
