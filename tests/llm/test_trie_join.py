@@ -64,6 +64,33 @@ def test_trie_equals_brute_force(monkeypatch, node):
                     assert set(sets[i][:need.prefix(len(sets[i]))].tolist()) & set(sets[j][:need.prefix(len(sets[j]))].tolist())
 
 
+def test_parts_and_signatures_keep_links(monkeypatch):
+    monkeypatch.setattr(trie_join, "PART", 40)
+    rng, need = random.Random(5), trie_join.Threshold(90)
+    for _ in range(150):
+        base = {rng.getrandbits(64) for _ in range(rng.choice([5, 9, 12, 30, 39, 42, 80, 84, 170, 330]))}
+        other = {x for x in base if rng.random() > 0.04} | {rng.getrandbits(64) for _ in range(rng.randrange(len(base) // 20 + 2))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (base, other))
+        if base == other or not similar(base, other):
+            continue
+        met = [(p, q) for p in trie_join.parts(x, need) for q in trie_join.parts(y, need) if set(p["first"].tolist()) & set(q["first"].tolist())]
+        good = [trie_join.has_partner(np.zeros(2, np.int64), np.array([p["m"], q["m"]]), np.stack([np.frombuffer(r["signature"], np.uint64) for r in (p, q)]),
+                                      np.arange(2), need).all() for p, q in met]
+        assert any(good)
+
+
+@pytest.mark.parametrize("rows", [3, 40])
+def test_partners_by_group(rows):
+    rng, need = np.random.default_rng(rows), trie_join.Threshold(90)
+    group = np.sort(rng.integers(0, 4, rows))
+    base = rng.integers(0, 1 << 64, (3, 8), np.uint64)
+    bits = base[rng.integers(0, 3, rows)] ^ (rng.random((rows, 8)) < 0.2).astype(np.uint64)
+    m, label = rng.integers(20, 30, rows), rng.integers(0, rows // 2 + 1, rows)
+    got = trie_join.has_partner(group, m, bits, label, need)
+    for i in range(rows):
+        assert got[i] == any(group[i] == group[j] and label[i] != label[j] and int(np.bitwise_count(bits[i] ^ bits[j]).sum()) * 190 <= 10 * (m[i] + m[j]) for j in range(rows))
+
+
 def test_order_puts_rare_buckets_first():
     rng = np.random.default_rng(1)
     found = np.unique(rng.integers(0, 1 << 64, 500, np.uint64))
@@ -104,8 +131,9 @@ def plain_result(docs):
     return sorted(repr((k, len(s), k if not s else least.get(r))) for (k, s), r in zip(rows, root, strict=True))
 
 
-@pytest.mark.parametrize("block,first", [(1024, 3), (4, 1)])
-def test_join_equals_brute_force(spark, monkeypatch, block, first):
+@pytest.mark.parametrize("block,first,part", [(1024, 3, 1000), (4, 1, 30)])
+def test_join_equals_brute_force(spark, monkeypatch, block, first, part):
+    monkeypatch.setattr(trie_join, "PART", part)
     monkeypatch.setattr(trie_join, "BLOCK", block)
     monkeypatch.setattr(trie_join, "FIRST", first)
     docs = corpus(spark)

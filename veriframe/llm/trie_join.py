@@ -2,9 +2,12 @@
 
 Every text becomes the set of its word shingles, as 64-bit numbers whose order is one global order: shingles of rarer buckets come first
 (a sketch of fixed size counts all shingles of the corpus). Two sets that are similar enough share a shingle among the first few of each,
-so a set is a candidate only under its first shingles that another set has there too.
+so a set is a candidate only under its first shingles. Under one shingle the parity signatures of the sets are compared (each differing
+member turns one bit, so more differing bits than allowed members rule a pair out); only sets that still have a partner go on, whole. A
+large set is dealt into parts by a hash of the shingle: if two sets are similar enough, some part of them is, so that a signature has one
+size for sets of any size.
 
-The sets of one such shingle are stored in a trie: sets with the same beginning share its nodes. A set walks the trie of the others level
+The sets of one shingle are stored in a trie: sets with the same beginning share its nodes. A set walks the trie of the others level
 by level and carries the overlap with each node, which all sets below share; a subtree is left where the overlap so far and what remains of
 the set or of the longest set below cannot reach the overlap that is needed. At the end of a set its overlap is exact.
 
@@ -33,6 +36,9 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1_000_000
 #: Shared shingles under which a set is joined at first.
 FIRST = 3
+#: Members of a part that has a signature of its own, about; bits of a signature.
+PART = 1000
+SIGNATURE_BITS = 512
 #: Longest stretch of a node, in shingles.
 NODE = 32
 #: Words whose numbers a task keeps.
@@ -99,6 +105,10 @@ class Threshold:
         """So many first members of a set hold one that a linked set has among its own first."""
         return n + -self.percent * n // 100 + 1
 
+    def differing(self, a, b):
+        """Most members that only one of two linked sets of ``a`` and ``b`` members has."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
+
     def lonely(self, n):
         """Whether a set of ``n`` members can be linked with its equals only."""
         return (100 * (n - 1) < self.percent * n) & (100 * n < self.percent * (n + 1))
@@ -250,44 +260,124 @@ def sketch(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return counts
 
 
+def levels(n: int, need: Threshold) -> range:
+    """The levels at which a set of ``n`` members is filed: at level L it has 2**L parts. A linked set is filed at one of them too."""
+    level = lambda m: max(0, (-(-m // PART) - 1).bit_length())
+    return range(level(-(-need.percent * n // 100)), level(n) + 1)
+
+
+def parts(found: np.ndarray, need: Threshold) -> list[dict]:
+    """The parts of an ordered set: number, size, signature and the names of its first members, under which it is filed."""
+    out = []
+    if not len(found) or need.lonely(len(found)):
+        return out
+    for level in levels(len(found), need):
+        of = found >> np.uint64(9) & np.uint64((1 << level) - 1)
+        for p in range(1 << level):
+            own = found[of == p] if level else found
+            if len(own):
+                odd = np.bincount((own & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+                first = (own[:need.prefix(len(own))] ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+                out.append({"part": (1 << level) + p, "m": len(own), "signature": np.packbits(odd.astype(np.uint8)).tobytes(), "first": first})
+    return out
+
+
 def described(docs: DataFrame, key: str, text: str, shingle: int, need: Threshold, ranks: Shared) -> DataFrame:
-    """``k, a, b, s, n, first``: key and row id of each row, the 128-bit name of its set, the set's size and its first members, under which
-    a linked set is found (none, if only equal sets can be linked)."""
+    """``k, a, b, s, n, parts``: key and row id of each row, the 128-bit name of its set, the set's size and its parts (none, if only equal
+    sets can be linked)."""
     import pyarrow as pa
 
     k, t = F.col(key), F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(k.alias("k"), F.xxhash64(t, k).alias("a"), F.xxhash64(k, F.lit("/"), t).alias("b"), t.cast("binary").alias("t"))
+    kind = "array<struct<part:int,m:long,signature:binary,first:array<long>>>"
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("s", T.BinaryType()), T.StructField("n", T.LongType()),
-                           T.StructField("first", T.ArrayType(T.LongType()))])
+                           T.StructField("parts", T._parse_datatype_string(kind))])
+    arrow = pa.list_(pa.struct([("part", pa.int32()), ("m", pa.int64()), ("signature", pa.binary()), ("first", pa.list_(pa.int64()))]))
 
     def run(batches):
         import xxhash
 
         place, numbers = ranks.derived(bucket_ranks), WordNumbers()
         for batch in batches:
-            names, sizes, first = [], [], []
+            names, sizes, filed = [], [], []
             for t in batch.column(3):
                 found = ordered(shingle_set(t.as_py(), shingle, numbers), place)
-                n = len(found)
                 names.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sizes.append(n)
-                first.append(found[:0 if not n or need.lonely(n) else need.prefix(n)].view(np.int64))
+                sizes.append(len(found))
+                filed.append(parts(found, need))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()),
-                                              pa.array(first, pa.list_(pa.int64()))], names=schema.names)
+                                              pa.array(filed, arrow)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``g, lo, hi`` and the columns: every two blocks of a shingle's rows (``g, blocks, s``) meet in one group, sorted by group."""
+    groups = (rows.withColumn("_b", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+              .select("g", *columns, "_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_c"))
+              .select("g", F.least("_b", "_c").alias("lo"), F.greatest("_b", "_c").alias("hi"), *columns))
+    return groups.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+
+
+def has_partner(group: np.ndarray, m: np.ndarray, signature: np.ndarray, label: np.ndarray, need: Threshold) -> np.ndarray:
+    """Whether a row can be linked with another row of its group that has another label. Groups stand one after another."""
+    size = np.diff(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)))
+    mine, out = np.repeat(size, size), np.zeros(len(group), bool)
+
+    def near(i, j):
+        apart = np.bitwise_count(signature[i] ^ signature[j]).sum(axis=-1, dtype=np.int64)
+        return (apart <= need.differing(m[i], m[j])) & (label[i] != label[j])
+
+    for ahead in range(1, int(min(size.max(initial=0), 16))):  # small groups: pairs at each offset, all groups at once
+        i = np.flatnonzero((group[:-ahead] == group[ahead:]) & (mine[:-ahead] <= 16))
+        i = i[near(i, i + ahead)]
+        out[i] = out[i + ahead] = True
+    for at in np.flatnonzero(np.diff(group, prepend=-1) != 0)[size > 16].tolist():
+        every = np.arange(at, at + mine[at])
+        for some in np.array_split(every, -(-len(every) // 64)):
+            out[some] |= near(some[:, None], every[None, :]).any(axis=1)
+    return out
+
+
+def near_members(rows: DataFrame, need: Threshold) -> DataFrame:
+    """The rows (``g, blocks, s, m, signature, label``) that have a partner under their shingle: ``g, s, m, signature``."""
+    import pyarrow as pa
+
+    def run(batches):
+        kept = None
+        for batch in _and_end(batches):
+            held = [x for x in (kept, batch) if x is not None and x.num_rows]
+            if not held:
+                continue
+            table = pa.concat_batches(held)
+            g, lo, hi = (table.column(i).to_numpy() for i in range(3))
+            new = np.flatnonzero((np.diff(g) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            upto = len(g) if batch is None else (int(new[-1]) if len(new) else 0)
+            kept = table.slice(upto) if upto < len(g) else None
+            if upto:
+                group = np.zeros(upto, np.int64)
+                group[new[new < upto]] = 1
+                head = table.slice(0, upto)
+                bits = np.frombuffer(b"".join(head.column("signature").to_pylist()), np.uint64).reshape(upto, -1)
+                label = head.column("label").dictionary_encode().indices.to_numpy()
+                found = has_partner(np.cumsum(group), head.column("m").to_numpy(), bits, label, need)
+                yield head.filter(pa.array(found)).select(["g", "s", "m", "signature"])
+
+    return (in_blocks(rows, ["s", "m", "signature", "label"]).mapInArrow(run, "g long, s binary, m long, signature binary")
+            .dropDuplicates(["g", "s"]))
+
+
+def _and_end(items):
+    yield from items
+    yield None
+
+
 def joined(members: DataFrame, need: Threshold) -> DataFrame:
     """Edges ``src, dst`` between labels that connect exactly those connected by links of sets of one shingle ``g``.
 
     ``members``: g, blocks, s, label, set. Every two blocks of a shingle meet in one group."""
     import pyarrow as pa
 
-    groups = (members.withColumn("_b", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-              .select("g", "s", "label", "set", "_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_c"))
-              .select("g", F.least("_b", "_c").alias("lo"), F.greatest("_b", "_c").alias("hi"), "s", "label", "set"))
-
     def edges(labels, sets):
         root = roots(sets, labels, need)
         found = {(labels[i], labels[r]) for i, r in enumerate(root.tolist()) if labels[i] != labels[r]}
@@ -306,14 +396,14 @@ def joined(members: DataFrame, need: Threshold) -> DataFrame:
         if len(set(labels)) > 1:
             yield edges(labels, sets)
 
-    return groups.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, "src binary, dst binary").distinct()
+    return in_blocks(members, ["s", "label", "set"]).mapInArrow(run, "src binary, dst binary").distinct()
 
 
-def with_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (g, s, n, ...) of shingles that at least two rows have, with the number of blocks of each shingle."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    per = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), blocks).where("m > 1")
-    return attach_per_key(rows, per, ["g"], "m")
+def with_blocks(rows: DataFrame, size: str) -> DataFrame:
+    """``rows`` (g, ...) of shingles that at least two rows have, with the number of blocks of each shingle; ``size``: shingles of a row."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    per = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_m"), blocks).where("_m > 1")
+    return attach_per_key(rows, per, ["g"], "_m").drop("_m")
 
 
 def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle: int) -> DataFrame:
@@ -324,9 +414,14 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     ranks = Shared(spark, sketch(docs, text, shingle))
     every = cut_lineage(described(docs, key, text, shingle, need, ranks))
     # One row for each distinct set; copies cost nothing from here on.
-    per = every.where(F.size("first") > 0).groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("first").alias("first"))
-    filed = per.select("s", "n", "r.a", "r.b", F.explode("first").alias("g"))
-    shared = cut_lineage(with_blocks(filed).select("g", "s", "n", "a", "b"))
+    per = cut_lineage(every.where(F.size("parts") > 0).groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("parts").alias("parts")))
+    each = per.select("s", F.explode("parts").alias("p"))
+    filed = each.select("s", F.col("p.part").alias("part"), F.explode("p.first").alias("g"))
+    counts = filed.groupBy("g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    shared = attach_per_key(filed, counts, ["g"], "_m").select("g", "s", "part")
+    signed = shared.join(each.select("s", "p.part", "p.m", "p.signature"), ["s", "part"]).select("g", "s", "m", "signature")
+    # Under each shingle the sets that may be linked with another.
+    near = cut_lineage(near_members(with_blocks(signed, "m").withColumn("label", F.col("s")), need).join(per.select("s", "n"), "s"))
 
     def run(batches):
         place, numbers = ranks.derived(bucket_ranks), WordNumbers()
@@ -342,21 +437,21 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     # A set is identified by the first of its rows; of repeated rows (the same key and text) one is taken.
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.xxhash64(t, F.col(key)).alias("a"), F.xxhash64(F.col(key), F.lit("/"), t).alias("b"), t.cast("binary").alias("t"))
-    wanted = shared.select("s", "a", "b").distinct()
+    wanted = per.select("s", "r.a", "r.b").join(near.select("s").distinct(), "s", "left_semi")
     sets = cut_lineage(texts.join(wanted, ["a", "b"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(run, "s binary, set binary"))
 
-    # The order of shingles is unsigned; as longs they are compared by it after turning the sign.
-    least = F.array_sort(F.collect_list(F.struct(F.col("g").bitwiseXOR(F.lit(-(1 << 63))).alias("o"), "g")))
-    routes = shared.groupBy("s").agg(least.alias("gs"), F.first("n").alias("n")).select("s", "n", F.explode(F.slice("gs", 1, FIRST)).alias("e")).select("s", "n", "e.g")
-    near = joined(with_blocks(routes).select("g", "blocks", "s", F.col("s").alias("label")).join(sets, "s").select("g", "blocks", "s", "label", "set"), need)
-    parts = cut_lineage(connected_components(cut_lineage(near)).select(F.col("node").alias("s"), "component"))
+    least = F.array_sort(F.collect_list("g"))  # any fixed order does: linked sets share most of their shingles
+    routes = near.groupBy("s").agg(least.alias("gs"), F.first("n").alias("n")).select("s", "n", F.explode(F.slice("gs", 1, FIRST)).alias("g"))
+    once = joined(with_blocks(routes, "n").withColumn("label", F.col("s")).join(sets, "s"), need)
+    parted = cut_lineage(connected_components(cut_lineage(once)).select(F.col("node").alias("s"), "component"))
 
-    # What the first shingles have not connected meets under every shingle that sets of several components share.
-    labelled = shared.select("g", "s", "n").join(parts, "s", "left").select("g", "s", "n", F.coalesce("component", "s").alias("label"))
+    # What the first shingles have not connected meets under every shingle where sets of several components may be linked.
+    labelled = near.join(parted, "s", "left").select("g", "s", "n", "m", "signature", F.coalesce("component", "s").alias("label"))
     apart = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    rest = with_blocks(cut_lineage(labelled.join(apart, "g", "left_semi")))
-    far = joined(rest.select("g", "blocks", "s", "label").join(sets, "s").select("g", "blocks", "s", "label", "set"), need)
-    whole = connected_components(cut_lineage(parts.select(F.col("s").alias("src"), F.col("component").alias("dst")).where("src <> dst").unionByName(far)))
+    rest = cut_lineage(labelled.join(apart, "g", "left_semi"))
+    left = near_members(with_blocks(rest, "m"), need).select("g", "s").join(rest.select("g", "s", "n", "label"), ["g", "s"])
+    twice = joined(with_blocks(cut_lineage(left), "n").join(sets, "s"), need)
+    whole = connected_components(cut_lineage(parted.select(F.col("s").alias("src"), F.col("component").alias("dst")).where("src <> dst").unionByName(twice)))
     return (every.select("k", "a", "b", "s", "n").join(whole.select(F.col("node").alias("s"), "component"), "s", "left")
             .select("k", "a", "b", "s", "n", F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("class")))
 
