@@ -75,7 +75,7 @@ def test_parts_and_signatures_keep_links(monkeypatch):
             continue
         met = [(p, q) for p in trie_join.parts(x, need) for q in trie_join.parts(y, need) if set(p["first"].tolist()) & set(q["first"].tolist())]
         good = [trie_join.has_partner(np.zeros(2, np.int64), np.array([p["m"], q["m"]]), np.stack([np.frombuffer(r["signature"], np.uint64) for r in (p, q)]),
-                                      np.arange(2), need).all() for p, q in met]
+                                      np.arange(2), np.zeros((2, 0), np.int64), need).all() for p, q in met]
         assert any(good)
 
 
@@ -86,9 +86,10 @@ def test_partners_by_group(rows):
     base = rng.integers(0, 1 << 64, (3, 8), np.uint64)
     bits = base[rng.integers(0, 3, rows)] ^ (rng.random((rows, 8)) < 0.2).astype(np.uint64)
     m, label = rng.integers(20, 30, rows), rng.integers(0, rows // 2 + 1, rows)
-    got = trie_join.has_partner(group, m, bits, label, need)
+    met = rng.integers(0, 30, (rows, 2))
+    got = trie_join.has_partner(group, m, bits, label, met, need)
     for i in range(rows):
-        assert got[i] == any(group[i] == group[j] and label[i] != label[j] and int(np.bitwise_count(bits[i] ^ bits[j]).sum()) * 190 <= 10 * (m[i] + m[j]) for j in range(rows))
+        assert got[i] == any(group[i] == group[j] and label[i] != label[j] and int(np.bitwise_count(bits[i] ^ bits[j]).sum()) * 190 <= 10 * (m[i] + m[j]) and not set(met[i]) & set(met[j]) for j in range(rows))
 
 
 def test_order_puts_rare_buckets_first():

@@ -319,14 +319,16 @@ def in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     return groups.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
 
 
-def has_partner(group: np.ndarray, m: np.ndarray, signature: np.ndarray, label: np.ndarray, need: Threshold) -> np.ndarray:
-    """Whether a row can be linked with another row of its group that has another label. Groups stand one after another."""
+def has_partner(group: np.ndarray, m: np.ndarray, signature: np.ndarray, label: np.ndarray, met: np.ndarray, need: Threshold) -> np.ndarray:
+    """Whether a row can be linked with another row of its group that has another label and that it has not met (``met``: a row of numbers
+    each; two that share a number have met). Groups stand one after another."""
     size = np.diff(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)))
     mine, out = np.repeat(size, size), np.zeros(len(group), bool)
 
     def near(i, j):
         apart = np.bitwise_count(signature[i] ^ signature[j]).sum(axis=-1, dtype=np.int64)
-        return (apart <= need.differing(m[i], m[j])) & (label[i] != label[j])
+        known = (met[i][..., :, None] == met[j][..., None, :]).any(axis=(-1, -2))
+        return (apart <= need.differing(m[i], m[j])) & (label[i] != label[j]) & ~known
 
     for ahead in range(1, int(min(size.max(initial=0), 16))):  # small groups: pairs at each offset, all groups at once
         i = np.flatnonzero((group[:-ahead] == group[ahead:]) & (mine[:-ahead] <= 16))
@@ -340,7 +342,8 @@ def has_partner(group: np.ndarray, m: np.ndarray, signature: np.ndarray, label:
 
 
 def near_members(rows: DataFrame, need: Threshold) -> DataFrame:
-    """The rows (``g, blocks, s, m, signature, label``) that have a partner under their shingle: ``g, s, m, signature``."""
+    """The rows (``g, blocks, s, m, signature, label, met``) that have a partner under their shingle: ``g, s, m, signature``. Sets that
+    share one of the shingles ``met`` (as many for every set) have been compared."""
     import pyarrow as pa
 
     def run(batches):
@@ -360,10 +363,11 @@ def near_members(rows: DataFrame, need: Threshold) -> DataFrame:
                 head = table.slice(0, upto)
                 bits = np.frombuffer(b"".join(head.column("signature").to_pylist()), np.uint64).reshape(upto, -1)
                 label = head.column("label").dictionary_encode().indices.to_numpy()
-                found = has_partner(np.cumsum(group), head.column("m").to_numpy(), bits, label, need)
+                met = head.column("met").flatten().to_numpy().reshape(upto, -1)
+                found = has_partner(np.cumsum(group), head.column("m").to_numpy(), bits, label, met, need)
                 yield head.filter(pa.array(found)).select(["g", "s", "m", "signature"])
 
-    return (in_blocks(rows, ["s", "m", "signature", "label"]).mapInArrow(run, "g long, s binary, m long, signature binary")
+    return (in_blocks(rows, ["s", "m", "signature", "label", "met"]).mapInArrow(run, "g long, s binary, m long, signature binary")
             .dropDuplicates(["g", "s"]))
 
 
@@ -421,7 +425,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     shared = attach_per_key(filed, counts, ["g"], "_m").select("g", "s", "part")
     signed = shared.join(each.select("s", "p.part", "p.m", "p.signature"), ["s", "part"]).select("g", "s", "m", "signature")
     # Under each shingle the sets that may be linked with another.
-    near = cut_lineage(near_members(with_blocks(signed, "m").withColumn("label", F.col("s")), need).join(per.select("s", "n"), "s"))
+    near = cut_lineage(near_members(with_blocks(signed, "m").withColumns({"label": F.col("s"), "met": F.array().cast("array<long>")}), need).join(per.select("s", "n"), "s"))
 
     def run(batches):
         place, numbers = ranks.derived(bucket_ranks), WordNumbers()
@@ -440,13 +444,16 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     wanted = per.select("s", "r.a", "r.b").join(near.select("s").distinct(), "s", "left_semi")
     sets = cut_lineage(texts.join(wanted, ["a", "b"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(run, "s binary, set binary"))
 
-    least = F.array_sort(F.collect_list("g"))  # any fixed order does: linked sets share most of their shingles
-    routes = near.groupBy("s").agg(least.alias("gs"), F.first("n").alias("n")).select("s", "n", F.explode(F.slice("gs", 1, FIRST)).alias("g"))
-    once = joined(with_blocks(routes, "n").withColumn("label", F.col("s")).join(sets, "s"), need)
+    # Any fixed order of shingles does: linked sets share most of their first ones.
+    own = near.groupBy("s").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("n").alias("n"))
+    routes = cut_lineage(own.select("s", "n", F.transform(F.sequence(F.lit(0), F.lit(FIRST - 1)), lambda i: F.get("gs", F.least(i, F.size("gs") - 1))).alias("met")))
+    first = routes.select("s", "n", F.explode(F.array_distinct("met")).alias("g"))
+    once = joined(with_blocks(first, "n").withColumn("label", F.col("s")).join(sets, "s"), need)
     parted = cut_lineage(connected_components(cut_lineage(once)).select(F.col("node").alias("s"), "component"))
 
-    # What the first shingles have not connected meets under every shingle where sets of several components may be linked.
-    labelled = near.join(parted, "s", "left").select("g", "s", "n", "m", "signature", F.coalesce("component", "s").alias("label"))
+    # Sets that have not met yet meet under every other shingle where they may link two components.
+    labelled = (near.join(routes.select("s", "met"), "s").join(parted, "s", "left")
+                .select("g", "s", "n", "m", "signature", F.coalesce("component", "s").alias("label"), "met"))
     apart = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
     rest = cut_lineage(labelled.join(apart, "g", "left_semi"))
     left = near_members(with_blocks(rest, "m"), need).select("g", "s").join(rest.select("g", "s", "n", "label"), ["g", "s"])
