@@ -38,21 +38,9 @@ def test_row_numbers_equal_one_window(skewed):
     assert whole.where("rn <> w").count() == 0
 
 
-def test_running_sum_and_previous_cross_buckets(skewed):
-    w = W.partitionBy("g").orderBy("x", "id")
-    r = od.running_sum(skewed, c("v"), ["x", "id"], F.floor(c("x") / 7), ["g"])
-    assert r.withColumn("w", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0))).where("abs(running - w) > 1e-9").count() == 0
+def test_previous_crosses_buckets(skewed):
     p = od.previous(skewed, "v", ["x", "id"], F.floor(c("x") / 7), ["g"])
-    assert p.withColumn("w", F.lag("v").over(w)).where("NOT (prev <=> w)").count() == 0
-
-
-def test_quantiles_equal_exact_percentiles(skewed):
-    got = {r.g: r for r in od.quantiles(skewed, "v", ["g"], {"a": 0.5, "b": 0.9, "c": 0.0, "d": 1.0, "e": 0.333}, F.floor(c("v") / 5)).collect()}
-    want = skewed.groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", q).alias(k) for k, q in zip("abcde", (0.5, 0.9, 0.0, 1.0, 0.333))]).collect()
-    assert len(got) == len(want) == 4
-    for r in want:
-        assert got[r.g].n == r.n and all(got[r.g][k] == pytest.approx(r[k]) for k in "abcde")
-    assert od.quantiles(skewed, "v", [], {"m": 0.5}, F.floor("v")).first().m == pytest.approx(skewed.agg(F.percentile("v", 0.5)).first()[0])
+    assert p.withColumn("w", F.lag("v").over(W.partitionBy("g").orderBy("x", "id"))).where("NOT (prev <=> w)").count() == 0
 
 
 def test_latest_and_superseded_split_the_log(skewed):
@@ -73,10 +61,10 @@ def test_sample_is_an_exact_seeded_fraction_of_a_hot_stratum(skewed):
 
 def test_batches_and_continued_ids(spark):
     df = spark.range(450).select(c("id"))
-    n = {r.batch: r["count"] for r in sp.batches(df, "id", 200, od.id_bucket("id", 50), 3).groupBy("batch").count().collect()}
+    n = {r.batch: r["count"] for r in sp.batches(df, "id", 200, 3).groupBy("batch").count().collect()}
     assert n == {3: 200, 4: 200, 5: 50}
     old = spark.createDataFrame([("FTR-009",), ("FTR-012",), ("other",)], "rid string")
-    new = sp.continue_ids(old, "rid", spark.range(3).withColumnRenamed("id", "k"), "k", od.id_bucket("k"), "FTR-")
+    new = sp.continue_ids(old, "rid", spark.range(3).withColumnRenamed("id", "k"), "k", "FTR-")
     assert [r.rid for r in new.orderBy("k").collect()] == ["FTR-013", "FTR-014", "FTR-015"]
 
 
@@ -167,7 +155,7 @@ def test_containment_equals_scan(spark):
     dd = spark.createDataFrame(list(enumerate(docs)), "d int, t string")
     qq = spark.createDataFrame(list(enumerate(quotes)), "q int, s string")
     got = {(r.q, r.d) for r in ct.locate_verbatim(qq, "q", "s", dd, "d", "t").collect()}
-    want = {(i, j) for i, q in enumerate(quotes) for j, d in enumerate(docs) if len(q.split()) >= 4 and " ".join(q.lower().split()) in d}
+    want = {(i, j) for i, q in enumerate(quotes) for j, d in enumerate(docs) if q.split() and " ".join(q.lower().split()) in d}
     assert want and got == want
 
     def big(s):

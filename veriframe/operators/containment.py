@@ -12,18 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text as tx
+from ..functions.pages import page_map
 from ..session import cut_lineage
+from .phrases import locate
 
-# Fixed value: a shorter quote is too short to be checked.
-MIN_WORDS = 4
+#: A quote of so many words has a pair of inner words to be found by; a shorter one is looked up word by word.
+PAIR_WORDS = 4
 
 
-def split_pages(docs: DataFrame, key: str, text: str, marker: str = r"\[\[page (\d+)\]\]") -> DataFrame:
-    """``(key, page, text)`` from page markers; text before the first marker is dropped."""
-    body = F.posexplode(F.slice(F.split(text, marker), 2, F.size(F.split(text, marker)))).alias("_i", "page_text")
-    nums = F.regexp_extract_all(text, F.lit(marker), F.lit(1)).alias("_n")
-    return (docs.select(key, nums, body)
-            .select(key, F.get("_n", F.col("_i")).cast("int").alias("page"), F.col("page_text").alias(text)))
+def split_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, page, text)`` from page markers or form feeds; text before the first marker is dropped."""
+    return docs.select(key, F.explode(page_map(F.col(text))).alias("_p")).select(key, F.col("_p.page").alias("page"), F.col("_p.text").alias(text))
 
 
 def _gram_hashes(ws: Column) -> Column:
@@ -47,12 +46,13 @@ def _rarest(grams: DataFrame, df_counts: DataFrame, key: str, keep: Column) -> D
 def locate_verbatim(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str) -> DataFrame:
     """``(quote_key, doc_key)`` for every text that contains the quote.
 
-    Both are lower-cased with whitespace squeezed. The anchor is a pair of neighbouring inner words:
-    inner words stand whole in any text that contains the quote. Quotes with fewer than ``MIN_WORDS``
-    words are not evidence and are not looked up.
+    Both are lower-cased with whitespace squeezed. The anchor is a pair of neighbouring inner words: inner words stand whole in any text
+    that contains the quote. Quotes with fewer than ``PAIR_WORDS`` words have no such pair and go through the positional index of words.
+    A quote without a word is in no text.
     """
-    q = quotes.select(quote_key, tx.normalize_quote(F.col(quote)).alias("_q")).withColumn("_w", F.split("_q", " "))
-    q = q.where(F.size("_w") >= MIN_WORDS)
+    quotes = cut_lineage(quotes.select(quote_key, tx.normalize_quote(F.col(quote)).alias("_q")).withColumn("_w", F.split("_q", " ")))
+    q = quotes.where(F.size("_w") >= PAIR_WORDS)
+    few = quotes.where(F.size("_w") < PAIR_WORDS)
     d = docs.select(doc_key, tx.normalize_quote(F.col(text)).alias("_t"))
     inner = F.slice("_w", F.lit(2), F.size("_w") - 2)
     grams_q = _pairs(q.withColumn("need", F.lit(1)), [quote_key, "need"], inner)
@@ -61,18 +61,18 @@ def locate_verbatim(quotes: DataFrame, quote_key: str, quote: str, docs: DataFra
     freq = grams_d.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     anchors = _rarest(grams_q, freq, quote_key, F.lit(1))
     candidates = anchors.join(grams_d, "gram").select(quote_key, doc_key).distinct()
-    return (candidates.join(q.select(quote_key, "_q"), quote_key).join(d, doc_key)
-            .where(F.contains("_t", "_q")).select(quote_key, doc_key))
+    found = (candidates.join(q.select(quote_key, "_q"), quote_key).join(d, doc_key)
+             .where(F.contains("_t", "_q")).select(quote_key, doc_key))
+    if few.isEmpty():
+        return found
+    return found.unionByName(locate(few, quote_key, "_q", docs, doc_key, text))
 
 
 def quote_status(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str) -> DataFrame:
-    """``(quote_key, status, texts)`` for every quote: ``found`` with the number of texts that contain it, ``not_found``, or ``too_short``
-    to be looked up."""
+    """``(quote_key, status, texts)`` for every quote: ``found`` with the number of texts that contain it, or ``not_found``."""
     n = locate_verbatim(quotes, quote_key, quote, docs, doc_key, text).groupBy(quote_key).agg(F.count(F.lit(1)).alias("texts"))
-    short = F.size(F.split(tx.normalize_quote(F.col(quote)), " ")) < MIN_WORDS
-    return (quotes.select(quote_key, F.coalesce(short, F.lit(True)).alias("_short")).join(n, quote_key, "left")
-            .select(quote_key, F.when(F.col("_short"), "too_short").when(F.col("texts") > 0, "found").otherwise("not_found").alias("status"),
-                    F.coalesce("texts", F.lit(0)).alias("texts")))
+    return (quotes.select(quote_key).join(n, quote_key, "left")
+            .select(quote_key, F.when(F.col("texts") > 0, "found").otherwise("not_found").alias("status"), F.coalesce("texts", F.lit(0)).alias("texts")))
 
 
 def bigram_share(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str,

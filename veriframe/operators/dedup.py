@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from .fuzzy import first_token, similar_titles
 from .graph import connected_components
-from .ordered import id_bucket, row_numbers
+from .ranges import number_rows
 from .skew import attach_per_key
 
 # Rank of the match rules, strongest first.
@@ -241,7 +241,7 @@ def listed_values(records: DataFrame, groups: DataFrame, fields: list[str], sep:
 
 def record_ids(group_rows: DataFrame, prefix: str = "FS-", width: int = 6) -> DataFrame:
     """Consecutive ids by the group's least input index, without a one-task sort."""
-    out = row_numbers(group_rows, ["group_idx"], id_bucket("group_idx"), name="n")
+    out = number_rows(group_rows, ["group_idx"], name="n")
     return out.withColumn("record_id", F.format_string(f"{prefix}%0{width}d", "n")).drop("n")
 
 

@@ -60,3 +60,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", h
     roots = e.select(F.col("v").alias("node")).distinct()
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 10_000) -> DataFrame:
+    """``(node, hops)``: every node that a seed leads to along directed edges, with the fewest edges to it; seeds have 0.
+
+    Each round follows the edges of the nodes that were new in the round before, so an edge is used once and cycles end. A round is a join of
+    the new nodes with the edges and an anti-join with what has been reached; both are written, so lineage does not grow.
+    """
+    e = cut_lineage(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s IS NOT NULL AND _d IS NOT NULL").distinct())
+    new = cut_lineage(seeds.select(F.col(node).alias("_n")).where("_n IS NOT NULL").distinct())
+    reached = new.withColumn("_h", F.lit(0))
+    for hop in range(1, max_rounds + 1):
+        seen = Observation()
+        step = (e.join(new, e["_s"] == new["_n"], "left_semi").select(F.col("_d").alias("_n")).distinct()
+                .join(reached.select("_n"), "_n", "left_anti"))
+        new = cut_lineage(step.observe(seen, F.count(F.lit(1)).alias("n")))
+        if seen.get["n"] == 0:
+            return reached.select(F.col("_n").alias(node), F.col("_h").alias("hops"))
+        reached = reached.unionByName(new.withColumn("_h", F.lit(hop)))
+    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.rules import first_verdict
 from ..functions.stats import ratio
 from .fuzzy import first_token, similar_titles
+from .ranges import sort_key
 
 
 def lookup(rows: DataFrame, dim: DataFrame, key: str, fields: list[str], missing: str = "") -> DataFrame:
@@ -78,18 +79,24 @@ def bridge_parents(children: DataFrame, child_key: str, parent: str, bridges: li
         *[c for c in children.columns if c != parent], F.coalesce(own, "_via", F.lit("")).alias(parent))
 
 
-def interval_join(points: DataFrame, windows: DataFrame, by: list[str], at: str, start: str, end: str,
-                  unit: str = "day") -> DataFrame:
-    """Points inside ``[start, end]`` windows of the same group.
+def interval_join(points: DataFrame, windows: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Points inside ``[start, end]`` windows of the same group; numbers, dates and times.
 
-    Both sides meet on the calendar bucket of the point; a window is listed once per bucket it
-    touches. The join is an equi-join, whatever the number of windows.
+    A dyadic index: a window of a length up to 2**L stands in the one or two cells of that width it touches, so a long window is no more rows
+    than a short one. A point looks once into its cell of every width that some window has (fewer than 64). The join is an equi-join on
+    group, width and cell. A window that ends before it starts, or has an open end, holds nothing.
     """
-    p = points.withColumn("_b", F.date_trunc(unit, at))
-    step = F.expr(f"INTERVAL 1 {unit.upper()}")
-    w = windows.withColumn("_b", F.explode(F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), step)))
+    lo, hi = (sort_key(F.col(c), windows.schema[c].dataType) for c in (start, end))
+    length = F.try_subtract("_hi", "_lo")
+    width = F.when(length.isNull(), 63).otherwise(F.ceil(F.log2(length.cast("double") + 1)).cast("int") + 1)  # one more, against rounding
+    w = windows.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_width", F.least(width, F.lit(63)))
+    widths = sorted(r[0] for r in w.select("_width").distinct().collect())  # small numbers, at most 64
+    cell = lambda c: F.call_function("shiftright", F.col(c), F.col("_width"))
+    w = w.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("_lo"), cell("_hi"))))).drop("_lo", "_hi")
+    p = (points.withColumn("_at", sort_key(F.col(at), points.schema[at].dataType)).where("_at IS NOT NULL")
+         .withColumn("_width", F.explode(F.array(*[F.lit(x) for x in widths]).cast("array<int>"))).withColumn("_cell", cell("_at")).drop("_at"))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    return p.join(w, [*by, "_b"]).where(inside).drop("_b")
+    return p.join(w, [*by, "_width", "_cell"]).where(inside).drop("_width", "_cell")
 
 
 def recall(seeds: DataFrame, pool: DataFrame, key: str) -> DataFrame:

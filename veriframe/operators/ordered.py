@@ -1,9 +1,10 @@
-"""Ordered operators that never put a whole group into one task.
+"""Ordered operators that never put a whole group into one task, for orders with a natural coarse form.
 
 A group (or the whole table) may be far larger than one task can hold. Each operator here takes a
 ``bucket`` expression: any coarse, order-preserving function of the ordering column, e.g.
 ``floor(id / 65536)``, ``date_trunc('hour', ts)`` or the leading digits of a hash. Rows are ranked
-inside ``(group, bucket)``; per-bucket summaries, which are small, carry the rest across buckets.
+inside ``(group, bucket)``; per-bucket summaries, which are small, carry the rest across buckets. Where no such form is known, ``ranges``
+takes the ranges from the data.
 """
 
 from __future__ import annotations
@@ -47,17 +48,6 @@ def row_numbers(df: DataFrame, order_by: list, bucket: Column, group: list[str]
     return out.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + local).drop(KEY, "_offset")
 
 
-def running_sum(df: DataFrame, value: Column, order_by: list, bucket: Column, group: list[str] | None = None,
-                name: str = "running") -> DataFrame:
-    """Running total up to and including the current row."""
-    group = group or []
-    base = _keyed(df.withColumn("_v", value), group, bucket)
-    out = _carry(base, [F.sum("_v").alias("_s")], len(group), "_offset", F.sum("_s"))
-    local = F.sum("_v").over(W.partitionBy(KEY).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
-    total = F.coalesce(F.col("_offset"), F.lit(0)) + F.coalesce(local, F.lit(0))
-    return out.withColumn(name, total).drop(KEY, "_offset", "_v")
-
-
 def previous(df: DataFrame, value: str, order_by: list[str], bucket: Column, group: list[str] | None = None,
              name: str = "prev") -> DataFrame:
     """``lag(value)`` in order, across bucket borders. ``value`` itself must not be NULL."""
@@ -93,33 +83,6 @@ def take_smallest(df: DataFrame, quota: DataFrame, group: list[str], order_by: l
     return whole.unionByName(cut)
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], bucket: Column) -> DataFrame:
-    """Exact interpolated quantiles per group, with count, minimum and maximum.
-
-    Only the buckets that hold a wanted rank are sorted; nothing keeps the values of a group together.
-    """
-    keyed = _keyed(df.where(F.col(value).isNotNull()), by, bucket)
-    groups = [F.col(f"{KEY}.g{i}") for i in range(len(by))] or [F.lit(0)]
-    counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    whole, before = W.partitionBy(*groups), W.partitionBy(*groups).orderBy(f"{KEY}.b").rowsBetween(W.unboundedPreceding, -1)
-    facts = counts.select(KEY, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"),
-                          F.min("_lo").over(whole).alias("min"), F.max("_hi").over(whole).alias("max"))
-    at = {q: (F.col("n") - 1) * F.lit(q) for q in qs.values()}
-    ranks = F.array(*[r for p in at.values() for r in (F.floor(p) + 1, F.ceil(p) + 1)])
-    wanted = F.filter(F.array_distinct(ranks), lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")))
-    marks = facts.withColumn("_want", wanted).where(F.size("_want") > 0).drop("_n")
-    local = F.row_number().over(W.partitionBy(KEY).orderBy(value))
-    hit = keyed.join(marks, KEY).withColumn("_rn", F.col("_before") + local).where(F.array_contains("_want", F.col("_rn")))
-
-    def one(q: float) -> Column:
-        lo = F.max(F.when(F.col("_rn") == F.floor(at[q]) + 1, F.col(value)))
-        hi = F.max(F.when(F.col("_rn") == F.ceil(at[q]) + 1, F.col(value)))
-        part = F.max(at[q] - F.floor(at[q]))
-        return lo + (hi - lo) * part
-    out = hit.groupBy(*by).agg(F.max("n").alias("n"), F.max("min").alias("min"), F.max("max").alias("max"), *[one(q).alias(name) for name, q in qs.items()])
-    return out
-
-
 def latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """Last write wins per key: one partial aggregate, no sort of the group."""
     rest = [c for c in df.columns if c not in keys]

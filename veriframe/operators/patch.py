@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import reachable
+
 VALUE_SLOTS = ["value_text", "value_integer", "value_list"]
 
 
@@ -91,6 +93,33 @@ def isolate(ops: DataFrame, op_id: str, depends_on: str, bad_reason: str, depend
     return j.select(*ops.columns, reason.alias("isolated"))
 
 
+def isolate_unsupported(ops: DataFrame, depends: DataFrame, op: str, kind: str, reasons: dict[str, str], dependent_reason: str) -> DataFrame:
+    """``ops`` (with ``supported``) plus ``isolated`` and ``hops``: an unsupported operation is set aside with the reason of its kind, and
+    everything that depends on one, over any number of steps, with ``dependent_reason``; ``isolated`` is '' for what may be applied.
+
+    ``depends``: ``(op, depends_on)``, any number of rows for an operation. An operation that is unsupported itself keeps that reason.
+    ``hops`` is the least number of dependencies to an unsupported operation.
+    """
+    bad = ops.where(~F.coalesce(F.col("supported"), F.lit(False))).select(F.col(op).alias("node"))
+    lost = reachable(depends, bad, src="depends_on", dst=op)
+    own = None
+    for name, reason in reasons.items():
+        own = F.when(F.col(kind) == name, reason) if own is None else own.when(F.col(kind) == name, reason)
+    j = ops.join(lost.withColumnRenamed("node", op), op, "left")
+    reason = F.when(F.col("hops").isNull(), "").when(F.col("hops") == 0, F.coalesce(own, F.lit("unsupported"))).otherwise(dependent_reason)
+    return j.select(*ops.columns, reason.alias("isolated"), "hops")
+
+
+def partial_records(isolated: DataFrame, record: str, op: str, kind: str) -> DataFrame:
+    """One row for every record with an operation set aside: how many were, what still is applied, the mark ``partial`` and what a person
+    has to look at, one line an operation."""
+    line = F.concat(F.lit("Manual review required: "), F.col(kind), F.lit(" "), F.col(op).cast("string"), F.lit(" ("), F.col("isolated"), F.lit(")."))
+    gone = F.col("isolated") != ""
+    return (isolated.groupBy(record).agg(F.count_if(gone).alias("n_isolated"), F.count_if(~gone).alias("n_applied"),
+                                         F.array_sort(F.collect_list(F.when(gone, line))).alias("remaining"))
+            .where("n_isolated > 0").select(record, "n_isolated", "n_applied", F.lit("partial").alias("completion"), "remaining"))
+
+
 def replacement_guard(old: DataFrame, new: DataFrame, parent: str, row: str, link_ok: Column) -> DataFrame:
     """May a replacement set of rows stand in for the old one: no lost ids, not fewer rows, links valid."""
     o = old.select(parent, row, F.lit(True).alias("_o"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pages import mark_pages
+
 # What is removed from a full text, and the text put in its place, in order.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 IDENTIFIER = r"(?i)\b(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)10\.\d{4,9}/\S+"
@@ -38,8 +40,8 @@ REPEATED_LINE_LENGTH = 120
 
 
 def redact(text: Column) -> Column:
-    """Front matter, contacts, identifiers, citations, identity sections and a late reference list."""
-    t = text
+    """Front matter, contacts, identifiers, citations, identity sections and a late reference list. Form feeds become page markers first."""
+    t = mark_pages(text)
     body, page2 = F.regexp_instr(t, F.lit(BODY_HEADING)), F.regexp_instr(F.substr(t, F.lit(2)), F.lit(PAGE_MARKER))
     marker = F.regexp_extract(t, r"\A\[\[page\s+\d+\]\]", 0)
     marker = F.when(marker != "", marker).otherwise("[[page 1]]")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import round_half_even
-from .ordered import row_numbers, take_smallest
+from .ordered import take_smallest
+from .ranges import number_rows
 
 
 def draw_key(seed: int, key: str) -> Column:
@@ -36,16 +37,15 @@ def sample_round(df: DataFrame, seen: DataFrame, strata: list[str], key: str, fr
     return sample_strata(df.join(seen.select(key), key, "left_anti"), strata, key, fraction, seed + round_no - 1)
 
 
-def batches(df: DataFrame, key: str, size: int, bucket: Column, start: int = 1, name: str = "batch") -> DataFrame:
+def batches(df: DataFrame, key: str, size: int, start: int = 1, name: str = "batch") -> DataFrame:
     """Fixed-size batch numbers in key order."""
-    numbered = row_numbers(df, [key], bucket, name="_rn")
+    numbered = number_rows(df, [key], name="_rn")
     return numbered.withColumn(name, (F.floor((F.col("_rn") - 1) / size) + start).cast("bigint")).drop("_rn")
 
 
-def continue_ids(existing: DataFrame, id_col: str, new: DataFrame, order: str, bucket: Column, prefix: str,
-                 width: int = 3) -> DataFrame:
+def continue_ids(existing: DataFrame, id_col: str, new: DataFrame, order: str, prefix: str, width: int = 3) -> DataFrame:
     """Give new rows ids that continue after the largest existing ``prefix``-number."""
     number = F.regexp_extract(id_col, rf"^{prefix}(\d+)$", 1).try_cast("bigint")
     top = existing.agg(F.max(number)).first()[0] or 0
-    numbered = row_numbers(new, [order], bucket, name="_rn")
+    numbered = number_rows(new, [order], name="_rn")
     return numbered.withColumn(id_col, F.format_string(f"{prefix}%0{width}d", F.col("_rn") + F.lit(top))).drop("_rn")

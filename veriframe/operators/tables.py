@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.stats import ratio
-from .ordered import quantiles
+from .ranges import quantiles
 
 
 
@@ -145,13 +145,12 @@ def flag_matrix(df: DataFrame, entity: str, flags: dict[str, Column], least: int
     return agg.where(total >= least)
 
 
-def percentiles(df: DataFrame, value: str, by: list[str] = (), qs: dict[str, float] | None = None, bucket: Column | None = None,
+def percentiles(df: DataFrame, value: str, by: list[str] = (), qs: dict[str, float] | None = None, exact: bool = True,
                 accuracy: int = 10_000) -> DataFrame:
-    """Median, p90, minimum and maximum per group. Exact with ``bucket`` (an order-preserving coarse form of the
-    value), else from a sketch of bounded size."""
+    """Median, p90, minimum and maximum per group: exact by radix selection, or from a sketch of bounded size."""
     qs = qs or {"median": 0.5, "p90": 0.9}
-    if bucket is not None:
-        return quantiles(df, value, list(by), qs, bucket)
+    if exact:
+        return quantiles(df, value, list(by), qs)
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
                                *[F.percentile_approx(value, q, accuracy).alias(n) for n, q in qs.items()])
 

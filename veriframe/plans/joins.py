@@ -8,9 +8,11 @@ from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import containment as ct
 from ..operators import joins as jn
+from ..operators import phrases as ph
 from ..operators import setops as so
 from ..operators import validate as va
-from ..operators.ordered import previous, row_numbers
+from ..operators.ordered import previous
+from ..operators.ranges import number_rows
 from .dedup import page_records
 from .registry import query
 from .text import SQL_NORM
@@ -113,18 +115,49 @@ def bridge_parents(t):
 
 @query(r"""
 WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark)
-SELECT item_id, doc_id FROM q JOIN n ON contains(t, q) WHERE len(string_split(q, ' ')) >= 4""")
+SELECT item_id, doc_id FROM q JOIN n ON contains(t, q)""")
 def evidence_containment(t):
     return ct.locate_verbatim(t.benchmark, "item_id", "text", t.documents, "doc_id", "text")
 
 
+# Quotes of one, two and three words and whole ones; a quarter are cut inside their first and last word.
+@query(r"""
+WITH b AS (SELECT item_id, md5(item_id::VARCHAR) AS h, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+k AS (SELECT item_id, h, array_to_string(CASE WHEN h < '2' THEN w[1:1] WHEN h < '6' THEN w[1:2] WHEN h < 'c' THEN w[2:4] ELSE w END, ' ') AS q FROM b),
+q AS (SELECT item_id, CASE WHEN h[2] < '4' AND length(q) > 4 THEN trim(q[2:-2]) ELSE q END AS q FROM k),
+d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, q AS quote, count(*) AS texts, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM q JOIN d ON contains(t, q) GROUP BY 1, 2""")
+def evidence_short(t):
+    h, w = F.md5(c("item_id").cast("string")), F.split(tx.normalize_quote(c("text")), " ")
+    words = F.when(h < "2", F.slice(w, 1, 1)).when(h < "6", F.slice(w, 1, 2)).when(h < "c", F.slice(w, 2, 3)).otherwise(w)
+    q = t.benchmark.select("item_id", h.alias("h"), F.array_join(words, " ").alias("q"))
+    inner = F.substr("q", F.lit(2), F.length("q") - 2)
+    q = q.select("item_id", F.when((F.substring("h", 2, 1) < "4") & (F.length("q") > 4), F.trim(inner)).otherwise(c("q")).alias("quote"))
+    found = ph.locate(q, "item_id", "quote", t.documents, "doc_id", "text")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).join(q, "item_id")
+
+
+# The first three words, an ellipsis, the last two; a third of the quotes have them the other way round.
+@query(r"""
+WITH b AS (SELECT item_id, md5(item_id::VARCHAR) < '5' AS turned, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+f AS (SELECT item_id, turned, array_to_string(w[1:3], ' ') AS x, array_to_string(w[-2:], ' ') AS y FROM b),
+q AS (SELECT item_id, CASE WHEN turned THEN y ELSE x END AS x, CASE WHEN turned THEN x ELSE y END AS y FROM f),
+d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id FROM q JOIN d ON contains(t, x) AND contains(t[strpos(t, x) + length(x):], y)""")
+def evidence_gapped(t):
+    w = F.split(tx.normalize_quote(c("text")), " ")
+    x, y = F.array_join(F.slice(w, 1, 3), " "), F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " ")
+    turned = F.md5(c("item_id").cast("string")) < "5"
+    q = t.benchmark.select("item_id", F.when(turned, F.concat(y, F.lit("[...] "), x)).otherwise(F.concat(x, F.lit(" \u2026 "), y)).alias("quote"))
+    return ph.locate(q, "item_id", "quote", t.documents, "doc_id", "text", gaps=True)
+
+
 # Half of the quotes are cut to three words, a quarter are altered.
 @query(r"""
 WITH b AS (SELECT item_id, md5(item_id::VARCHAR) AS h, text FROM benchmark),
 q AS (SELECT item_id, trim(regexp_replace(lower(CASE WHEN h < '8' THEN array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') WHEN h < 'c' THEN text || ' unseen' ELSE text END), '\s+', ' ', 'g')) AS q FROM b),
 d AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT item_id, CASE WHEN len(string_split(any_value(q), ' ')) < 4 THEN 'too_short' WHEN count(t) > 0 THEN 'found' ELSE 'not_found' END AS status,
-  CASE WHEN len(string_split(any_value(q), ' ')) < 4 THEN 0 ELSE count(t) END AS texts FROM q LEFT JOIN d ON contains(t, q) GROUP BY item_id""")
+SELECT item_id, CASE WHEN count(t) > 0 THEN 'found' ELSE 'not_found' END AS status, count(t) AS texts FROM q LEFT JOIN d ON contains(t, q) GROUP BY item_id""")
 def evidence_status(t):
     h = F.md5(c("item_id").cast("string"))
     quotes = t.benchmark.select("item_id", F.when(h < "8", F.substring_index("text", " ", 3)).when(h < "c", F.concat("text", F.lit(" unseen"))).otherwise(c("text")).alias("quote"))
@@ -176,6 +209,19 @@ def usage_windows(t):
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("used")))
 
 
+# From every urgent order a window of ten years, from every low one a window of one day to a year.
+@query("""
+WITH w AS (SELECT o_orderkey, o_custkey, o_orderdate AS d0, CAST(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 10 YEAR ELSE o_orderdate + CAST(o_orderkey % 366 AS INTEGER) * INTERVAL 1 DAY END AS DATE) AS d1
+  FROM (SELECT *  REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders) WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))
+SELECT w.o_orderkey, count(*) AS n, round(sum(p.o_totalprice), 2) AS spent FROM w JOIN orders p ON p.o_custkey = w.o_custkey AND CAST(p.o_orderdate AS DATE) BETWEEN d0 AND d1 GROUP BY 1""")
+def long_windows(t):
+    day = F.to_date("o_orderdate")
+    end = F.when(c("o_orderpriority") == "1-URGENT", F.add_months(day, 120)).otherwise(F.date_add(day, (c("o_orderkey") % 366).cast("int")))
+    w = t.orders.where("o_orderpriority IN ('1-URGENT', '5-LOW')").select("o_orderkey", "o_custkey", day.alias("d0"), end.alias("d1"))
+    pts = t.orders.select("o_custkey", day.alias("day"), "o_totalprice")
+    return jn.interval_join(pts, w, ["o_custkey"], "day", "d0", "d1").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+
+
 @query("SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0) AS found FROM supplier")
 def seed_recall(t):
     pool = t.lineitem.where("l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0").select(c("l_suppkey").alias("s_suppkey"))
@@ -309,9 +355,7 @@ FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 0 E
 def priority_year_sort(t):
     y = F.when(c("o_orderstatus") == "P", "n.d.").otherwise(F.year("o_orderdate").cast("string"))
     df = t.orders.select("o_orderkey", "o_orderpriority", F.coalesce(y.try_cast("int"), F.lit(0)).alias("y"))
-    # Rows are ranked inside a priority, year and key range; only counts of those are carried on.
-    bucket = F.struct(c("o_orderpriority"), (-c("y")).alias("y"), F.floor(c("o_orderkey") / 65536).alias("k"))
-    return row_numbers(df, ["o_orderpriority", F.desc("y"), "o_orderkey"], bucket, name="position")
+    return number_rows(df, ["o_orderpriority", F.desc("y"), "o_orderkey"], name="position")
 
 
 @query("""

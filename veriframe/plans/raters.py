@@ -13,7 +13,6 @@ from ..functions import rules as ru
 from ..operators import agreement as ag
 from ..operators import reconcile as rc
 from ..operators import sampling as sp
-from ..operators.ordered import id_bucket
 from .registry import query
 
 c = F.col
@@ -297,7 +296,7 @@ def sample_rounds(t):
 @query("SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 200 + 5 AS batch FROM orders WHERE o_orderstatus <> 'F'")
 def fixed_batches(t):
     df = t.orders.where("o_orderstatus <> 'F'").select(c("o_orderkey").alias("id"))
-    return sp.batches(df, "id", 200, id_bucket("id", 4096), start=5)
+    return sp.batches(df, "id", 200, start=5)
 
 
 @query("""
@@ -307,7 +306,7 @@ SELECT c_custkey, 'FTR-' || lpad(CAST(k AS VARCHAR), greatest(3, length(CAST(k A
 def continued_ids(t):
     old = t.supplier.select(F.concat(F.lit("FTR-"), F.lpad(c("s_suppkey").cast("string"), F.greatest(F.lit(3), F.length(c("s_suppkey").cast("string"))), F.lit("0"))).alias("rid"))
     new = t.customer.where("c_acctbal < 0").select("c_custkey")
-    return sp.continue_ids(old, "rid", new, "c_custkey", id_bucket("c_custkey", 4096), "FTR-")
+    return sp.continue_ids(old, "rid", new, "c_custkey", "FTR-")
 
 
 LAYER_SQL = """e AS (SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, o_totalprice,

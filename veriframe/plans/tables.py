@@ -8,6 +8,7 @@ from ..functions import rules as ru
 from ..operators import json_totals as jt
 from ..operators import ledger as lg
 from ..operators import ordered as od
+from ..operators import ranges as rg
 from ..operators import tables as tb
 from .registry import query
 from .text import FAMILY_RULES, FAMILY_SQL
@@ -125,7 +126,7 @@ def flag_matrix(t):
 @query("""
 SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1""")
 def duration_percentiles(t):
-    return tb.percentiles(t.events, "value", ["event_type"], bucket=F.floor("value")).withColumns({x: F.round(x, 6) for x in ("median", "p90")})
+    return tb.percentiles(t.events, "value", ["event_type"]).withColumns({x: F.round(x, 6) for x in ("median", "p90")})
 
 
 @query("""
@@ -185,7 +186,7 @@ WITH g AS (SELECT l_partkey AS k, min(l_orderkey) AS first_order FROM lineitem G
 SELECT k, 'FS-' || lpad(CAST(row_number() OVER (ORDER BY first_order, k) AS VARCHAR), 6, '0') AS record_id FROM g""")
 def dense_ids(t):
     g = t.lineitem.groupBy(c("l_partkey").alias("k")).agg(F.min("l_orderkey").alias("first_order"))
-    out = od.row_numbers(g, ["first_order", "k"], od.id_bucket("first_order", 1024), name="n")
+    out = rg.number_rows(g, ["first_order", "k"], name="n")
     return out.select("k", F.format_string("FS-%06d", "n").alias("record_id"))
 
 
@@ -193,7 +194,7 @@ def dense_ids(t):
 SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN sum(CASE WHEN o_totalprice > 450000 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey)::BIGINT END AS seq FROM orders""")
 def conflict_sequence(t):
     flag = (c("o_totalprice") > 450000).cast("bigint")
-    out = od.running_sum(t.orders.select("o_orderkey", "o_totalprice"), flag, ["o_orderkey"], od.id_bucket("o_orderkey", 4096), name="seq")
+    out = rg.running_total(t.orders.select("o_orderkey", "o_totalprice"), flag, ["o_orderkey"], name="seq")
     return out.select("o_orderkey", F.when(c("o_totalprice") > 450000, c("seq")).alias("seq"))
 
 

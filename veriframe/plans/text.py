@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules as ru
 from ..functions import text as tx
 from ..operators import redact as rd
+from ..operators import routes as rt
 from ..operators import validate as va
+from ..operators import withhold as wh
 from .registry import query
 
 c = F.col
@@ -150,6 +154,32 @@ def vocabulary_route_filter(t):
     return t.documents.select("doc_id", ru.matches_all_groups(c("text"), VOCAB[0]).alias("on_route"))
 
 
+# Three hundred routes of three groups: words of the corpus, two of them together, and open-ended ones. Groups recur between routes.
+WORDS = ["the", "river", "than", "thing", "there", "other", "this", "with", "from", "that", "an", "er", "re", "ti"]
+GROUPS = [[[WORDS[i % 14], f"{WORDS[i * 3 % 13]} {WORDS[i * 5 % 11]}"] for i in range(20)],
+          [[f"{WORDS[i * 7 % 14]} {WORDS[i * 11 % 13]}*", f"th{WORDS[i * 2 % 14]}*"] for i in range(15)],
+          [[f"{WORDS[i % 11]}-{WORDS[i % 7]} {WORDS[i % 5]}*", WORDS[i * 13 % 14]] for i in range(11)]]
+ROUTES = {f"r{i:03}": [g[i * 7 % len(g)] for g in GROUPS] for i in range(300)}
+
+
+def _route_sql() -> str:
+    """One regular expression for each different group, and the groups of each route."""
+    def pattern(term: str) -> str:
+        return r"[\s-]?".join(re.findall("[a-z]+", term)) + (r"[\p{L}\p{N}_]*" if term.endswith("*") else "")
+    number: dict[str, int] = {}
+    needs = {r: {number.setdefault("|".join(map(pattern, g)), len(number)) for g in gs} for r, gs in ROUTES.items()}
+    edge = r"[^\p{L}\p{N}_]"
+    hits = ", ".join(f"CASE WHEN regexp_matches(s, '(^|{edge})({p})($|{edge})') THEN {n} END" for p, n in number.items())
+    routes = ", ".join(f"('{r}', {sorted(ns)})" for r, ns in needs.items())
+    return f"""WITH d AS (SELECT doc_id, lower(text) AS s FROM documents), h AS (SELECT doc_id, [{hits}] AS g FROM d), r(route, g) AS (VALUES {routes})
+SELECT doc_id, route FROM h JOIN r ON list_has_all(h.g, r.g)"""
+
+
+@query(_route_sql())
+def vocabulary_routes(t):
+    return rt.records_on_routes(t.documents, "doc_id", "text", ROUTES)
+
+
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '1-URGENT' GROUP BY 1")
 def stage_population(t):
     return (t.orders.where(c("o_orderstatus").isin("O", "P") & (c("o_orderpriority") == "1-URGENT"))
@@ -183,6 +213,27 @@ def scrub_text(t):
     return s.select("doc_id", F.md5("text").alias("text_md5"), F.md5("lang").alias("lang_md5"))
 
 
+# An order is one nested record: its lines as an array with locators, and a map from line status to the tool and its locators.
+@query("""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('WITHHELD|' || l_linestatus || '|' || CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, ',' ORDER BY l_linenumber) AS rows,
+  sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END) AS gone FROM lineitem GROUP BY 1),
+s AS (SELECT k, string_agg(st || '=NR', ',' ORDER BY st) AS tools, count(*) AS m FROM (SELECT DISTINCT l_orderkey AS k, l_linestatus AS st FROM lineitem) GROUP BY 1)
+SELECT k, rows, tools, n + m AS withheld_values, gone AS withheld_locators, CASE WHEN k % 4 = 0 THEN 'Details withheld.' WHEN k % 4 = 1 THEN 'as is; Details withheld.' ELSE 'Details withheld. before' END AS note FROM l JOIN s USING (k)""")
+def field_withholding(t):
+    loc = lambda f: F.struct(F.lit(f).alias("field"), c("l_partkey").cast("string").alias("quote"))
+    own = F.when(c("l_returnflag") == "N", F.array(loc("clerk"))).otherwise(F.array(loc("clerk"), loc("mode"), loc("clerk")))
+    line = F.struct(c("l_linenumber").alias("n"), c("l_suppkey").cast("string").alias("clerk"), c("l_linestatus").alias("mode"), own.alias("_locators"))
+    lines = t.lineitem.groupBy(c("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("lines"), F.array_sort(F.collect_set("l_linestatus")).alias("st"))
+    tool = lambda s: F.struct(s.alias("status"), F.struct(F.concat(F.lit("v1-"), s).alias("version"), F.lit(None).cast("array<struct<field:string>>").alias("_locators")).alias("tool"))
+    tools = F.map_from_entries(F.transform("st", tool))
+    note = F.when(c("k") % 4 == 0, F.lit("NR")).when(c("k") % 4 == 1, F.lit("as is")).otherwise(F.lit("Details withheld. before"))
+    rec = lines.select("k", F.struct(F.struct(c("lines").alias("reports")).alias("tables"), tools.alias("tools")).alias("doc"), note.alias("note"))
+    out = wh.withhold_fields(rec, {"doc.tables.reports[].clerk": "WITHHELD", "doc.tools{}.version": "NR"})
+    rows = F.transform("doc.tables.reports", lambda r: F.concat_ws("|", r["clerk"], r["mode"], F.size(r["_locators"]).cast("string")))
+    names = F.transform(F.map_entries("doc.tools"), lambda e: F.concat_ws("=", e["key"], e["value"]["version"]))
+    return out.select("k", F.array_join(rows, ",").alias("rows"), F.array_join(names, ",").alias("tools"), "withheld_values", "withheld_locators", wh.note_once(c("note"), "Details withheld.").alias("note"))
+
+
 @query()
 def redact_full(t):
     r = rd.redact(c("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as ru
 from ..operators import diff as df_
+from ..operators import evidence as ev
 from ..operators import patch as pt
 from ..operators import redact as rd
 from ..operators import tables as tb
@@ -214,6 +215,80 @@ def isolate_operations(t):
     return pt.isolate(ops, "op", "dep", "unsupported_quote", "depends_on_isolated").groupBy("isolated").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- cited evidence: every line of a document is a page, in either notation --------------------------
+
+EVIDENCE_SQL = r"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS page, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n FROM documents),
+w AS (SELECT *, list_filter(string_split(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '"', '', 'g'), ' '), lambda x: x <> '') AS w, md5(doc_id || '|' || page) AS h FROM l),
+q AS (SELECT *, doc_id * 100000 + page AS op, contains(line, '"') AS quoted, array_to_string(w[1:5], ' ') AS five FROM w WHERE len(w) >= 5)"""
+OPS_SQL = f"""{EVIDENCE_SQL}, ops AS (SELECT doc_id, op, CASE WHEN page % 3 = 0 THEN 'new_row' ELSE 'update' END AS kind, CASE WHEN page % 8 <> 0 THEN op - 1 END AS dep,
+  h >= '2' AND NOT (h < '28' AND len(w) > 25) AND contains(trim(regexp_replace(line, '\\s+', ' ', 'g')), CASE WHEN h < '28' THEN array_to_string(w[1:30], ' ') ELSE five END) AND NOT contains(five, '...') AND NOT contains(five, '…')
+  AND five NOT IN ('NA', 'NR', 'UNCLEAR') AS ok FROM q)"""
+
+
+def evidence_parts(t):
+    """Documents with pages (form feeds in even ones, markers in odd ones) and, for every page of five words, quotes of its first words."""
+    lines = F.split("text", "\n")
+    marked = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("[[page "), (i + 1).cast("string"), F.lit("]]\n"), x)), "\n")
+    docs = t.documents.select("doc_id", F.when((c("doc_id") % 2 == 0) & (F.size(lines) > 1), F.array_join(lines, "\f")).otherwise(marked).alias("text"))
+    words = F.filter(F.split(F.replace(F.trim(F.regexp_replace("line", r"\s+", " ")), F.lit('"'), F.lit("")), " "), lambda x: x != "")
+    q = (t.documents.select("doc_id", F.posexplode(lines).alias("i", "line")).select("doc_id", (c("i") + 1).alias("page"), words.alias("w"))
+         .withColumn("h", F.md5(F.concat_ws("|", "doc_id", "page"))).where(F.size("w") >= 5))
+    return docs, q.withColumns({"op": c("doc_id") * 100000 + c("page"), "five": F.array_join(F.slice("w", 1, 5), " ")})
+
+
+def patch_operations(t):
+    docs, q = evidence_parts(t)
+    h = c("h")
+    quote = (F.when(h < "08", F.concat("five", F.lit(" ... unseen"))).when(h < "1", F.concat("five", F.lit(" unseen"))).when(h < "18", "").when(h < "2", c("five"))
+             .when(h < "28", F.array_join(F.slice("w", 1, 30), " ")).otherwise(c("five")))
+    page = F.when((h >= "18") & (h < "2"), F.when(h < "1c", "900000").otherwise("UNCLEAR")).otherwise(c("page").cast("string"))
+    ops = q.select("doc_id", "op", F.when(c("page") % 3 == 0, "new_row").otherwise("update").alias("kind"), F.when(c("page") % 8 != 0, c("op") - 1).alias("depends_on"),
+                   page.alias("page"), quote.alias("quote"))
+    done = ev.quote_supported(ops, docs, "doc_id", "text", "page", "quote")
+    return pt.isolate_unsupported(done, done.select("op", "depends_on"), "op", "kind",
+                                  {"update": "unsupported_update_quote_page", "new_row": "unsupported_new_row_locator"}, "depends_on_isolated_operation")
+
+
+@query(f"""WITH RECURSIVE {OPS_SQL}, r AS (SELECT op FROM ops WHERE NOT ok UNION SELECT ops.op FROM ops JOIN r ON ops.dep = r.op)
+SELECT doc_id, op, CASE WHEN NOT ok AND kind = 'update' THEN 'unsupported_update_quote_page' WHEN NOT ok THEN 'unsupported_new_row_locator'
+  WHEN op IN (SELECT op FROM r) THEN 'depends_on_isolated_operation' ELSE '' END AS isolated FROM ops""")
+def patch_isolated(t):
+    return patch_operations(t).select("doc_id", "op", "isolated")
+
+
+@query(f"""WITH RECURSIVE {OPS_SQL}, r AS (SELECT op FROM ops WHERE NOT ok UNION SELECT ops.op FROM ops JOIN r ON ops.dep = r.op),
+i AS (SELECT doc_id, op, kind, CASE WHEN NOT ok AND kind = 'update' THEN 'unsupported_update_quote_page' WHEN NOT ok THEN 'unsupported_new_row_locator'
+  WHEN op IN (SELECT op FROM r) THEN 'depends_on_isolated_operation' END AS reason FROM ops)
+SELECT doc_id, count(reason) AS n_isolated, count(*) - count(reason) AS n_applied, 'partial' AS completion,
+  string_agg('Manual review required: ' || kind || ' ' || op || ' (' || reason || ').', chr(10) ORDER BY 'Manual review required: ' || kind || ' ' || op || ' (' || reason || ').') AS remaining
+FROM i GROUP BY 1 HAVING count(reason) > 0""")
+def patch_partial(t):
+    p = pt.partial_records(patch_operations(t), "doc_id", "op", "kind")
+    return p.withColumn("remaining", F.array_join("remaining", "\n"))
+
+
+# Two cells a record: one that has to be filled, with all kinds of faults, and one that may be blank. One record in sixteen has no text.
+@query(rf"""WITH {EVIDENCE_SQL}, s AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h) = 1),
+c AS (SELECT *, md5('src|' || doc_id) < '1' AS lost, trim(regexp_replace(line, '\s+', ' ', 'g')) AS flat FROM s),
+a AS (SELECT doc_id, 'decisive' AS field, unnest(CASE WHEN h < '02' THEN ['missing_evidence'] WHEN h < '04' THEN ['format'] ELSE
+    list_filter([CASE WHEN h < '08' AND len(w) > 20 THEN 'word_limit' END, CASE WHEN h >= '08' AND h < '0c' THEN 'missing_page'
+      WHEN NOT contains(flat, CASE WHEN h < '08' THEN array_to_string(w, ' ') WHEN h >= '0c' AND h < '1' THEN five || ' unseen' ELSE five END) THEN 'not_verbatim_on_page' END], lambda x: x IS NOT NULL) END) AS issue FROM c WHERE NOT lost),
+b AS (SELECT doc_id, 'comment' AS field, CASE WHEN page > 1 AND h[2] < '4' THEN 'missing_page' WHEN h[2] < '8' AND NOT contains(flat, five) THEN 'not_verbatim_on_page' END AS issue FROM c WHERE NOT lost)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE issue IS NOT NULL UNION ALL SELECT doc_id, 'full_text', 'missing_source' FROM c WHERE lost""")
+def evidence_audit(t):
+    docs, q = evidence_parts(t)
+    s = q.groupBy("doc_id").agg(F.min_by(F.struct("page", "w", "five", "h"), "h").alias("s")).select("doc_id", "s.*")
+    h = c("h")
+    cell = lambda page, words: F.concat(F.lit("p."), page.cast("string"), F.lit(': "'), words, F.lit('"'))
+    decisive = (F.when(h < "02", "").when(h < "04", c("five")).when(h < "08", cell(c("page"), F.array_join("w", " "))).when(h < "0c", cell(c("page") + 500000, c("five")))
+                .when(h < "1", cell(c("page"), F.concat("five", F.lit(" unseen")))).otherwise(cell(c("page"), c("five"))))
+    second = F.substring("h", 2, 1)
+    comment = F.when((second < "4") & (c("page") > 1), cell(c("page") + 400000, c("five"))).when(second < "8", cell(c("page"), c("five"))).otherwise(F.lit(None))
+    records = s.select("doc_id", decisive.alias("decisive"), comment.alias("comment"))
+    have = docs.where(F.md5(F.concat(F.lit("src|"), c("doc_id").cast("string"))) >= "1")
+    return ev.audit_quotes(records, have, "doc_id", "text", ["decisive", "comment"], ["decisive"])
+
+
 @query("""
 WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, md5(concat_ws('|', 'r', o_orderkey)) AS h FROM orders), n AS (SELECT k, CASE WHEN h < '01' THEN id + 1000000 ELSE id END AS id, h >= '02' AS ok FROM o WHERE h < 'ff8'),
 j AS (SELECT coalesce(o.k, n.k) AS k, o.id AS oi, n.id AS ni, n.ok FROM o FULL JOIN n ON o.k = n.k AND o.id = n.id),
