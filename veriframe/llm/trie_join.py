@@ -41,6 +41,8 @@ PART = 1000
 SIGNATURE_BITS = 512
 #: Longest stretch of a node, in shingles.
 NODE = 32
+#: Slots of row ids, the most that are broadcast.
+SLOTS = 1 << 20
 #: Words whose numbers a task keeps.
 CACHE = 500_000
 #: Bytes of sets of one Arrow batch.
@@ -419,11 +421,12 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     every = cut_lineage(described(docs, key, text, shingle, need, ranks))
     # One row for each distinct set; copies cost nothing from here on.
     per = cut_lineage(every.where(F.size("parts") > 0).groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("parts").alias("parts")))
-    each = per.select("s", F.explode("parts").alias("p"))
-    filed = each.select("s", F.col("p.part").alias("part"), F.explode("p.first").alias("g"))
+    # A part travels under a number of its own; if two parts have one, both are taken, which only makes more candidates.
+    each = per.select("s", F.explode("parts").alias("p")).withColumn("e", F.xxhash64("s", "p.part"))
+    filed = each.select("e", F.explode("p.first").alias("g"))
     counts = filed.groupBy("g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    shared = attach_per_key(filed, counts, ["g"], "_m").select("g", "s", "part")
-    signed = shared.join(each.select("s", "p.part", "p.m", "p.signature"), ["s", "part"]).select("g", "s", "m", "signature")
+    shared = attach_per_key(filed, counts, ["g"], "_m").select("g", "e")
+    signed = cut_lineage(shared.join(each.select("e", "s", "p.m", "p.signature"), "e").select("g", "s", "m", "signature"))
     # Under each shingle the sets that may be linked with another.
     near = cut_lineage(near_members(with_blocks(signed, "m").withColumns({"label": F.col("s"), "met": F.array().cast("array<long>")}), need).join(per.select("s", "n"), "s"))
 
@@ -441,8 +444,11 @@ def similar_classes(docs: DataFrame, key: str, text: str, percent: int, shingle:
     # A set is identified by the first of its rows; of repeated rows (the same key and text) one is taken.
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.xxhash64(t, F.col(key)).alias("a"), F.xxhash64(F.col(key), F.lit("/"), t).alias("b"), t.cast("binary").alias("t"))
-    wanted = per.select("s", "r.a", "r.b").join(near.select("s").distinct(), "s", "left_semi")
-    sets = cut_lineage(texts.join(wanted, ["a", "b"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(run, "s binary, set binary"))
+    wanted = cut_lineage(per.select("s", "r.a", "r.b").join(near.select("s").distinct(), "s", "left_semi"))
+    # Most texts are left where they are: only those whose row id falls in a slot of a wanted one are sent to the join. There are at most SLOTS.
+    slot = F.pmod("a", F.lit(SLOTS))
+    some = texts.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+    sets = cut_lineage(some.join(wanted, ["a", "b"]).dropDuplicates(["s"]).select("s", "t").mapInArrow(run, "s binary, set binary"))
 
     # Any fixed order of shingles does: linked sets share most of their first ones.
     own = near.groupBy("s").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("n").alias("n"))
