@@ -13,6 +13,7 @@ from ..operators import redact as rd
 from ..operators import routes as rt
 from ..operators import validate as va
 from ..operators import withhold as wh
+from ..session import cut_lineage
 from .registry import query
 
 c = F.col
@@ -215,7 +216,7 @@ def scrub_text(t):
 
 # An order is one nested record: its lines as an array with locators, and a map from line status to the tool and its locators.
 @query("""
-WITH l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('WITHHELD|' || l_linestatus || '|' || CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, ',' ORDER BY l_linenumber) AS rows,
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, string_agg('WITHHELD|' || l_linestatus || '|' || CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, ',' ORDER BY l_linenumber, l_suppkey::VARCHAR, l_linestatus, l_partkey::VARCHAR, l_returnflag <> 'N') AS rows,
   sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END) AS gone FROM lineitem GROUP BY 1),
 s AS (SELECT k, string_agg(st || '=NR', ',' ORDER BY st) AS tools, count(*) AS m FROM (SELECT DISTINCT l_orderkey AS k, l_linestatus AS st FROM lineitem) GROUP BY 1)
 SELECT k, rows, tools, n + m AS withheld_values, gone AS withheld_locators, CASE WHEN k % 4 = 0 THEN 'Details withheld.' WHEN k % 4 = 1 THEN 'as is; Details withheld.' ELSE 'Details withheld. before' END AS note FROM l JOIN s USING (k)""")
@@ -227,7 +228,8 @@ def field_withholding(t):
     tool = lambda s: F.struct(s.alias("status"), F.struct(F.concat(F.lit("v1-"), s).alias("version"), F.lit(None).cast("array<struct<field:string>>").alias("_locators")).alias("tool"))
     tools = F.map_from_entries(F.transform("st", tool))
     note = F.when(c("k") % 4 == 0, F.lit("NR")).when(c("k") % 4 == 1, F.lit("as is")).otherwise(F.lit("Details withheld. before"))
-    rec = lines.select("k", F.struct(F.struct(c("lines").alias("reports")).alias("tables"), tools.alias("tools")).alias("doc"), note.alias("note"))
+    # A nested table as it is found on disk.
+    rec = cut_lineage(lines.select("k", F.struct(F.struct(c("lines").alias("reports")).alias("tables"), tools.alias("tools")).alias("doc"), note.alias("note")))
     out = wh.withhold_fields(rec, {"doc.tables.reports[].clerk": "WITHHELD", "doc.tools{}.version": "NR"})
     rows = F.transform("doc.tables.reports", lambda r: F.concat_ws("|", r["clerk"], r["mode"], F.size(r["_locators"]).cast("string")))
     names = F.transform(F.map_entries("doc.tools"), lambda e: F.concat_ws("=", e["key"], e["value"]["version"]))
