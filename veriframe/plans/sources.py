@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..operators import containment as ct
 from ..session import ensure_checkpoint_dir
-from ..sources import articles, bibtex, discover, nested, records, runs, sinks, tagged
+from ..sources import articles, bibtex, csv_lines, discover, nested, records, runs, sinks, tagged
 from ..streaming import ledger as sl
 from .registry import query
 
@@ -226,16 +226,28 @@ def csv_round_trip(t):
     return back.select(c("c_custkey").cast("bigint").alias("c_custkey"), "c_mktsegment", F.coalesce("note", F.lit("")).alias("note"))
 
 
+# Documents whole, with their line ends, commas and quotes, in many files of two headers.
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'Scopus' ELSE '' END AS source_database, doc_id::VARCHAR AS doi, md5(replace(text, chr(13) || chr(10), chr(10))) AS title_md5, coalesce(lang, '') AS journal FROM documents""")
+def csv_files(t):
+    root = f"{ensure_checkpoint_dir(t.spark)}/exports-{uuid.uuid4().hex}"
+    d = t.documents.repartition(7, "doc_id")
+    put = lambda df, name: df.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").option("emptyValue", "").csv(f"{root}/{name}")
+    put(d.where("doc_id % 2 = 0").select(c("doc_id").alias("EID"), c("doc_id").alias("DOI"), c("text").alias("Article Title"), c("lang").alias("Source")), "even")
+    put(d.where("doc_id % 2 = 1").select(c("lang").alias("Journal"), c("text").alias("title"), F.lit("x").alias("other"), c("doc_id").alias("doi")), "odd")
+    recs = csv_lines.read_csv_records(t.spark, [f"{root}/even", f"{root}/odd"])
+    return recs.select("source_database", "doi", F.md5("title").alias("title_md5"), "journal")
+
+
 @query(f"""WITH {PAGE_SQL}
 SELECT 'Scopus' AS source_database, 'E AND I AND T' AS route, 'S1' AS search_id, count(*) AS n, count(DISTINCT doi) AS n_doi, sum(y)::BIGINT AS years FROM ps
-UNION ALL SELECT 'Web of Science Core Collection', 'E AND O AND T', '', count(*), count(DISTINCT pm), sum(y)::BIGINT FROM ps WHERE n < 500""")
+UNION ALL SELECT 'Web of Science Core Collection', 'E AND O AND T', '', count(*), count(DISTINCT pm), sum(y)::BIGINT FROM ps""")
 def ingest_files(t):
     """Write two kinds of export files from the pages and ingest the folder: formats, labels and ids from the paths."""
     root = f"{ensure_checkpoint_dir(t.spark)}/exports-{uuid.uuid4().hex}"
     p = page_fields(t)
     p.select(c("title").alias("Title"), c("y").alias("Year"), c("doi").alias("DOI"), F.lit("e").alias("EID")).write.option("header", True).option("escape", '"').csv(f"{root}/scopus_EI")
     lines = F.concat(F.lit("FN x\nPT J\nTI "), F.trim("title"), F.lit("\nPY "), c("y"), F.lit("\nDI "), c("pm"), F.lit("\nER"))
-    p.where("n < 500").select(lines.alias("value")).write.text(f"{root}/wos_EO")
+    p.select(lines.alias("value")).write.text(f"{root}/wos_EO")
     searches = p.select(F.lit("Scopus").alias("database"), F.lit("E AND I AND T").alias("route"), F.lit("S1").alias("id")).distinct()
     recs = discover.number_rows(discover.ingest(t.spark, root, searches))
     return recs.groupBy("source_database", "route", "search_id").agg(F.count_distinct("idx").alias("n"), F.count_distinct("doi").alias("n_doi"), F.sum(c("year").cast("bigint")).alias("years"))

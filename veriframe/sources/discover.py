@@ -10,7 +10,7 @@ from ..functions import fixed_values as fv
 from ..operators.ordered import row_numbers
 from ..operators.setops import union_all
 from ..operators.skew import attach_per_key
-from . import bibtex, records, tagged
+from . import bibtex, csv_lines, records, tagged
 
 # File name patterns per format.
 FORMATS = {
@@ -69,8 +69,8 @@ def ingest(spark: SparkSession, root: str, searches: DataFrame | None = None) ->
         parts.append(records.json_records(records.read_json(spark, found["json"], records.JSON_SCHEMA)))
     if "ris" in found:
         parts.append(tagged.read_ris(spark, found["ris"]))
-    # Headers may differ from file to file, so each CSV export is a read of its own.
-    parts += [records.csv_records(records.read_csv(spark, p)) for p in found.get("csv", [])]
+    if "csv" in found:
+        parts.append(csv_lines.read_csv_records(spark, found["csv"]))
     if "bibtex" in found:
         parts.append(bibtex.bibtex_records(bibtex.read_bibtex_entries(spark, found["bibtex"])))
     if "text" in found:
