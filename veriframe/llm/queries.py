@@ -85,11 +85,11 @@ def op11_fill_in_middle(spark, folder):
     return rank_index.digest(rank_index.fill_in_middle(table(spark, folder, "documents")))
 
 
-@query()
+@query(tandem_runs.summary_sql())
 def op12_periodic_runs(spark, folder):
     return tandem_runs.summary(tandem_runs.periodic_runs(table(spark, folder, "documents"), rewrite=tandem_runs.planted))
 
 
-@query()
+@query(trie_join.join_classes_sql())
 def op13_ngram_jaccard_join(spark, folder):
-    return trie_join.join_classes(table(spark, folder, "documents"))
+    return trie_join.join_classes(table(spark, folder, "documents")).drop("set_id")

@@ -278,4 +278,26 @@ def summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
                     F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def summary_sql() -> str:
+    """The summary of ``planted`` documents in DuckDB SQL: equal words of a document paired by distance, stretches of neighbouring pairs."""
+    crc = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+    return r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CRC32 AS h FROM documents),
+    a AS (SELECT r, doc_id, w, h % 10 = 0 AND len(w) > 0 AS made, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+    t AS (SELECT r, doc_id, CASE WHEN made THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] for i in range(0, len(w))] ELSE w END AS w FROM a),
+    k AS (SELECT r, len(w) AS n, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS w FROM t),
+    q AS (SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM q),
+    s AS (SELECT r, min(i) AS start, count(*) + q AS length, q AS period FROM g GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+    m AS (SELECT r, start, length, min(period) AS period FROM s GROUP BY r, start, length),
+    o AS (SELECT r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, count(*) AS n_runs FROM m GROUP BY r),
+    b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+    x AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM m),
+    c AS (SELECT k.r, string_agg(k.w, ' ' ORDER BY k.i) AS words FROM k ANTI JOIN x ON x.r = k.r AND x.i = k.i GROUP BY k.r)
+    SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start, b.length::BIGINT AS length, b.period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+      sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+    FROM t LEFT JOIN o USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)""".replace("CRC32", crc)
+
+
 by_value(__name__)

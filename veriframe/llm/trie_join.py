@@ -485,4 +485,16 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
                     F.lower(F.hex("s")).alias("set_id")))
 
 
+def join_classes_sql() -> str:
+    """``key, n_shingles, component_id`` in DuckDB SQL: shared shingles of every two sets counted by a join, components by recursion."""
+    return r"""
+    WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS g FROM w),
+    u AS (SELECT r, len(g) AS n, unnest(g) AS g FROM s),
+    l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    reach AS (SELECT r AS x, r AS y FROM s UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
+    SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN reach ON reach.x = s.r JOIN s t ON t.r = reach.y GROUP BY s.r, s.doc_id, s.g"""
+
+
 by_value(__name__)
