@@ -17,7 +17,8 @@ def text_of(markup, removed=frozenset()):
     ("plain &amp; text &lt;p&gt; &eacute; &#233; &#xe9; &am &amp", "plain & text <p> é é é &am &"),
     ("<html><head><title>no</title><style>p{}</style></head><body><nav>no</nav><article><h1>Head</h1><p>One<p>Two <b>bold</b>er<br>line</article><footer>no</footer>", "Head\nOne\nTwo bolder line"),
     ("<article><p><b>Open<br><p>Next</p></article><div class=ad>no</div>", "Open\nNext"),
-    ("<div class='site-menu'>no</div><div>yes</div><div id=cookie-notice>no</div><div hidden>no</div><div style='display: none'>no</div>", "yes"),
+    ("<p>Text that is longer</p><div class=ad>no</div>", "Text that is longer"),
+    ("<div class='site-menu'>no</div><div>yes, and more</div><div id=cookie-notice>no</div><div hidden>no</div><div style='display: none'>no</div>", "yes, and more"),
     ("<article>a<script>if (1 < 2) document.write('</p>')</script>b<!-- <p>no</p> -->c</article>", "abc"),
     ("<article>a<script>never closed <p>no", "a"),
     ("<p>a<!-- never closed <p>no", "a"),
@@ -30,6 +31,15 @@ def text_of(markup, removed=frozenset()):
     ("<main><header><h1>H</h1></header><p>x</p></main><header>no</header>", "H\nx"),
     ("<article>one</article><div>between</div><article>two</article>", "one\ntwo"),
     ("<p>a</p></div></article><p>b</p>", "a\nb"),
+    ('<main class="content has-sidebar"><p>Hello world</p></main>', "Hello world"),
+    ('<div class="page-with-sidebar"><article><p>Text</p></article></div><div class="sidebar">no</div>', "Text"),
+    ('<article><div class="article-header"><h1>Headline</h1></div><p class="social-history">History</p><div class=header><h2>Second</h2></div></article>', "Headline\nHistory\nSecond"),
+    ('<div class="sidebar left"><main><p>a</p><div class=ads>no</div></main></div>', "a"),
+    ('<div class=menu><p>' + "the whole page under a wrong name " * 9 + "</p></div><p>rest</p>", ("the whole page under a wrong name " * 9).strip() + "\nrest"),
+    ("<div class='post'><p>text of the post, which is long enough</p><ul class='share links'><li>no</li></ul></div>", "text of the post, which is long enough"),
+    ("<div class=post>short</div><section id=comments>" + "a long thread of readers " * 9 + "</section>", "short"),
+    ("<article><div class=menu>all of the article</div></article><p>x</p>", "all of the article"),
+    ("<div hidden><article>no</article></div><p>yes</p>", "yes"),
     ("<!DOCTYPE html><?php no ?><p>a</p></ x><p>b", "a\nb"),
 ])
 def test_markup(markup, want):
@@ -89,3 +99,15 @@ def test_hot_host_counts_every_page(spark):
     pages = site(spark).where(F.col("url").startswith("http://a.org/")).withColumn("host", F.lit("a.org"))
     top = style_tree.importance(style_tree.style_nodes(pages)).agg(F.max("pages")).first()[0]
     assert top == pages.count()
+
+
+def test_tree_sees_declared_and_unnamed_menus(spark):
+    rows = [(i, f"http://s.org/{i}", f"<body><nav><ul><li>Home</li><li>About</li></ul></nav><div class=c7><ul><li>Home</li><li>Contact</li></ul></div><div class=x><p>Story {i} of its own</p></div></body>")
+            for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(pages).collect()}
+    assert got == {i: f"Story {i} of its own" for i in range(40)}
+    hosted = pages.withColumn("host", F.lit("s.org"))
+    number = style_tree.numbering()
+    body = number(0, "body", "")
+    assert set(style_tree.low_branches(style_tree.style_nodes(hosted)).first().nodes) == {number(body, "nav", ""), number(body, "div", "c7")}

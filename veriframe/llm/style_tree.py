@@ -4,8 +4,9 @@ The pages of a host are merged into one tree: a style node is a path of elements
 knows on how many pages it stands, how their child sequences are distributed (presentation) and how their texts are (content). The
 entropy of a distribution, over the logarithm of the number of pages, is 0 if all pages agree and 1 if all differ; the importance of a
 branch is the highest found in it. Branches of low importance repeat what the site always says and are removed from each page.
-What the markup itself declares to be no article (navigation, footers, forms, adverts, comments and the like) goes in any case, as a
-host may have one page only.
+Every branch is counted, also those that the markup declares to be no article (navigation, footers, forms and the like). Those go in any
+case, as a host may have one page only. A class or id is a weaker sign: it counts if it is made of words for such parts and of neutral ones,
+and the element neither holds an article nor the larger part of the page's text.
 
 Style nodes are counted over the different pages of a host, as copies of one page would agree in everything, by grouping on host and path,
 so a host is never held together; a page is read twice (a third time if nothing would be left of it), and no markup is shuffled unless the table of branches to remove is larger than the session broadcasts.
@@ -29,10 +30,15 @@ OUTSIDE = set("head nav header footer aside form script style noscript template
 OUTSIDE_WORDS = set("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
     notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead sidebar aside widget comment comments disqus replies
     respond share sharing social related newsletter subscribe subscription signup login popup modal overlay skip hidden pagination pager""".split())
+COMMENT_WORDS = set("comment comments disqus replies respond".split())
+NEUTRAL_WORDS = set("""site page global top bottom left right primary secondary upper lower box block area bar list item items link links section wrap wrapper container
+    inner outer slot unit zone panel row col column group region holder fixed sticky mobile desktop btn button icon icons js""".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 BLOCKS = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup
     hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Left out also when branches are counted, as they are never shown.
+UNREAD = set("head script style noscript template iframe object embed svg canvas audio video".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 #: An opening element closes an open one of these, looked for up to a boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -62,42 +68,66 @@ def outside(tag: str, own: dict[str, str], in_main: bool) -> bool:
         return False
     if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in OUTSIDE_ROLES:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-        return True
-    named = f"{own.get('class', '')} {own.get('id', '')}"
-    return any(w.lower() in OUTSIDE_WORDS for w in WORDS.findall(named))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")))
+
+
+def named_outside(tag: str, own: dict[str, str], in_main: bool) -> set[str]:
+    """The words by which a class or the id of an element names a part that is no article: ``cookie-notice`` and ``site-menu`` do,
+    ``has-sidebar`` and ``article-header`` do not. A header inside the article is no site header."""
+    if not own or tag in ("html", "body") or tag in MAIN:
+        return set()
+    for name in [*own.get("class", "").split(), own.get("id", "")]:
+        words = {w.lower() for w in WORDS.findall(name)}
+        found = words & OUTSIDE_WORDS - ({"header", "masthead"} if in_main else set())
+        if found and words <= OUTSIDE_WORDS | NEUTRAL_WORDS:
+            return found
+    return set()
 
 
 class Page:
     """One pass over a page's markup. ``number`` names style nodes; ``removed`` has those whose branches are left out.
 
-    After the pass ``blocks`` has (text, inside the article) in page order, and ``nodes`` for each style node the child sequences and
-    texts of its elements and the style node above it.
+    After the pass ``blocks`` has (text, inside the article, the named branches it is in) in page order, and ``nodes`` for each style node the
+    child sequences and texts of its elements and the style node above it. When counting, branches that are declared to be no article are
+    read like any other.
     """
 
     def __init__(self, markup: str, number, removed=frozenset(), count: bool = False):
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, tuple]] = []
         self.nodes: dict[int, tuple[list, list, int]] = {}
-        self.has_main = False
         self._number, self._removed, self._count = number, removed, count
-        self._stack: list[tuple[str, int, bool]] = []  # element, style node, inside the article
+        self._stack: list[tuple[str, int, bool, tuple]] = []  # element, style node, inside the article, named branches
+        self._named, self._lifted, self._firm = 0, set(), set()
         self._buffer: list[str] = []
         self._skip = 0  # depth of the stack at which a branch that is left out began, or 0
         self._read(markup)
         self._flush()
 
     def text(self) -> str:
-        return "\n".join(t for t, inside in self.blocks if inside or not self.has_main)
-
-    def _inside(self) -> bool:
-        return bool(self._stack) and self._stack[-1][2]
+        """The blocks that are left. A named branch that holds an article is none; nor is one with over half of the text, unless it is named
+        for readers' comments or an article has text beside it."""
+        size: dict[int, int] = {}
+        for t, _, names in self.blocks:
+            for n in names:
+                size[n] = size.get(n, 0) + len(t)
+
+        def kept(gone):
+            return [(t, inside) for t, inside, names in self.blocks if not gone.intersection(names)]
+
+        gone = size.keys() - self._lifted
+        left = kept(gone)
+        if not any(inside for _, inside in left):
+            total = sum(len(t) for t, *_ in self.blocks)
+            left = kept({n for n in gone if n in self._firm or 2 * size[n] <= total})
+        has_main = any(inside for _, inside in left)
+        return "\n".join(t for t, inside in left if inside or not has_main)
 
     def _flush(self) -> None:
         if self._buffer:
             words = "".join(self._buffer).split()
             self._buffer = []
             if words:
-                self.blocks.append((" ".join(words), self._inside()))
+                self.blocks.append((" ".join(words), *(self._stack[-1][2:] if self._stack else (False, ()))))
 
     def _characters(self, raw: str) -> None:
         if self._skip or not raw:
@@ -140,16 +170,22 @@ class Page:
             self._buffer.append("\n")
         if tag in VOID:
             return
-        above, inside = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
+        above, inside, names = self._stack[-1][1:] if self._stack else (0, False, ())
         if self._skip:
-            self._stack.append((tag, above, inside))
+            self._stack.append((tag, above, inside, names))
             return
         own = attributes(source)
         node = self._number(above, tag, own.get("class", ""))
-        out = node in self._removed or outside(tag, own, inside)
+        out = tag in UNREAD if self._count else node in self._removed or outside(tag, own, inside)
+        if not out and (why := named_outside(tag, own, inside)):
+            self._named += 1
+            names = (*names, self._named)
+            if why & COMMENT_WORDS:
+                self._firm.add(self._named)
         if tag in MAIN and not out:
-            self.has_main = inside = True
-        self._stack.append((tag, node, inside))
+            inside = True
+            self._lifted.update(names)
+        self._stack.append((tag, node, inside, names))
         if out:
             self._skip = len(self._stack)
         elif self._count:
