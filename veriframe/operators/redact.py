@@ -22,6 +22,9 @@ PERSONAL_HEADING = r"^\s*(?:acknowledg(?:e)?ments?|author contributions|correspo
 CONTACT_HEADING = r"^\s*(?:correspondence\s+to|corresponding\s+author|contact\s+author)\s*:"
 IDENTITY_LINE = (r"(?im)^.*\b(?:corresponding author|correspondence to|email|e-mail|author contributions"
                  r"|acknowledg(?:e)?ments?)\b.*$")
+PAGE_LINE = r"^\[\[page\s+\d+\]\]\s*$"
+FIRST_MARKER = r"\A\[\[page\s+\d+\]\]"
+RUNNING_HEADER = r"(?im)(^\[\[page\s+\d+\]\][^\n]*\n(?:[^\n]*\n){0,2})[^\n]*\bet\s+al\.?\s*:[^\n]*"
 REFERENCE_SHARE = 0.45
 
 # What is withheld from short context strings.
@@ -43,7 +46,7 @@ def redact(text: Column) -> Column:
     """Front matter, contacts, identifiers, citations, identity sections and a late reference list. Form feeds become page markers first."""
     t = mark_pages(text)
     body, page2 = F.regexp_instr(t, F.lit(BODY_HEADING)), F.regexp_instr(F.substr(t, F.lit(2)), F.lit(PAGE_MARKER))
-    marker = F.regexp_extract(t, r"\A\[\[page\s+\d+\]\]", 0)
+    marker = F.regexp_extract(t, FIRST_MARKER, 0)
     marker = F.when(marker != "", marker).otherwise("[[page 1]]")
     t = F.when((body > 0) & ((page2 == 0) | (body <= page2)),
                F.concat(marker, F.lit("\n[front matter redacted]\n"), F.substr(t, body))).otherwise(t)
@@ -54,13 +57,11 @@ def redact(text: Column) -> Column:
                F.concat(F.substr(t, F.lit(1), refs - 1), F.lit("\n[reference list redacted]\n"))).otherwise(t)
     t = F.regexp_replace(t, CITATION_ET_AL, "[citation redacted]")
     t = F.regexp_replace(t, CITATION_YEAR, "[citation redacted]")
-    page = r"^\[\[page\s+\d+\]\]\s*$"
-    t = F.regexp_replace(t, rf"(?ims){PERSONAL_HEADING}.*?(?={NEXT_HEADING}|{page}|\z)",
+    t = F.regexp_replace(t, rf"(?ims){PERSONAL_HEADING}.*?(?={NEXT_HEADING}|{PAGE_LINE}|\z)",
                          "[article identity section redacted]\n")
-    t = F.regexp_replace(t, rf"(?ims){CONTACT_HEADING}.*?(?:^[ \t]*$|(?={page})|\z)", "[contact block redacted]\n")
+    t = F.regexp_replace(t, rf"(?ims){CONTACT_HEADING}.*?(?:^[ \t]*$|(?={PAGE_LINE})|\z)", "[contact block redacted]\n")
     for _ in range(3):  # a running header sits within three lines of a page marker
-        t = F.regexp_replace(t, r"(?im)(^\[\[page\s+\d+\]\][^\n]*\n(?:[^\n]*\n){0,2})[^\n]*\bet\s+al\.?\s*:[^\n]*",
-                             "$1[running header redacted]")
+        t = F.regexp_replace(t, RUNNING_HEADER, "$1[running header redacted]")
     return F.regexp_replace(t, IDENTITY_LINE, "[article identity line redacted]")
 
 

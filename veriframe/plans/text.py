@@ -236,12 +236,35 @@ def field_withholding(t):
     return out.select("k", F.array_join(rows, ",").alias("rows"), F.array_join(names, ",").alias("tools"), "withheld_values", "withheld_locators", wh.note_once(c("note"), "Details withheld.").alias("note"))
 
 
-@query()
+# What no section rule touches, in the order of the rules.
+REDACT_SQL = r"regexp_replace(" * 5 + r"""{0}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[contact redacted]', 'g'),
+  '(?i)\b(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)10\.\d{{4,9}}/\S+', '[identifier redacted]', 'g'),
+  '\b[A-Z][a-z]{{2,}}(?:\s+(?:and|&)\s+[A-Z][a-z]{{2,}})?\s+et\s+al\.?', '[citation redacted]', 'g'), '\b[A-Z][a-z]{{2,}}\s*\((?:19|20)\d{{2}}[a-z]?\)', '[citation redacted]', 'g'),
+  '(?im)^.*\b(?:corresponding author|correspondence to|email|e-mail|author contributions|acknowledg(?:e)?ments?)\b.*$', '[article identity line redacted]', 'g')"""
+
+
+@query(f"WITH r AS (SELECT doc_id, {REDACT_SQL.format('text')} AS x FROM documents) SELECT doc_id, md5(x) AS text_md5, length(x) AS chars FROM r")
 def redact_full(t):
     r = rd.redact(c("text"))
     return t.documents.select("doc_id", F.md5(r).alias("text_md5"), F.length(r).alias("chars"))
 
 
+# Every document as the first of three pages of an article, with all the sections that go; form feeds in even ones, marker lines in odd ones.
+SECTIONS = ["A Title\nJane Roe, John Poe\nAbstract\n", "Results\nAlpha et al. showed in Smith (2019) that x\nAcknowledgements\nWe thank A and B\nDiscussion\nmore\n"
+            "Correspondence to: Dr X\nStreet 5\n\nConclusion\nE-mail us today", "references\n1. A\n2. B"]
+
+
+@query(f"""WITH r AS (SELECT doc_id, '[[page 1]]\n[front matter redacted]\nAbstract\n' || {REDACT_SQL.format('text')} ||
+  '\n[[page 2]]\nResults\n[citation redacted] showed in [citation redacted] that x\n[article identity section redacted]\nDiscussion\nmore\n[contact block redacted]\n\nConclusion\n[article identity line redacted]\n[[page 3]]\n\n[reference list redacted]\n' AS x
+  FROM documents) SELECT doc_id, md5(x) AS text_md5, length(x) AS chars FROM r""")
+def redact_pages(t):
+    first, second, third = F.concat(F.lit(SECTIONS[0]), c("text")), F.lit(SECTIONS[1]), F.lit(SECTIONS[2])
+    fed = F.concat_ws("\f", first, second, third)
+    marked = F.concat(F.lit("[[page 1]]\n"), first, F.lit("\n[[page 2]]\n"), second, F.lit("\n[[page 3]]\n"), third, F.lit("\n"))
+    r = rd.redact(F.when(c("doc_id") % 2 == 0, fed).otherwise(marked))
+    return t.documents.select("doc_id", F.md5(r).alias("text_md5"), F.length(r).alias("chars"))
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS st FROM l),
