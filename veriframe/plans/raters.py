@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import rules as ru
 from ..operators import agreement as ag
+from ..operators import diff as df_
 from ..operators import reconcile as rc
 from ..operators import sampling as sp
 from .registry import query
@@ -447,3 +448,23 @@ def stage_funnel(t):
         **{f"excluded:{k}": (c("fin") == "EXCLUDE") & (c("final_code") == k) for k in [*CODES, "C4"]}}))
     out = out.unionByName(rc.stage_metrics(adv, "eligibility", "final", {"assessed": F.lit(True), "included": c("price") > 200000}))
     return out.unionByName(rc.stage_check(out, "identified_vs_assessed", ("identification", "records"), ("eligibility", "assessed")))
+
+
+# Two raters of the same orders, each with a slot of their own and cells in the other's.
+@query("""
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END AS da, CASE WHEN o_orderkey % 5 = 0 THEN 'yes' ELSE 'no' END AS db FROM orders)
+SELECT da AS decision_a, db AS decision_b, count(*) AS n FROM o GROUP BY 1, 2""")
+def strict_pairing(t):
+    side = lambda k: t.orders.select(c("o_orderkey").alias("id"), F.when(c("o_orderkey") % k == 0, "yes").otherwise("no").alias("decision"))
+    return rc.pair_raters_strict(side(3), side(5), "id").groupBy("decision_a", "decision_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderkey AS id, unnest(CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 = 0 THEN ['code_B', 'note_B_text'] WHEN o_orderkey % 4 = 0 THEN ['code_B'] ELSE ['note_B_text'] END) AS column, o_orderstatus AS value
+FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0""")
+def slot_misuse(t):
+    """Cells that rater A filled in rater B's slots."""
+    mine = lambda k: F.when(c("o_orderkey") % k == 0, c("o_orderstatus"))
+    o = t.orders.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("code_A"), mine(4).alias("code_B"), c("o_orderpriority").alias("note_A_text"),
+                        F.coalesce(mine(6), F.lit("")).alias("note_B_text"), F.lit("x").alias("other"))
+    return df_.slot_warnings(o, "id", "A", o.columns)

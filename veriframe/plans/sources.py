@@ -165,6 +165,47 @@ def skip_taxonomy(t):
     return out.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The pages as RIS, BibTeX and tab-delimited files, each read by its own reader.
+@query(f"""WITH {PAGE_SQL}, f AS (SELECT count(*) AS n, count(DISTINCT doi) AS n_doi, sum(y)::BIGINT AS years, count(DISTINCT page_id) AS n_titles FROM ps)
+SELECT unnest(['ris', 'bibtex', 'tsv']) AS kind, n, n_doi, years, n_titles FROM f""")
+def format_files(t):
+    root = f"{ensure_checkpoint_dir(t.spark)}/formats-{uuid.uuid4().hex}"
+    p = page_fields(t).repartition(5, "page_id").withColumn("name", F.concat(F.lit("Page "), c("page_id").cast("string")))
+    ris = F.concat(F.lit("TY  - JOUR\nTI  - "), c("name"), F.lit("\nPY  - "), c("y"), F.lit("\nDO  - "), c("doi"), F.lit("\nER  - \n"))
+    bib = F.concat(F.lit("@ARTICLE{k"), c("page_id").cast("string"), F.lit(",\n  title = {{"), c("name"), F.lit("}},\n  year = {"), c("y"), F.lit("},\n  doi = {"), c("doi"), F.lit("}\n}\n"))
+    p.select(ris.alias("value")).write.text(f"{root}/ris")
+    p.select(bib.alias("value")).write.text(f"{root}/bibtex")
+    tsv = p.select(F.lit("J").alias("PT"), F.lit("Roe, A").alias("AU"), c("name").alias("TI"), c("y").alias("PY"), c("doi").alias("DI"), c("page_id").alias("UT"))
+    tsv.write.option("header", True).option("sep", "\t").option("quote", "").csv(f"{root}/tsv")
+    parts = {"ris": tagged.read_ris(t.spark, f"{root}/ris"), "bibtex": bibtex.bibtex_records(bibtex.read_bibtex_entries(t.spark, f"{root}/bibtex")),
+             "tsv": tagged.tsv_records(tagged.read_tsv(t.spark, f"{root}/tsv"))}
+    out = None
+    for kind, df in parts.items():
+        row = df.groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doi").alias("n_doi"), F.sum(c("year").cast("bigint")).alias("years"), F.count_distinct("title").alias("n_titles"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# A table is written once for each content: the same rows in another order are not written again.
+@query("SELECT o_orderstatus, count(*) AS n, true AS first_write, false AS same_again, true AS changed FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")
+def frozen_table(t):
+    path = f"{ensure_checkpoint_dir(t.spark)}/frozen-{uuid.uuid4().hex}"
+    o = t.orders.select("o_orderkey", "o_orderstatus", c("o_totalprice").cast("decimal(18,2)").alias("price"))
+    wrote = [sinks.freeze(o, path, ["o_orderkey"]), sinks.freeze(o.repartition(3, "price"), path, ["o_orderkey"]), sinks.freeze(o.where("o_orderkey % 5 <> 0"), path, ["o_orderkey"])]
+    return (sinks.verify_frozen(t.spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+            .select("*", *[F.lit(w).alias(n) for w, n in zip(wrote, ("first_write", "same_again", "changed"), strict=True)]))
+
+
+# Turns as rows of batch files, every row in one batch only.
+@query("SELECT conv_id, turn, role, length(text) AS len FROM conversations")
+def strict_batches(t):
+    path = f"{ensure_checkpoint_dir(t.spark)}/strict-{uuid.uuid4().hex}"
+    rows = t.conversations.select(F.concat_ws("/", "conv_id", "turn").alias("id"), "conv_id", "turn", "role", F.length("text").alias("len"))
+    sinks.write_jsonl(rows, path, ["conv_id", "turn"], 4)
+    back = t.spark.read.schema("id string, conv_id bigint, turn bigint, role string, len int").json(path)
+    return runs.unique_batches(back, "id").drop("id")
+
+
 @query("""SELECT o_orderkey AS "doc.id", o_custkey AS "doc.customer.id", o_orderpriority AS "doc.customer.priority", o_totalprice AS total FROM orders""")
 def nested_flatten(t):
     df = t.orders.select(F.struct(c("o_orderkey").alias("id"), F.struct(c("o_custkey").alias("id"), c("o_orderpriority").alias("priority")).alias("customer"), F.lit(1).alias("_meta")).alias("doc"),
