@@ -73,16 +73,14 @@ def value_before(df: DataFrame, value: str, order_by: list, group: list[str] = (
 def sort_key(value: Column, dtype: T.DataType) -> Column:
     """A 64-bit integer in the order of a numeric, date or time value, different for different values."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        v, unit = value.cast("double"), float(1 << 52)
-        size, least = F.abs(v), 2.0 ** -1022
-        normal = F.when((size >= least) & (size < float("inf")), size).otherwise(1.0)
-        guess = F.floor(F.log2(normal)).cast("int")
-        # The power of two in steps that are numbers themselves.
-        part = lambda e: normal / F.pow(F.lit(2.0), F.greatest(e, F.lit(-1000))) / F.pow(F.lit(2.0), e - F.greatest(e, F.lit(-1000)))
-        power = F.when(part(guess) >= 2, guess + 1).when(part(guess) < 1, guess - 1).otherwise(guess)
-        key = (power + 1023).cast("bigint") * F.lit(1 << 52) + ((part(power) - 1) * unit).cast("bigint")
-        whole = (F.when(v.isNull(), None).when(F.isnan(v), F.lit((2047 << 52) + 1)).when(size == float("inf"), F.lit(2047 << 52))
-                 .when(size < least, (size / 2.0 ** -1074).cast("bigint")).otherwise(key))
+        v = value.cast("double")
+        size = F.abs(v)
+        # The hexadecimal form has the exponent and the 52 bits of the fraction as they are: 0x1.8p3, and 0x0.8p-1022 for the smallest.
+        form = F.format_string("%a", size)
+        fraction = F.conv(F.rpad(F.regexp_extract(form, r"\.([0-9a-f]+)p", 1), 13, "0"), 16, 10).cast("bigint")
+        power = F.regexp_extract(form, r"p(-?\d+)$", 1).try_cast("bigint")
+        key = F.when(form.startswith("0x1"), (power + 1023) * F.lit(1 << 52)).otherwise(F.lit(0)) + fraction
+        whole = F.when(v.isNull(), None).when(F.isnan(v), F.lit((2047 << 52) + 1)).when(size == float("inf"), F.lit(2047 << 52)).otherwise(key)
         return F.when((v < 0) & ~F.isnan(v), -whole).otherwise(whole)
     if isinstance(dtype, T.DecimalType):
         if dtype.precision > 18:
@@ -105,7 +103,8 @@ def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], bi
     """
     groups = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     keys = [F.col(b).alias(g) for b, g in zip(by, groups, strict=False)] or [F.lit(0).alias("_g0")]
-    rows = (df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias(GROUP), F.col(value).alias("_v"), sort_key(F.col(value), df.schema[value].dataType).alias("_k")))
+    # Every pass reads the keys, so they are computed and written once.
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias(GROUP), F.col(value).alias("_v"), sort_key(F.col(value), df.schema[value].dataType).alias("_k")))
     facts = rows.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
     at = {q: (F.col("n") - 1) * F.lit(q) for q in qs.values()}
     ranks = F.array_distinct(F.array(*[r.cast("bigint") for p in at.values() for r in (F.floor(p) + 1, F.ceil(p) + 1)]))

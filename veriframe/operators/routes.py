@@ -39,7 +39,8 @@ def route_tables(spark: SparkSession, routes: dict[str, list[list[str]]]) -> tup
     number: dict[frozenset, int] = {}
     needs = {r: sorted({number.setdefault(frozenset(f for t in g for f in term_forms(t)), len(number)) for g in groups}) for r, groups in routes.items()}
     forms = [(f, o, n) for g, n in number.items() for f, o in sorted(g)]
-    return spark.createDataFrame(forms, "form string, open_end boolean, `group` int"), needs
+    # Written, so that its size is known to the planner: a list from the driver counts as too large to be sent.
+    return cut_lineage(spark.createDataFrame(forms, "form string, open_end boolean, `group` int")), needs
 
 
 def _spans(n: int) -> Callable[[Column], Column]:
@@ -86,7 +87,7 @@ def records_on_routes(records: DataFrame, key: str, text: str, routes: dict[str,
     sizes = {r["group"]: r["n"] for r in hits.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a group
     # A route is filed under the group that the fewest records have.
     filed = [(r, min(gs, key=lambda g: (sizes.get(g, 0), g)), gs) for r, gs in needs.items() if gs]
-    lead = spark.createDataFrame(filed, "route string, `group` int, groups array<int>")
+    lead = cut_lineage(spark.createDataFrame(filed, "route string, `group` int, groups array<int>"))
     held = hits.groupBy(key).agg(F.collect_list("group").alias("_held"))
     out = hits.join(lead, "group").join(held, key).where(F.size(F.array_except("groups", "_held")) == 0).select(key, "route")
     free = spark.createDataFrame([(r,) for r, gs in needs.items() if not gs], "route string")
