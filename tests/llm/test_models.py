@@ -27,11 +27,11 @@ def corpus(spark, n=300, seed=1):
 class PlainModel:
     """Interpolated modified Kneser-Ney by its definition, with dictionaries of tuples."""
 
-    def __init__(self, texts, order=4):
+    def __init__(self, texts, order=4, parts=None):
+        self.parts = parts or (lambda t: [["\2", *w, "\3"] for w in re.findall(r"[^\x20\x09-\x0D]+", t)])
         raw = Counter()
         for t in texts:
-            for w in re.findall(r"[^\x20\x09-\x0D]+", t):
-                s = ["\2", *w, "\3"]
+            for s in self.parts(t):
                 for i in range(1, len(s)):
                     raw[tuple(s[max(0, i - order + 1):i + 1])] += 1
         self.c = {order: {g: n for g, n in raw.items() if len(g) == order}}
@@ -62,8 +62,16 @@ class PlainModel:
         return own + rest * (1 / self.symbols if k == 1 else self.p(g[1:]))
 
     def nll(self, text, order=4):
-        s = [["\2", *w, "\3"] for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-        return sum(-math.log(self.p(tuple(w[max(0, i - order + 1):i + 1]))) for w in s for i in range(1, len(w)))
+        return sum(-math.log(self.p(tuple(w[max(0, i - order + 1):i + 1]))) for w in self.parts(text) for i in range(1, len(w)))
+
+
+def distances(text):
+    """How long ago each word of a text last stood there: in doublings, 0 for never."""
+    last, out = {}, ["first"]
+    for i, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", text)):
+        out.append(1 + math.ceil(math.log2(i - last[w])) if w in last else 0)
+        last[w] = i
+    return [out]
 
 
 @pytest.mark.parametrize("shard", [4_000_000, 40])
@@ -71,14 +79,17 @@ def test_perplexity_equals_the_definition(spark, shard, monkeypatch):
     trusted = corpus(spark, 60).where("doc_id < 5000")
     docs = trusted.where("doc_id < 1020").unionByName(corpus(spark, 20, 2)).unionByName(documents(spark).where("doc_id in (45, 46, 42)"))
     plain = PlainModel([r.text for r in trusted.collect()])
+    order = PlainModel([r.text for r in trusted.collect()], parts=distances)
+    monkeypatch.setattr(kneser_ney, "SLICE_CHARS", 500)
     monkeypatch.setattr(kneser_ney.Model.__init__, "__defaults__", (shard,))
     model = kneser_ney.train(docs, trusted, "text")
     assert (len(model.shards) > 1) == (shard == 40)
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    got = kneser_ney.score(rows, [F.col("row"), F.col("text").alias("whole")], "text", model, ["row"]).collect()
+    got = kneser_ney.score(docs, [F.col("text").alias("whole")], "text", model).collect()
     for r in got:
         assert r.nll == pytest.approx(plain.nll(r.whole), rel=1e-4, abs=1e-6)
         assert r.n == sum(len(w) + 1 for w in re.findall(r"[^\x20\x09-\x0D]+", r.whole))
+        assert r.order_nll == pytest.approx(order.nll(r.whole), rel=1e-4, abs=1e-6)
+        assert r.words == len(re.findall(r"[^\x20\x09-\x0D]+", r.whole))
     assert len(got) == docs.count()
 
 
@@ -103,6 +114,24 @@ def test_quality_keeps_clean_text_and_drops_junk(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
 
 
+@pytest.mark.parametrize("shard", [4_000_000, 40])
+def test_text_that_repeats_itself_is_dropped(spark, shard, monkeypatch):
+    monkeypatch.setattr(kneser_ney.Model.__init__, "__defaults__", (shard,))
+    clean = corpus(spark).where("doc_id < 5000")
+    rows = [(6000, "the " * 200, "en", "s", 1), (6001, "fluss " * 40, "de", "s", 1), (6002, "river house " * 60, "en", "s", 1),
+            (6003, "they walked through the garden " + "river " * 300, None, "s", 1), (6004, "the the", "en", "s", 1)]
+    docs = clean.unionByName(spark.createDataFrame(rows, clean.schema))
+    # Read through a join: rows have no fixed place that two scans could agree on.
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id").select(docs.columns)
+    trusted = clean.where("doc_id < 1200").select("doc_id")
+    kept = {r.doc_id for r in kneser_ney.keep_fluent(joined, trusted).collect()}
+    assert kept == {*range(1000, 1300), 6004}
+    got = {r.doc_id: r for r in kneser_ney.classify(joined, trusted).collect()}
+    assert {i for i, r in got.items() if r.keep} == kept
+    # The letters of such text are fluent; only its order is not.
+    assert got[6000].perplexity <= got[6000].threshold and got[6000].order_perplexity > got[6000].order_threshold
+
+
 def test_quality_of_empty_tables(spark):
     docs = documents(spark).where("doc_id < 30")
     nobody = docs.where("false").select("doc_id")

@@ -1,18 +1,23 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts the characters of a word, and its end, from up to three characters before, from the word's beginning on. An
-n-gram is a 64-bit number, 16 bits a character. Counts are tables spread by n-gram: raw counts at the highest order and for
-n-grams at a word's beginning, continuation counts below. The n-grams of the corpus are joined with the counts, their contexts and
+Two models share the count tables. One predicts the characters of a word, and its end, from up to three characters before, from the
+word's beginning on. The other looks across words: it predicts how long ago a word last stood in the text (never, one word ago, two,
+three to four, five to eight and so on) from the same of up to three words before, so that text which repeats itself as trusted text
+never does is as perplexing as text of strange letters. An n-gram is a 64-bit number, 16 bits a symbol; symbols of the second model are
+surrogates, which are no characters. Counts are tables spread by n-gram: raw counts at the highest order and for
+n-grams at a beginning, continuation counts below. The n-grams of the corpus are joined with the counts, their contexts and
 their shorter forms, order by order, which gives each distinct n-gram its log probability; documents then add up those of their
-words. Perplexities are compared with a quantile of trusted documents of the same language, taken over a fifth of them that the
+words. Both perplexities are compared with a quantile of trusted documents of the same language, taken over a fifth of them that the
 counts do not include, since a model finds the text that it has counted too easy.
 
-The table of log probabilities is broadcast in shards of at most ``SHARD`` n-grams, one pass over the documents for each shard.
+The table of log probabilities is broadcast in shards of at most ``SHARD`` n-grams. Every shard adds its part to the rows that come from
+the one before, in one scan of the documents, so that rows need no identity.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -25,13 +30,19 @@ from .shipping import Shared, by_value
 
 ORDER = 4
 BEGIN, END, STRANGE = 2, 3, 0xFFFF
+#: Symbols of the word model: RECENT for a new word, RECENT + 1 for a repeat of the last word, then one for each doubling; FIRST before a text.
+RECENT, FIRST = 0xD800, 0xD8FF
 SHARD = 4_000_000
 SLICE_CHARS = 2_000_000
 #: A document is judged as if it held this many more characters of average text, so that a few rare ones do not condemn a short text.
 PRIOR = 60
+#: The same for its words.
+PRIOR_WORDS = 12
 QUANTILE = 0.995
 #: How far above the quantile a perplexity may lie: the quantile of a few held-out documents is uncertain.
 SLACK = 1.25
+#: The same for word order, where a text has fewer symbols.
+SLACK_WORDS = 1.3
 BINS = 1000
 POOLED = "*"
 
@@ -71,8 +82,28 @@ class Words:
             code[back:] |= np.where(place[back:] >= back, symbol[:-back] << np.uint64(16 * back), np.uint64(0))
         return code[~first].view(np.int64), owner[~first]
 
+    def recency(self) -> np.ndarray:
+        """The n-gram of every word's distance to the same word before it in its text."""
+        n = len(self.which)
+        text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        order = np.argsort(text * max(len(self.distinct), 1) + self.which, kind="stable")
+        same = (self.which[order][1:] == self.which[order][:-1]) & (text[order][1:] == text[order][:-1])
+        symbol = np.full(n, RECENT, np.uint64)
+        symbol[order[1:][same]] += np.frexp(np.diff(order)[same] - 0.5)[1].astype(np.uint64) + np.uint64(1)
+        place = np.arange(n) - self.bounds[text]
+        code = symbol.copy()
+        for back in range(1, ORDER):
+            before = np.concatenate([np.zeros(min(back, n), np.uint64), symbol[:-back]])
+            code |= np.where(place >= back, before, np.where(place == back - 1, np.uint64(FIRST), np.uint64(0))) << np.uint64(16 * back)
+        return code.view(np.int64)
+
     def per_text(self, of_word: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros(1), np.cumsum(of_word[self.which])])
+        """Sums over the words of each text of a value of the distinct words."""
+        return self.per_place(of_word[self.which])
+
+    def per_place(self, value: np.ndarray) -> np.ndarray:
+        """Sums over the words of each text of a value of every word in its place."""
+        total = np.concatenate([np.zeros(1), np.cumsum(value)])
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
@@ -89,7 +120,8 @@ def gram_counts(texts: DataFrame, text: str) -> DataFrame:
                 found, at = np.unique(code, return_inverse=True)
                 often = np.bincount(words.which, minlength=len(words.distinct))
                 count = np.bincount(at, weights=often[owner], minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count)], names=["g", "c"])
+                recent, times = np.unique(words.recency(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, recent])), pa.array(np.concatenate([count, times]))], names=["g", "c"])
 
     return texts.select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -102,8 +134,13 @@ def _suffix(g: Column, order: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long"))
 
 
+def _of_words(g: Column) -> Column:
+    """Whether an n-gram predicts a symbol of the word model."""
+    return g.bitwiseAND(F.lit(0xFF00).cast("long")) == RECENT
+
+
 def adjusted_counts(raw: DataFrame) -> dict[int, DataFrame]:
-    """Counts by order: raw ones at the highest order and at the beginning of words, else the number of different left neighbours."""
+    """Counts by order: raw ones at the highest order and at a beginning, else the number of different left neighbours."""
     sized = raw.withColumn("k", _length(F.col("g")))
     own = {k: sized.where(F.col("k") == k).select("g", "c") for k in range(1, ORDER + 1)}
     out = {ORDER: own[ORDER]}
@@ -113,33 +150,37 @@ def adjusted_counts(raw: DataFrame) -> dict[int, DataFrame]:
     return out
 
 
-def discounts(adjusted: dict[int, DataFrame]) -> dict[int, tuple[float, float, float]]:
-    """Discounts for counts of one, two, and three or more, by order, from the numbers of n-grams with counts one to four."""
-    seen = {(r["k"], r["c"]): r["n"] for r in reduce(DataFrame.unionByName, [
-        d.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k)) for k, d in adjusted.items()]).collect()}
+def discounts(adjusted: dict[int, DataFrame]) -> dict[tuple[int, bool], tuple[float, float, float]]:
+    """Discounts for counts of one, two, and three or more, by order and model, from the numbers of n-grams with counts one to four."""
+    seen = {(r["k"], r["w"], r["c"]): r["n"] for r in reduce(DataFrame.unionByName, [
+        d.where("c <= 4").groupBy(_of_words(F.col("g")).alias("w"), "c").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
+        for k, d in adjusted.items()]).collect()}
     out = {}
-    for k in adjusted:
-        n = [0, *(seen.get((k, c), 0) for c in (1, 2, 3, 4))]
+    for k, w in product(adjusted, (False, True)):
+        n = [0, *(seen.get((k, w, c), 0) for c in (1, 2, 3, 4))]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        out[k] = tuple(min(c, max(0.1, c - (c + 1) * y * n[c + 1] / n[c])) if n[c] else 0.5 * c for c in (1, 2, 3))
+        out[k, w] = tuple(min(c, max(0.1, c - (c + 1) * y * n[c + 1] / n[c])) if n[c] else 0.5 * c for c in (1, 2, 3))
     return out
 
 
 def log_probabilities(asked: DataFrame, adjusted: dict[int, DataFrame]) -> DataFrame:
     """``g, logp`` for every n-gram asked for. Each order joins the counts, the context's totals and the next shorter form."""
     cut = discounts(adjusted)
-    symbols = adjusted[1].count() + 1
+    size = {r["w"]: r["count"] for r in adjusted[1].groupBy(_of_words(F.col("g")).alias("w")).count().collect()}
+    symbols = F.when(_of_words(F.col("g")), size.get(True, 0) + 1).otherwise(size.get(False, 0) + 1)
     sized = asked.withColumn("k", _length(F.col("g")))
     wanted = {k: sized.where(F.col("k") == k).select("g") for k in range(1, ORDER + 1)}
     for k in range(ORDER - 1, 0, -1):
         wanted[k] = cut_lineage(wanted[k].unionByName(wanted[k + 1].select(_suffix(F.col("g"), k + 1).alias("g"))).distinct())
     shorter = None
     for k in range(1, ORDER + 1):
-        one, two, more = cut[k]
+        one, two, more = (F.when(_of_words(F.col("g")), of_word).otherwise(of_character) for of_word, of_character in zip(cut[k, True], cut[k, False]))
         taken = F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
-        contexts = (adjusted[k].groupBy(F.shiftrightunsigned("g", 16).alias("h"))
+        # Without symbols before, the context is the model.
+        context = _of_words(F.col("g")).cast("long") if k == 1 else F.shiftrightunsigned("g", 16)
+        contexts = (adjusted[k].groupBy(context.alias("h"))
                     .agg(F.sum("c").cast("double").alias("total"), F.sum(taken).alias("left_over")))
-        rows = (wanted[k].withColumn("h", F.shiftrightunsigned("g", 16)).join(adjusted[k], "g", "left").join(contexts, "h", "left"))
+        rows = (wanted[k].withColumn("h", context).join(adjusted[k], "g", "left").join(contexts, "h", "left"))
         own = F.coalesce((F.col("c") - taken) / F.col("total"), F.lit(0.0))
         rest = F.coalesce(F.col("left_over") / F.col("total"), F.lit(1.0))
         if shorter is None:
@@ -166,41 +207,43 @@ class Model:
             self.shards.append(Shared(table.sparkSession, (got.column("g").to_numpy(), got.column("logp").to_numpy())))
 
 
-def _scores(docs: DataFrame, carry: list[Column], text: str, shared: Shared) -> DataFrame:
+SUMS = ("nll", "n", "order_nll", "words")
+
+
+def _add_scores(rows: DataFrame, shared: Shared) -> DataFrame:
+    """``rows`` (the text last but for ``SUMS``) with a shard's part added to the sums."""
     import pyarrow as pa
 
-    rows = docs.select(*carry, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    names = rows.columns[:-1]
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("nll", T.DoubleType()), T.StructField("n", T.LongType())])
+    at_text = len(rows.columns) - len(SUMS) - 1
 
     def run(batches):
         known, logp = shared.derived(lambda value: value)
+
+        def look_up(code):
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            hit = known[at] == code if len(known) else np.zeros(len(code), bool)
+            return np.where(hit, -logp[at] if len(known) else 0, 0), hit
+
         for batch in batches:
-            texts, nll, n = batch.column(len(names)).to_pylist(), [], []
+            texts, parts = batch.column(at_text).to_pylist(), []
             for a, b in slices(texts, SLICE_CHARS):
                 words = Words(texts[a:b])
                 code, owner = words.grams()
-                at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                hit = known[at] == code if len(known) else np.zeros(len(code), bool)
-                cost = np.bincount(owner, weights=np.where(hit, -logp[at] if len(known) else 0, 0), minlength=len(words.distinct))
-                count = np.bincount(owner, weights=hit, minlength=len(words.distinct))
-                nll.append(words.per_text(cost))
-                n.append(words.per_text(count))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(np.concatenate(nll or [np.zeros(0)])),
-                                              pa.array(np.concatenate(n or [np.zeros(0)]).astype(np.int64))], names=[*names, "nll", "n"])
+                cost, hit = look_up(code)
+                of_word = [np.bincount(owner, weights=v, minlength=len(words.distinct)) for v in (cost, hit)]
+                parts.append([*map(words.per_text, of_word), *map(words.per_place, look_up(words.recency()))])
+            sums = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]) + batch.column(at_text + 1 + i).to_numpy() for i in range(len(SUMS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_text + 1], *map(pa.array, sums)], names=batch.schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def score(docs: DataFrame, carry: list[Column], text: str, model: Model, row: list[str] | None = None) -> DataFrame:
-    """The carried columns with ``nll`` (negative log probability) and ``n`` (characters) of every whole text. With several shards
-    the parts of a row are brought together by the columns ``row``."""
-    parts = [_scores(docs, carry, text, shard) for shard in model.shards]
-    if len(parts) == 1:
-        return parts[0]
-    names = [c for c in parts[0].columns if c not in ("nll", "n")]
-    return (reduce(DataFrame.unionByName, parts).groupBy(*(row or names)).agg(*[F.first(c).alias(c) for c in names if row and c not in row],
-            F.sum("nll").alias("nll"), F.sum("n").alias("n")))
+def score(docs: DataFrame, carry: list[Column], text: str, model: Model) -> DataFrame:
+    """The carried columns with ``nll`` (negative log probability) and ``n`` (characters), ``order_nll`` and ``words`` of every whole text."""
+    rows = docs.select(*carry, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), *[F.lit(0.0).alias(c) for c in SUMS])
+    for shard in model.shards:
+        rows = _add_scores(rows, shard)
+    return rows.drop("_text").withColumns({c: F.col(c).cast("long") for c in ("n", "words")})
 
 
 def train(docs: DataFrame, trusted: DataFrame, text: str) -> Model:
@@ -210,34 +253,44 @@ def train(docs: DataFrame, trusted: DataFrame, text: str) -> Model:
     return Model(log_probabilities(asked, adjusted))
 
 
-def smoothed(mean: Column) -> Column:
-    """Log perplexity a character, with the prior."""
-    return (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)
+def smoothed(mean: Column, prior: int = PRIOR, nll: str = "nll", n: str = "n") -> Column:
+    """Log perplexity a symbol, with the prior."""
+    return (F.col(nll) + prior * mean) / (F.col(n) + prior)
 
 
-def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def thresholds(scores: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR, slack: float = SLACK) -> DataFrame:
     """``lang, mean, threshold`` of trusted documents' ``lang, nll, n``, and a pooled row for languages without any. The quantile is
     exact to a step of 1 / BINS, from counts of steps."""
     both = scores.select("lang", "nll", "n").unionByName(scores.select(F.lit(POOLED).alias("lang"), "nll", "n"))
     means = both.groupBy("lang").agg((F.sum("nll") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    steps = (both.join(F.broadcast(means), "lang").groupBy("lang", "mean", F.ceil(smoothed(F.col("mean")) * BINS).alias("step"))
+    steps = (both.join(F.broadcast(means), "lang").groupBy("lang", "mean", F.ceil(smoothed(F.col("mean"), prior) * BINS).alias("step"))
              .agg(F.count(F.lit(1)).alias("m")))
     # One language has at most a few thousand steps.
     upto = Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("lang")
     return (steps.withColumns({"upto": F.sum("m").over(upto), "all": F.sum("m").over(every)}).where(F.col("upto") >= F.ceil(F.col("all") * quantile))
-            .groupBy("lang").agg(F.first("mean").alias("mean"), (F.min("step") / BINS + float(np.log(SLACK))).alias("threshold")))
+            .groupBy("lang").agg(F.first("mean").alias("mean"), (F.min("step") / BINS + float(np.log(slack))).alias("threshold")))
+
+
+def _limits(scored: DataFrame, quantile: float) -> DataFrame:
+    """``lang, mean, threshold, order_mean, order_threshold``: the limits of both models from trusted documents."""
+    order = thresholds(scored.select("lang", F.col("order_nll").alias("nll"), F.col("words").alias("n")), quantile, PRIOR_WORDS, SLACK_WORDS)
+    return thresholds(scored, quantile).join(order.select("lang", F.col("mean").alias("order_mean"), F.col("threshold").alias("order_threshold")), "lang")
 
 
 def _judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """``scored`` with ``perplexity, threshold, keep``. The limits are one row a language; they are few beside the documents."""
-    pooled = limits.where(F.col("lang") == POOLED).select(F.col("mean").alias("pooled_mean"), F.col("threshold").alias("pooled_threshold")).first()
-    p_mean, p_limit = (pooled[0], pooled[1]) if pooled else (None, None)
-    return (scored.join(limits.where(F.col("lang") != POOLED), "lang", "left")
-            .withColumns({"mean": F.coalesce("mean", F.lit(p_mean).cast("double")), "threshold": F.coalesce("threshold", F.lit(p_limit).cast("double"))})
-            .withColumn("level", F.coalesce(smoothed(F.coalesce("mean", F.lit(0.0))), F.lit(0.0)))
-            .withColumns({"perplexity": F.exp("level"), "keep": F.coalesce(F.col("level") <= F.col("threshold"), F.lit(True))})
-            .withColumn("threshold", F.exp("threshold")).drop("mean", "level"))
+    """``scored`` with ``perplexity, threshold, order_perplexity, order_threshold, keep``. The limits are one row a language; they are few
+    beside the documents."""
+    names = [c for c in limits.columns if c != "lang"]
+    pooled = limits.where(F.col("lang") == POOLED).first()
+    out = (scored.join(limits.where(F.col("lang") != POOLED), "lang", "left")
+           .withColumns({c: F.coalesce(c, F.lit(pooled[c] if pooled else None).cast("double")) for c in names}))
+    levels = {"level": smoothed(F.coalesce("mean", F.lit(0.0))),
+              "order_level": smoothed(F.coalesce("order_mean", F.lit(0.0)), PRIOR_WORDS, "order_nll", "words")}
+    within = (F.col("level") <= F.col("threshold")) & (F.col("order_level") <= F.col("order_threshold"))
+    return (out.withColumns({c: F.coalesce(level, F.lit(0.0)) for c, level in levels.items()})
+            .withColumns({"perplexity": F.exp("level"), "order_perplexity": F.exp("order_level"), "keep": F.coalesce(within, F.lit(True))})
+            .withColumns({c: F.exp(c) for c in ("threshold", "order_threshold")}).drop("mean", "order_mean", *levels))
 
 
 def _language(lang: str) -> Column:
@@ -251,13 +304,14 @@ def _fitted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, lang:
                .join(ids.where(~calibrating).hint("merge"), "_k", "left_semi"))  # ids grow with the documents: never broadcast
     named = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"), _language(lang))
     model = train(named, trusted, "_t")
-    scored = cut_lineage(score(named, [F.col("_k"), F.col("lang"), F.monotonically_increasing_id().alias("_row")], "_t", model, ["_row"]))
-    return model, scored, cut_lineage(thresholds(scored.join(ids.where(calibrating), "_k", "left_semi"), quantile))
+    scored = cut_lineage(score(named, [F.col("_k"), F.col("lang")], "_t", model))
+    return model, scored, cut_lineage(_limits(scored.join(ids.where(calibrating), "_k", "left_semi"), quantile))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
              quantile: float = QUANTILE) -> DataFrame:
-    """``key, lang, perplexity, threshold, keep`` for every document; ``keep``: perplexity (a character) up to its language's threshold.
+    """``key, lang, perplexity, threshold, order_perplexity, order_threshold, keep`` for every document; ``keep``: perplexity (a character) and
+    order perplexity (a word) up to their language's thresholds.
 
     ``trusted_ids`` names the trusted documents in its first column: the counts are made from all whose key is not held out (crc32 of the key
     as text, modulo 5, is 0), the thresholds from all that are. A language without held-out documents takes the pooled threshold; without any everything is kept. A null or blank text has the mean
@@ -265,17 +319,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
     rows and count as often; empty tables give an empty result; other columns play no part.
     """
     _, scored, limits = _fitted(docs, trusted_ids, key, text, lang, quantile)
-    return _judged(scored, limits).select(F.col("_k").alias(key), "lang", "perplexity", "threshold", "keep")
+    return _judged(scored, limits).select(F.col("_k").alias(key), "lang", "perplexity", "threshold", "order_perplexity", "order_threshold", "keep")
 
 
 def keep_fluent(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
                 quantile: float = QUANTILE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with their columns. Rows are scored a second time beside their texts, so that no text
-    is shuffled to meet its verdict."""
+    """The rows of ``docs`` that ``classify`` keeps, with their columns, repeated rows as often as they stand there; an empty table gives an empty one.
+    Rows are scored a second time beside their texts, so that no text is shuffled to meet its verdict."""
     model, _, limits = _fitted(docs, trusted_ids, key, text, lang, quantile)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    named = docs.select(whole, F.col(f"`{text}`").alias("_t"), _language(lang), F.monotonically_increasing_id().alias("_n"))
-    scored = score(named, [F.col("_row"), F.col("lang"), F.col("_n")], "_t", model, ["_n"])
+    scored = score(docs.select(whole, F.col(f"`{text}`").alias("_t"), _language(lang)), [F.col("_row"), F.col("lang")], "_t", model)
     return _judged(scored, limits).where("keep").select("_row.*")
 
 
