@@ -26,7 +26,7 @@ def page_records(t) -> DataFrame:
         F.when(c("url").startswith("http:"), (100000 + n).cast("string")).otherwise("").alias("pmid"),
         F.when(c("url").rlike(r"^https:[^?#]*$"), F.concat(F.lit("https://doi.org/10.5555/"), n)).otherwise("").alias("doi"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        (2000 + F.floor(n / 200)).cast("string").alias("year"),
+        (2000 + F.floor(n / 200)).cast("int").alias("year"),
         F.when(host.startswith("blog."), "preprint server").otherwise(host).alias("journal"),
         F.when(host.startswith("m."), F.array().cast("array<string>")).otherwise(F.array(F.concat(lang, F.lit(", A. B.")))).alias("authors"),
         F.regexp_extract("html", "<p>([^<]*)</p>", 1).alias("abstract"), F.array().cast("array<string>").alias("pubtypes"))
