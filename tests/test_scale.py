@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from veriframe.operators import diff as df_
 from veriframe.operators import fuzzy as fz
+from veriframe.operators import joins as jn
 from veriframe.operators import redact as rd
 from veriframe.operators.skew import attach_per_key
 from veriframe.sources import records, runs, sinks
@@ -109,3 +110,14 @@ def test_long_titles_have_few_rows(spark):
     per = fz.rare_grams(t.withColumn("len", F.length("title")), "indel", 0.95).groupBy("title_id").count().agg(F.max("count")).first()[0]
     assert per <= 4 * 105 + 1
     assert [(r.id_a, r.id_b) for r in fz.similar_titles(t, "indel", 0.95).collect()] == [(1, 2)]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_join_sends_no_side_through_the_driver(spark):
+    pts = spark.range(50).select(F.lit("a").alias("g"), F.col("id").alias("at"))
+    wins = spark.range(20).select(F.lit("a").alias("g"), F.col("id").alias("s"), (F.col("id") + 3).alias("e"))
+    out = jn.interval_join(pts, wins, ["g"], "at", "s", "e")
+    assert "Broadcast" not in planned(out) and out.count() == 80

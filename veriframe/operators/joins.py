@@ -84,7 +84,8 @@ def interval_join(points: DataFrame, windows: DataFrame, by: list[str], at: str,
 
     A dyadic index: a window of a length up to 2**L stands in the one or two cells of that width it touches, so a long window is no more rows
     than a short one. A point looks once into its cell of every width that some window has (fewer than 64). The join is an equi-join on
-    group, width and cell. A window that ends before it starts, or has an open end, holds nothing.
+    group, width and cell, always a sort-merge join: the rows that both sides are exploded to are many more than their files let Spark expect,
+    which would have it send one side through the driver. A window that ends before it starts, or has an open end, holds nothing.
     """
     lo, hi = (sort_key(F.col(c), windows.schema[c].dataType) for c in (start, end))
     length = F.try_subtract("_hi", "_lo")
@@ -96,7 +97,7 @@ def interval_join(points: DataFrame, windows: DataFrame, by: list[str], at: str,
     p = (points.withColumn("_at", sort_key(F.col(at), points.schema[at].dataType)).where("_at IS NOT NULL")
          .withColumn("_width", F.explode(F.array(*[F.lit(x) for x in widths]).cast("array<int>"))).withColumn("_cell", cell("_at")).drop("_at"))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    return p.join(w, [*by, "_width", "_cell"]).where(inside).drop("_width", "_cell")
+    return p.join(w.hint("merge"), [*by, "_width", "_cell"]).where(inside).drop("_width", "_cell")
 
 
 def recall(seeds: DataFrame, pool: DataFrame, key: str) -> DataFrame:
