@@ -10,6 +10,7 @@ from veriframe.operators import diff as df_
 from veriframe.operators import fuzzy as fz
 from veriframe.operators import joins as jn
 from veriframe.operators import redact as rd
+from veriframe.operators import workflow as wf
 from veriframe.operators.skew import attach_per_key
 from veriframe.sources import records, runs, sinks
 
@@ -121,3 +122,12 @@ def test_interval_join_sends_no_side_through_the_driver(spark):
     wins = spark.range(20).select(F.lit("a").alias("g"), F.col("id").alias("s"), (F.col("id") + 3).alias("e"))
     out = jn.interval_join(pts, wins, ["g"], "at", "s", "e")
     assert "Broadcast" not in planned(out) and out.count() == 80
+
+
+def test_paired_quality_joins_nothing(spark):
+    old = [(1, "x", None), (1, "x", 1), (1, "y", 2), (2, "x", None), (None, "x", 1), (4, "z", None)]
+    new = [(1, "x", 5), (1, "w", None), (3, "x", None), (None, "x", None), (4, "x", None)]
+    frames = [spark.createDataFrame(r, "p int, g string, v int") for r in (old, new)]
+    out = wf.paired_quality(*frames, "p", ["g"], "v")
+    assert {tuple(r) for r in out.collect()} == {("x", 2, 50.0, 50.0), ("y", 0, 0.0, None), ("w", 1, None, 100.0), ("z", 0, 100.0, None)}
+    assert "Join" not in planned(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -128,9 +129,12 @@ def map_layer(base: DataFrame, later: DataFrame, order: list[str], human: DataFr
 
 def paired_quality(old: DataFrame, new: DataFrame, parent: str, by: list[str], value: str) -> DataFrame:
     """Rows and share of blank values per group in two versions, over the parents both versions have."""
-    both = (old.select(parent, F.lit(1).alias("s")).unionByName(new.select(parent, F.lit(2).alias("s")))
-            .groupBy(parent).agg(F.bit_or("s").alias("s")).where("s = 3").select(parent))
-    tagged = old.select(parent, *by, value, F.lit("old").alias("_v")).unionByName(new.select(parent, *by, value, F.lit("new").alias("_v")))
-    g = tagged.join(both, parent, "left_semi").groupBy(*by)
-    pct = lambda v: F.try_divide(F.count_if((F.col("_v") == v) & F.col(value).isNull()) * 100.0, F.count_if(F.col("_v") == v))
-    return g.agg(F.count_if(F.col("_v") == "new").alias("n_rows"), pct("old").alias("pct_blank_old"), pct("new").alias("pct_blank_new"))
+    rows = old.select(parent, *by, value, F.lit(True).alias("_old")).unionByName(new.select(parent, *by, value, F.lit(False).alias("_old")))
+    is_old, blank = F.col("_old"), F.col(value).isNull()
+    # A parent is one row a group before it is asked which versions have it, so nothing is joined.
+    per = rows.where(F.col(parent).isNotNull()).groupBy(parent, *by).agg(
+        F.count_if(is_old).alias("_n_old"), F.count_if(is_old & blank).alias("_b_old"), F.count_if(~is_old).alias("_n_new"), F.count_if(~is_old & blank).alias("_b_new"))
+    mine = W.partitionBy(parent)
+    shared = per.withColumns({"_o": F.sum("_n_old").over(mine), "_n": F.sum("_n_new").over(mine)}).where("_o > 0 AND _n > 0")
+    pct = lambda v: F.try_divide(F.sum(f"_b_{v}") * 100.0, F.sum(f"_n_{v}"))
+    return shared.groupBy(*by).agg(F.sum("_n_new").alias("n_rows"), pct("old").alias("pct_blank_old"), pct("new").alias("pct_blank_new"))
