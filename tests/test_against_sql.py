@@ -45,3 +45,9 @@ def test_ids_continue_after_more_ids_than_three_digits(beside_sql):
     got, want = beside_sql("continued_ids", supplier=("s_suppkey bigint", [(k,) for k in (0, 7, 998, 1000, 5999)]),
                            customer=("c_custkey bigint, c_acctbal double", [(k, -1.0 if k % 2 else 1.0) for k in range(9)]))
     assert got == want and got[0] == (1, "FTR-999")
+
+
+def test_scrub_applies_the_rules_of_its_sql(beside_sql):
+    texts = ["as Smith et al. 2019 say", "Abc2012 and software v.1.2.3", "éme@x.org", "me@x.orgé", "secret:\x0bab cd", "éapi_key = x y", "a.b@c.de", None]
+    got, want = beside_sql("scrub_text", documents=("doc_id bigint, text string, lang string", [(i, x, "en") for i, x in enumerate(texts)]))
+    assert got == want

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from ..functions.pages import mark_pages
 
 # What is removed from a full text, and the text put in its place, in order.
-EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+# Word edges and white space of contacts and secrets are those of ASCII, spelled out because \b differs between engines and Java versions.
+EMAIL = r"(?i)(?:(?<!\w)(?=\w)|(?<=\w)(?=[.%+-]))[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?!\w)"
 IDENTIFIER = r"(?i)\b(?:https?://(?:dx\.)?doi\.org/|doi\s*:\s*)10\.\d{4,9}/\S+"
 CITATION_ET_AL = r"\b[A-Z][a-z]{2,}(?:\s+(?:and|&)\s+[A-Z][a-z]{2,})?\s+et\s+al\.?"
 CITATION_YEAR = r"\b[A-Z][a-z]{2,}\s*\((?:19|20)\d{2}[a-z]?\)"
@@ -28,7 +29,7 @@ RUNNING_HEADER = r"(?im)(^\[\[page\s+\d+\]\][^\n]*\n(?:[^\n]*\n){0,2})[^\n]*\bet
 REFERENCE_SHARE = 0.45
 
 # What is withheld from short context strings.
-SECRET = r"(?i)\b(?:api[_ -]?key|access[_ -]?token|secret)\s*[:=]\s*\S+"
+SECRET = r"(?i)(?<!\w)(?:api[_ -]?key|access[_ -]?token|secret)[\t\n\f\r ]*[:=][\t\n\f\r ]*[^\t\n\f\r ]+"
 CONTEXT_CITATION = r"\b[A-Z][a-z]{2,}(?:\s+et\s+al\.?)?\s*\(?\s*(?:19|20)\d{2}\s*\)?"
 SOFTWARE_VERSION = r"(?i)\b(?:software|tool|package)\s*(?:version|v\.)?\s*\d+(?:\.\d+)+\b"
 
@@ -72,32 +73,40 @@ def redaction_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(text, F.lit(p)).cast("bigint") for k, p in rules.items()}
 
 
-def scrub(c: Column) -> Column:
-    c = F.regexp_replace(c, EMAIL, "[contact withheld]")
-    c = F.regexp_replace(c, SECRET, "[credential withheld]")
-    c = F.regexp_replace(c, CONTEXT_CITATION, "[citation withheld]")
-    return F.regexp_replace(c, SOFTWARE_VERSION, "[software detail withheld]")
+# The rules of a scrub, in order, each with the text put in place of what it finds.
+SCRUB_RULES = {
+    "contacts": (EMAIL, "[contact withheld]"),
+    "credentials": (SECRET, "[credential withheld]"),
+    "citations": (CONTEXT_CITATION, "[citation withheld]"),
+    "software": (SOFTWARE_VERSION, "[software detail withheld]"),
+}
 
 
-def _scrub_typed(c: Column, dtype: T.DataType, keep: set[str]) -> Column:
+def scrub(c: Column, rules: list[str] = tuple(SCRUB_RULES)) -> Column:
+    for rule in rules:
+        c = F.regexp_replace(c, *SCRUB_RULES[rule])
+    return c
+
+
+def _scrub_typed(c: Column, dtype: T.DataType, keep: set[str], rules: list[str]) -> Column:
     if isinstance(dtype, T.StringType):
-        return scrub(c)
+        return scrub(c, rules)
     if isinstance(dtype, T.ArrayType):
-        return F.transform(c, lambda x: _scrub_typed(x, dtype.elementType, keep))
+        return F.transform(c, lambda x: _scrub_typed(x, dtype.elementType, keep, rules))
     if isinstance(dtype, T.MapType):
         return F.transform_values(c, lambda k, v: F.when(k.isin(*keep), v).otherwise(
-            _scrub_typed(v, dtype.valueType, keep)) if keep else _scrub_typed(v, dtype.valueType, keep))
+            _scrub_typed(v, dtype.valueType, keep, rules)) if keep else _scrub_typed(v, dtype.valueType, keep, rules))
     if isinstance(dtype, T.StructType):
-        fields = [(c[f.name] if f.name in keep else _scrub_typed(c[f.name], f.dataType, keep)).alias(f.name)
+        fields = [(c[f.name] if f.name in keep else _scrub_typed(c[f.name], f.dataType, keep, rules)).alias(f.name)
                   for f in dtype.fields]
         return F.when(c.isNotNull(), F.struct(*fields))
     return c
 
 
-def scrub_all(df: DataFrame, keep: set[str] = frozenset({"title", "doi", "pmid", "year"})) -> DataFrame:
-    """Scrub every string of every nested column, apart from the fields in ``keep``."""
+def scrub_all(df: DataFrame, keep: set[str] = frozenset({"title", "doi", "pmid", "year"}), rules: list[str] = tuple(SCRUB_RULES)) -> DataFrame:
+    """Scrub every string of every nested column, apart from the fields in ``keep``, by the ``rules`` named."""
     return df.select(*[
-        (F.col(f.name) if f.name in keep else _scrub_typed(F.col(f.name), f.dataType, set(keep))).alias(f.name)
+        (F.col(f.name) if f.name in keep else _scrub_typed(F.col(f.name), f.dataType, set(keep), rules)).alias(f.name)
         for f in df.schema.fields])
 
 
