@@ -175,6 +175,16 @@ def test_quote_on_its_page_near_it_or_elsewhere(spark):
     assert got == {"a": "exact", "b": "exact", "c": "wrong_page", "d": "fuzzy", "e": "not_found"}
 
 
+def test_misses_do_not_collect_the_pages_of_their_document(spark):
+    lines = [f"line {i} of a long text with word{i} word{i + 1} in it" for i in range(40)] + ["", None, "once"]
+    pages = spark.createDataFrame([(d, i + 1, x) for d in (1, 2) for i, x in enumerate(lines)], "doc int, page int, text string")
+    quotes = spark.createDataFrame([("far", 1, 30, "with word3 word4 in"), ("pairs", 1, 30, "of a long text with word3 word4 wordx"), ("one", 2, 1, "once"), ("no", 2, 1, "twice"), ("lost", 3, 1, "once"), ("null", 1, 1, None)],
+                                   "q string, doc int, page int, quote string")
+    out = ct.locate_on_page(quotes, pages, "q", "doc", "page", "quote", "text")
+    assert {r.q: r.found for r in out.collect()} == {"far": "wrong_page", "pairs": "wrong_page", "one": "wrong_page", "no": "not_found", "lost": "not_found", "null": "exact"}
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_slots_and_column_plan():
     names = ["id", "rater_A", "rater_B", "x.A.y", "x.B.y", "page_locator", "other_notes"]
     assert df_.slot_pairs(names) == {"rater_A": "rater_B", "x.A.y": "x.B.y"}
