@@ -131,3 +131,18 @@ def test_paired_quality_joins_nothing(spark):
     out = wf.paired_quality(*frames, "p", ["g"], "v")
     assert {tuple(r) for r in out.collect()} == {("x", 2, 50.0, 50.0), ("y", 0, 0.0, None), ("w", 1, None, 100.0), ("z", 0, 100.0, None)}
     assert "Join" not in planned(out)
+
+
+def test_content_alignment_shuffles_once_and_large_parents_in_buckets(spark, monkeypatch):
+    rng = random.Random(6)
+    sides = [[(rng.choice(["p", "q", None]), rng.choice("xyz"), i % 7, f"{s}{i}") for i in range(60)] for s in "ab"]
+    a, b = (spark.createDataFrame(r, "parent string, k string, o int, id string") for r in sides)
+    run = lambda: df_.align_by_content(a, b, "parent", ["k"], ["o", "id"], c("o"))
+    got = lambda d: sorted((r.how, r.a and r.a.id or "", r.b and r.b.id or "") for r in d.collect())
+    small = run()
+    assert planned(small).count("Exchange") == 1
+    rows = got(small)
+    assert {r[0] for r in rows} >= {"content", "ordinal"} and sorted(x for r in rows for x in r[1:] if x) == sorted(r[3] for s in sides for r in s)
+    for most in (0, 41):
+        monkeypatch.setattr(df_, "HOT_PARENT", most)
+        assert got(run()) == rows

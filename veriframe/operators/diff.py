@@ -7,6 +7,7 @@ from functools import reduce
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,6 +15,9 @@ from ..functions.stats import ratio
 from ..session import cut_lineage
 from .ordered import row_numbers
 
+#: A parent with more rows is not put into one task.
+HOT_PARENT = 100_000
+
 KINDS = ("identifier", "count", "coded", "free_text")
 
 
@@ -102,7 +106,40 @@ def align_by_ordinal(a: DataFrame, b: DataFrame, parent: str, order: list[str],
 
 
 def align_by_content(a: DataFrame, b: DataFrame, parent: str, content: list[str], order: list[str], bucket: Column) -> DataFrame:
-    """Pair by parent, content key and occurrence number; what is left over is paired by ordinal."""
+    """Pair by parent, content key and occurrence number; what is left over is paired by ordinal.
+
+    The rows of a parent meet in one task, with one shuffle of both versions; those of parents with over ``HOT_PARENT`` rows are numbered in
+    buckets and joined."""
+    if not _same_fields(a, b):
+        return _content_in_buckets(a, b, parent, content, order, bucket)
+    counts = a.select(parent).unionByName(b.select(parent)).groupBy(F.col(parent).alias("_hot")).agg(F.count(F.lit(1)).alias("_c"))
+    hot = cut_lineage(counts.where(F.col("_c") > HOT_PARENT).select("_hot"))
+    if hot.isEmpty():
+        return _content_in_parents(a, b, parent, content, order)
+    split = lambda x, how: x.join(hot, F.col(parent).eqNullSafe(F.col("_hot")), how)
+    few = _content_in_parents(split(a, "left_anti"), split(b, "left_anti"), parent, content, order)
+    return few.unionByName(_content_in_buckets(split(a, "left_semi"), split(b, "left_semi"), parent, content, order, bucket))
+
+
+def _same_fields(a: DataFrame, b: DataFrame) -> bool:
+    return {f.name: f.dataType for f in a.schema} == {f.name: f.dataType for f in b.schema}
+
+
+def _content_in_parents(a: DataFrame, b: DataFrame, parent: str, content: list[str], order: list[str]) -> DataFrame:
+    rows = a.withColumn("_in_a", F.lit(True)).unionByName(b.withColumn("_in_a", F.lit(False))).withColumn("_p", F.col(parent))
+    # Every step below groups by the parent and more, so Spark shuffles here only.
+    rows = rows.repartition("_p").withColumn("_k", content_key(content))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_p", "_k", "_in_a").orderBy(*order)))
+    paired = F.count(F.lit(1)).over(W.partitionBy("_p", "_k", "_n")) == 2
+    rows = rows.withColumn("_paired", paired).withColumn("_rest", F.row_number().over(W.partitionBy("_p", "_in_a", "_paired").orderBy(*order)))
+    # A pair by content is known by its key and number, a pair by ordinal by its number among the rest.
+    rows = rows.select("_p", "_paired", F.when(F.col("_paired"), F.col("_k")).alias("_k"), F.when(F.col("_paired"), F.col("_n")).otherwise(F.col("_rest")).alias("_n"),
+                       F.when(F.col("_in_a"), F.struct(*a.columns)).alias("a"), F.when(~F.col("_in_a"), F.struct(*b.columns)).alias("b"))
+    pairs = rows.groupBy("_p", "_paired", "_k", "_n").agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    return pairs.select(F.when(F.col("_paired"), "content").when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("ordinal").alias("how"), "a", "b")
+
+
+def _content_in_buckets(a: DataFrame, b: DataFrame, parent: str, content: list[str], order: list[str], bucket: Column) -> DataFrame:
     def side(df: DataFrame) -> DataFrame:
         keyed = df.withColumn("_p", F.col(parent)).withColumn("_k", content_key(content))
         return _numbered(keyed, ["_p", "_k"], order, bucket)

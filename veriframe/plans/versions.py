@@ -15,6 +15,7 @@ from ..operators import patch as pt
 from ..operators import redact as rd
 from ..operators import tables as tb
 from ..operators import workflow as wf
+from ..session import cut_lineage
 from .registry import query
 from .text import FAMILY_RULES, FAMILY_SQL
 
@@ -105,6 +106,9 @@ z AS (SELECT a.l_linenumber AS g, count(*) AS matched FROM m JOIN a ON a.rid = r
 SELECT g AS l_linenumber, rows_a, rows_b, matched, round(matched / rows_a, 3) AS recall, round(matched / rows_b, 3) AS precision, round(agree / cells, 3) AS cell_agreement FROM x JOIN y USING (g) JOIN z USING (g) JOIN w USING (g)""")
 def run_comparison(t):
     a, b, al = line_alignment(t)
+    # Read by the rows and by the cells, so it is written once, with no more than they need.
+    side = lambda x: F.when(c(x).isNotNull(), F.struct(*[c(f"{x}.{k}") for k in ("l_linenumber", "qty", "price", "flag", "status")])).alias(x)
+    al = cut_lineage(al.select("how", side("a"), side("b")))
     return df_.run_comparison(a, b, al, df_.cells(al, COLUMNS, "lines", ["l_linenumber"]), "l_linenumber")
 
 
