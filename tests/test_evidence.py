@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def test_page_of_a_place(spark):
     assert list(got) == want and None in want and 2 in want
 
 
+def test_many_pages_of_one_text(spark):
+    """The work on a text grows with its pages, not with their square; of a repeated number the first page counts."""
+    n = 20_000
+    text = "".join(f"[[page {i % (n - 5) + 1}]]\nline {i}\n" for i in range(n))
+    fed = "\f".join(f"line {i}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, fed)], "id int, t string").repartition(2)
+    begin = time.time()
+    got = {(r.id, r.page): r.text.strip() for r in ev.page_rows(df, "id", "t").collect()}
+    assert time.time() - begin < 60
+    assert got == {**{(1, i + 1): f"line {i}" for i in range(n - 5)}, **{(2, i + 1): f"line {i}" for i in range(n)}}
+
+
 def norm(s):
     return " ".join(unicodedata.normalize("NFKC", s).split())
 
