@@ -248,7 +248,8 @@ def patch_operations(t):
     page = F.when((h >= "18") & (h < "2"), F.when(h < "1c", "900000").otherwise("UNCLEAR")).otherwise(c("page").cast("string"))
     ops = q.select("doc_id", "op", F.when(c("page") % 3 == 0, "new_row").otherwise("update").alias("kind"), F.when(c("page") % 8 != 0, c("op") - 1).alias("depends_on"),
                    page.alias("page"), quote.alias("quote"))
-    done = ev.quote_supported(ops, docs, "doc_id", "text", "page", "quote")
+    # Read three times below: as operations, as dependencies and for those that fail.
+    done = cut_lineage(ev.quote_supported(ops, docs, "doc_id", "text", "page", "quote").drop("page", "quote"))
     return pt.isolate_unsupported(done, done.select("op", "depends_on"), "op", "kind",
                                   {"update": "unsupported_update_quote_page", "new_row": "unsupported_new_row_locator"}, "depends_on_isolated_operation")
 
