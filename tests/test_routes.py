@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from veriframe.operators import routes
 
@@ -42,3 +45,17 @@ def test_no_groups_and_no_records(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
     assert {tuple(r) for r in routes.records_on_routes(df, "id", "t", {"every": [], "x": [["x"]]}).collect()} == {(1, "every"), (2, "every"), (1, "x")}
     assert routes.records_on_routes(df.limit(0), "id", "t", {"x": [["x"]]}).collect() == []
+
+
+def test_one_long_run_of_words(spark):
+    """The work on a text grows with its words, however long its sentences are; only sequences that begin like a form make rows."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["stone", "cold", "rivers"]) for _ in range(60_000)) + " river bed old"
+    df = spark.createDataFrame([(1, text), (2, text[:-4]), (3, "river")], "id int, t string")
+    table = {"a": [["river bed old"], ["cold stone*"]], "b": [["bed old*"]], "c": [["riv*"]]}
+    begin = time.time()
+    got = {tuple(r) for r in routes.records_on_routes(df, "id", "t", table).collect()}
+    assert time.time() - begin < 60
+    assert got == {(1, "a"), (1, "b"), (1, "c"), (2, "c"), (3, "c")}
+    heads = routes.Heads(routes.route_tables(spark, table)[0])
+    assert df.select(F.explode(routes.word_sequences(F.col("t"), heads))).count() < 20

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..session import cut_lineage
 
 #: Stands between two words of a form. The text has one white space or hyphen there.
@@ -43,33 +44,56 @@ def route_tables(spark: SparkSession, routes: dict[str, list[list[str]]]) -> tup
     return cut_lineage(spark.createDataFrame(forms, "form string, open_end boolean, `group` int")), needs
 
 
-def _spans(n: int) -> Callable[[Column], Column]:
-    """All runs of ``n`` words of a glued part."""
-    def spans(p: Column) -> Column:
-        w = F.split(p, GLUE)
+class Heads:
+    """The first words of the forms, by how many words a form has: a sequence that begins with none of them is no form and makes no row."""
+
+    def __init__(self, forms: DataFrame):
+        w = F.split("form", GLUE)
+        found = forms.select(F.size(w).alias("n"), F.get(w, F.lit(0)).alias("first"), ((F.size(w) == 1) & F.col("open_end")).alias("cut")).distinct().collect()
+        self.longest = max((r["n"] for r in found), default=1)
+        self.whole = {n: sorted({r["first"] for r in found if r["n"] == n and not r["cut"]}) for n in range(1, self.longest + 1)}
+        cut = {r["first"] for r in found if r["cut"]}
+        self.cut = {n: sorted(x for x in cut if len(x) == n) for n in sorted(map(len, cut))}
+
+    def begin(self, word: Column, n: int) -> Column:
+        """Whether ``word`` can be the first of a form of ``n`` words."""
+        hit = word.isin(self.whole[n])
+        for size, words in (self.cut if n == 1 else {}).items():
+            hit = hit | F.substring(word, 1, size).isin(words)
+        return hit
+
+
+def _spans(n: int, heads: Heads) -> Callable[[Column], Column]:
+    """The runs of ``n`` words of a glued part that can be forms."""
+    def spans(w: Column) -> Column:
         last = F.size(w) - (n - 1)
-        runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), GLUE))
+        starts = F.filter(F.sequence(F.lit(1), last), lambda i: heads.begin(F.get(w, i - 1), n))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), GLUE))
         return F.when(last > 0, runs).otherwise(F.array().cast("array<string>"))
-    return spans
+    return lambda p: tx.bound(F.split(p, GLUE), spans)
 
 
-def word_sequences(text: Column, longest: int) -> Column:
-    """Distinct sequences of up to ``longest`` words with one white space or hyphen between them, joined by ``GLUE``."""
+def word_sequences(text: Column, heads: Heads) -> Column:
+    """Distinct sequences of words with one white space or hyphen between them, joined by ``GLUE``, as long as forms are and with one of
+    their first words."""
     word = r"\p{L}\p{N}\p{M}_"
     joined = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?<=[{word}])[\p{{IsWhite_Space}}-](?=[{word}])", GLUE)
     parts = F.filter(F.split(joined, rf"[^{word}{GLUE}]+"), lambda x: x != "")
-    out = [F.flatten(F.transform(parts, lambda p: F.split(p, GLUE)))]
-    for n in range(2, longest + 1):
-        out.append(F.flatten(F.transform(parts, _spans(n))))
-    return F.array_distinct(F.concat(*out))
+
+    def sequences(ps: Column) -> Column:
+        single = F.filter(F.array_distinct(F.flatten(F.transform(ps, lambda p: F.split(p, GLUE)))), lambda w: heads.begin(w, 1))
+        longer = [F.flatten(F.transform(ps, _spans(n, heads))) for n in range(2, heads.longest + 1) if heads.whole[n]]
+        return F.array_distinct(F.concat(single, *longer))
+
+    return tx.bound(parts, sequences)
 
 
 def full_groups(records: DataFrame, key: str, text: str, forms: DataFrame) -> DataFrame:
     """``(key, group)`` for every group that has a term in the record."""
-    facts = forms.agg(F.max(F.size(F.split("form", GLUE))).alias("words"), F.array_sort(F.collect_set(F.when(F.col("open_end"), F.length("form")))).alias("lengths")).first()
-    seqs = records.select(F.col(key).alias("_k"), F.explode(word_sequences(F.col(text), facts["words"] or 1)).alias("_s"))
+    lengths = forms.agg(F.array_sort(F.collect_set(F.when(F.col("open_end"), F.length("form"))))).first()[0]
+    seqs = records.select(F.col(key).alias("_k"), F.explode(word_sequences(F.col(text), Heads(forms))).alias("_s"))
     # A sequence also stands for its own beginnings, of the lengths that open-ended forms have; the words after the cut are not needed.
-    cuts = F.array(*[F.when(F.length("_s") >= n, F.struct(F.substring("_s", 1, n).alias("form"), F.lit(True).alias("open_end"))) for n in facts["lengths"]],
+    cuts = F.array(*[F.when(F.length("_s") >= n, F.struct(F.substring("_s", 1, n).alias("form"), F.lit(True).alias("open_end"))) for n in lengths],
                    F.struct(F.col("_s").alias("form"), F.lit(False).alias("open_end")))
     probes = seqs.select("_k", F.explode(F.array_compact(cuts)).alias("c")).select("_k", "c.form", "c.open_end")
     return probes.join(forms, ["form", "open_end"]).select("_k", "group").distinct().select(F.col("_k").alias(key), "group")
