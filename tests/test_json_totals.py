@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from veriframe.functions import fixed_values as fv
 from veriframe.operators.json_totals import json_class_totals, json_leaves
 
@@ -60,3 +62,17 @@ def test_leaves_of_other_columns(spark):
     got = {(r.key, r.pos, r.top, r["name"], str(r.leaf)) for r in json_leaves(df, ["key", "pos"], "j").selectExpr("key", "pos", "top", "name", "to_json(leaf) AS leaf").collect()}
     assert got == {("a", "b", "k", None, "1"), ("a", "b", "k", "m", '"x"'), ("a", None, None, None, "None")}
     assert json_class_totals(df.limit(0), ["key"], "j").collect() == []
+
+
+def test_documents_are_made_once(spark):
+    """The text of a document is worked out once, however often its leaves are read; long strings and many flat members do not deepen it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return json.dumps({"totals": {"input": i}, "rows": [{"output": 1}] * 50, "s": '\\"[{' * 20_000})
+
+    df = spark.range(40).select("id", F.udf(text, "string")("id").alias("value")).repartition(2)
+    got = {tuple(r)[:2] + (r.method,) for r in json_class_totals(df, ["id"], "value").collect()}
+    assert got == {(i, i, "totals block" if i else "summed per-record") for i in range(40)}
+    assert made.value == 40
