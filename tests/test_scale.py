@@ -10,6 +10,7 @@ from veriframe.operators import diff as df_
 from veriframe.operators import fuzzy as fz
 from veriframe.operators import joins as jn
 from veriframe.operators import redact as rd
+from veriframe.operators import validate as va
 from veriframe.operators import workflow as wf
 from veriframe.operators.skew import attach_per_key
 from veriframe.sources import records, runs, sinks
@@ -146,3 +147,20 @@ def test_content_alignment_shuffles_once_and_large_parents_in_buckets(spark, mon
     for most in (0, 41):
         monkeypatch.setattr(df_, "HOT_PARENT", most)
         assert got(run()) == rows
+
+
+def test_keys_are_dealt_by_the_rows_of_a_table(spark, monkeypatch):
+    """No task counts more keys as a table grows: the tasks follow its rows, and the results stay."""
+    child = spark.range(900).select((c("id") % 300).alias("fk"), F.when(c("id") % 9 > 0, c("id") % 450).alias("pk"))
+    parent = spark.range(7, 280).select(c("id").alias("k"))
+
+    def run():
+        gaps, twice = va.foreign_key_gaps(child, ["fk"], parent, ["k"], "g"), va.duplicate_keys(child, ["pk"], "d")
+        return planned(gaps), planned(twice), [sorted(map(tuple, d.collect())) for d in (gaps, twice)]
+
+    *_, whole = run()
+    monkeypatch.setattr(va, "ROWS_A_TASK", 50)
+    gaps, twice, dealt = run()
+    assert dealt == whole and whole[0] == sorted(("g", str(i), 3) for i in [*range(7), *range(280, 300)])
+    for plan in (gaps, twice):
+        assert ", 18), REPARTITION_BY_NUM" in plan

@@ -52,19 +52,34 @@ def assert_empty(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {[tuple(r) for r in rows[:5]]}{' ...' if len(rows) > 5 else ''}")
 
 
+#: Rows of a table that one task counts by key. The tasks grow with the table, where shuffle partitions are a fixed number and adaptive
+#: execution joins them by their bytes, which for keys are few.
+ROWS_A_TASK = 2_000_000
+
+
+def _dealt(df: DataFrame, tasks: int) -> DataFrame:
+    """``df`` dealt over ``tasks`` by its columns; a table for one task stays as it is."""
+    return df.repartition(tasks, *df.columns) if tasks > 1 else df
+
+
+def _tasks(df: DataFrame) -> int:
+    return -(-df.count() // ROWS_A_TASK)
+
+
 def foreign_key_gaps(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str], name: str) -> DataFrame:
     """One row per foreign-key value without a parent. Values are reduced before the join."""
-    vals = child.groupBy(*[F.col(c).alias(f"k{i}") for i, c in enumerate(fk)]).agg(F.count(F.lit(1)).alias("rows"))
-    for i in range(len(fk)):
-        vals = vals.where(F.col(f"k{i}").isNotNull())
-    keys = parent.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(pk)])
-    gaps = vals.join(keys, [f"k{i}" for i in range(len(fk))], "left_anti")
-    return gaps.select(F.lit(name).alias("check"), F.concat_ws("|", *[F.col(f"k{i}").cast("string") for i in range(len(fk))])
-                       .alias("key"), "rows")
+    ks = [f"k{i}" for i in range(len(fk))]
+    vals = child.select(*[F.col(c).alias(k) for c, k in zip(fk, ks, strict=True)]).dropna(subset=ks)
+    tasks = max(_tasks(child), _tasks(parent))
+    vals = _dealt(vals, tasks).groupBy(*ks).agg(F.count(F.lit(1)).alias("rows"))
+    keys = _dealt(parent.select(*[F.col(c).alias(k) for c, k in zip(pk, ks, strict=True)]), tasks)
+    gaps = vals.join(keys, ks, "left_anti")
+    return gaps.select(F.lit(name).alias("check"), F.concat_ws("|", *[F.col(k).cast("string") for k in ks]).alias("key"), "rows")
 
 
 def duplicate_keys(df: DataFrame, pk: list[str], name: str) -> DataFrame:
-    return (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    """One row per key that stands several times."""
+    return (_dealt(df.select(*pk), _tasks(df)).groupBy(*pk).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
             .select(F.lit(name).alias("check"), F.concat_ws("|", *[F.col(c).cast("string") for c in pk]).alias("key"), "rows"))
 
 
