@@ -4,6 +4,7 @@ import re
 import pytest
 
 from veriframe.operators import phrases
+from veriframe.session import cut_lineage
 
 
 def squeezed(s):
@@ -53,3 +54,26 @@ def test_empty_tables(spark):
     dd, qq = spark.createDataFrame([(1, "some text")], "d int, t string"), spark.createDataFrame([(1, "text")], "q int, s string")
     assert phrases.locate(qq.limit(0), "q", "s", dd, "d", "t").collect() == []
     assert phrases.locate(qq, "q", "s", dd.limit(0), "d", "t", gaps=True).collect() == []
+
+
+def test_short_quotes_need_no_index(spark, monkeypatch):
+    """Two words are checked where the rarer one is found; only longer quotes have an index of positions, of texts that can hold them."""
+    written = []
+
+    def keep(df):
+        out = cut_lineage(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(phrases, "cut_lineage", keep)
+    texts = ["the cold river bed", "old river", "cold  riverbed stone", "a cold river", "cold river a bed of stone lies", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+    def run(*quotes):
+        written.clear()
+        got = phrases.locate(spark.createDataFrame(list(enumerate(quotes)), "k int, q string"), "k", "q", docs, "id", "t")
+        return {tuple(r) for r in got.collect()}, sum(n for cols, n in written if "p" in cols)
+
+    assert run("ld river", "cold river", "r bed", "river") == ({(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 2), (1, 3), (1, 4), (2, 0), *((3, i) for i in range(5))}, 0)
+    found, rows = run("river a bed of stone")
+    assert found == {(0, 4)} and 0 < rows <= 7

@@ -6,10 +6,10 @@ word). That is what ``contains`` finds on texts with squeezed white space, witho
 
 1. the words that can stand in a place of a fragment come from the distinct words of the corpus: whole words by equality, edges over
    character q-grams;
-2. each fragment is looked up on its rarest place, which gives (text, position) candidates;
-3. the other places are checked by joining candidates with the index on (text, position).
+2. each fragment is looked up on its rarest place, which gives (text, position) candidates; the places beside it are checked on the spot;
+3. the places further off are checked by joining candidates with the index on (text, position).
 
-Only the index entries whose word some quote can use are kept; texts are read once and never joined.
+Only the index entries whose word some quote can use are kept, of texts that have such candidates; quotes are never compared with texts.
 """
 
 from __future__ import annotations
@@ -66,15 +66,13 @@ def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_k
     """
     frags = cut_lineage(fragments(quotes, quote_key, quote, gaps))
     ws = F.split(tx.normalize_quote(F.col(text)), " ")
-    # A word of the text at its position, with the character it starts at: fragments inside one word follow each other there.
-    spots = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("d"), F.posexplode(ws).alias("p", "word")).where("word <> ''")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("d"), ws.alias("_w"))
 
     edges = frags.where("kind <> 'whole'").select(F.col("word").alias("part"), "kind").distinct()
-    vocabulary = cut_lineage(spots.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = cut_lineage(texts.select(F.explode("_w").alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     wholes = frags.where("kind = 'whole'").select(F.col("word").alias("part"), "kind").distinct()
     can = usable(vocabulary, edges).unionByName(vocabulary.select("word").join(wholes, F.col("word") == F.col("part")).select("word", "part", "kind"))
     can = cut_lineage(can.join(vocabulary, "word"))
-    index = cut_lineage(spots.join(can.select("word").distinct(), "word", "left_semi"))
 
     # The rarest place of each fragment, by the occurrences of the words that can stand there.
     load = can.groupBy("part", "kind").agg(F.sum("n").alias("n_part"))
@@ -82,22 +80,49 @@ def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_k
     anchors = (weighed.groupBy("q", "frag", "n_frag", "n").agg(F.min(F.struct("load", "place", "word", "kind")).alias("a"))
                .select("q", "frag", "n_frag", "n", F.col("a.load").alias("load"), F.col("a.place").alias("place"), F.col("a.word").alias("part"), F.col("a.kind").alias("kind")))
     live = anchors.groupBy("q").agg(F.min("load").alias("least")).where("least > 0").select("q")  # a fragment without any candidate ends its quote
-    starts = (anchors.join(live, "q", "left_semi").join(can.select("word", "part", "kind"), ["part", "kind"])
-              .select("q", "frag", "n_frag", "n", "place", "word"))
-    per = starts.join(can.select("word", F.col("n").alias("m")).distinct(), "word")
-    hits = attach_per_key(index, per, ["word"], "m").select("q", "frag", "n_frag", "n", "d", (F.col("p") - F.col("place")).alias("s")).where("s >= 0")
-
-    # The other places of longer fragments: every word must be one that can stand there.
-    single, longer = hits.where("n = 1"), cut_lineage(hits.where("n > 1"))
+    # Written, as are the texts that count below: the planner knows the size and need not shuffle the words to meet a short list.
+    starts = cut_lineage(anchors.join(live, "q", "left_semi").join(can.select("word", "part", "kind"), ["part", "kind"])
+                         .select("q", "frag", "n_frag", "n", "place", "word"))
+    rare = cut_lineage(starts.select("word").distinct())
     need = frags.where("n > 1").select("q", "frag", "place", F.col("word").alias("part"), "kind")
-    wanted = longer.join(need, ["q", "frag"]).select("q", "frag", "n_frag", "n", "d", "s", (F.col("s") + F.col("place")).alias("p"), "part", "kind")
-    seen = wanted.join(index, ["d", "p"])
-    fits = (F.when(F.col("kind") == "whole", F.col("word") == F.col("part")).when(F.col("kind") == "end", F.endswith("word", "part"))
-            .otherwise(F.startswith("word", "part")))
-    whole = (seen.where(fits).groupBy("q", "frag", "n_frag", "n", "d", "s").agg(F.count(F.lit(1)).alias("k")).where("k = n").drop("k"))
+    beside = lambda step, tag: need.select("q", "frag", (F.col("place") - step).alias("place"), F.col("part").alias(f"{tag}_part"), F.col("kind").alias(f"{tag}_kind"))
+    per = (starts.join(can.select("word", F.col("n").alias("m")).distinct(), "word")
+           .join(beside(-1, "before"), ["q", "frag", "place"], "left").join(beside(1, "after"), ["q", "frag", "place"], "left"))
+    # A word of the text with the words beside it, so that three places of a fragment are checked where its rarest one is found.
+    spots = (texts.select("d", F.explode(tx.bound(F.col("_w"), _with_neighbours)).alias("_x")).select("d", "_x.*").where("word <> ''")
+             .join(rare, "word", "left_semi"))
+    fit = [F.coalesce(F.col(f"{tag}_part").isNull() | _fits(F.col(tag), F.col(f"{tag}_part"), F.col(f"{tag}_kind")), F.lit(False)) for tag in ("before", "after")]
+    hits = cut_lineage(attach_per_key(spots, per, ["word"], "m").where(fit[0] & fit[1])
+                       .select("q", "frag", "n_frag", "n", "place", "d", (F.col("p") - F.col("place")).alias("s")).where("s >= 0"))
+    if gaps:  # a text must have a place for every fragment
+        full = hits.groupBy("q", "d", "n_frag").agg(F.count_distinct("frag").alias("k")).where("k = n_frag")
+        hits = cut_lineage(hits.join(full.select("q", "d"), ["q", "d"], "left_semi"))
+
+    # What lies further off is checked on the index of the texts that still count: every word must be one that can stand there.
+    short = F.col("place").between(F.col("n") - 2, 1)
+    single, longer = hits.where(short).drop("place"), hits.where(~short)
+    counting = cut_lineage((hits if gaps else longer).select("d").distinct())
+    index = cut_lineage(texts.join(counting, "d", "left_semi").select("d", F.posexplode("_w").alias("p", "word"))
+                        .join(cut_lineage(can.select("word").distinct()), "word", "left_semi").select("d", "p", "word"))
+    others = need.withColumnRenamed("place", "at")
+    wanted = (longer.join(others, ["q", "frag"]).where("abs(at - place) > 1")
+              .select("q", "frag", "n_frag", "n", "place", "d", "s", (F.col("s") + F.col("at")).alias("p"), "part", "kind"))
+    seen = wanted.join(index, ["d", "p"]).where(_fits(F.col("word"), F.col("part"), F.col("kind")))
+    known = 1 + (F.col("place") > 0).cast("int") + (F.col("place") < F.col("n") - 1).cast("int")
+    whole = seen.groupBy("q", "frag", "n_frag", "n", "place", "d", "s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.col("n") - known).drop("k", "place")
+    found = whole.unionByName(single)
     if not gaps:
-        return whole.select("q", "d").unionByName(single.select("q", "d")).distinct().select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
-    return _follow(whole.unionByName(single.select(*whole.columns)), frags, index).select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
+        return found.select("q", "d").distinct().select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
+    return _follow(found, frags, index).select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
+
+
+def _with_neighbours(words: Column) -> Column:
+    return F.transform(words, lambda w, i: F.struct(i.alias("p"), w.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i + 1).alias("after")))
+
+
+def _fits(word: Column, part: Column, kind: Column) -> Column:
+    """Whether a word of the text can stand where a fragment of several words has ``part``."""
+    return F.when(kind == "whole", word == part).when(kind == "end", F.endswith(word, part)).otherwise(F.startswith(word, part))
 
 
 def _follow(found: DataFrame, frags: DataFrame, index: DataFrame) -> DataFrame:
