@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,3 +165,20 @@ def test_keys_are_dealt_by_the_rows_of_a_table(spark, monkeypatch):
     assert dealt == whole and whole[0] == sorted(("g", str(i), 3) for i in [*range(7), *range(280, 300)])
     for plan in (gaps, twice):
         assert ", 18), REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("short", [255, 30])
+def test_titles_rank_their_grams_by_sorting(spark, monkeypatch, short):
+    monkeypatch.setattr(fz, "SHORT", short)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    rows = [(i, "the", "the " + " ".join(rng.choice(words) for _ in range(7))) for i in range(300)]
+    rows += [(300 + i, "the", t[:9] + "zz" + t[11:]) for i, (_, _, t) in enumerate(rows[:20])] + [(900, None, rows[0][2]), (901, None, rows[0][2] + "s")]
+    t = spark.createDataFrame(rows, "title_id long, block string, title string")
+    grams = fz.rare_grams(t.withColumn("len", F.length("title")), "levenshtein", 0.8)
+    assert "ObjectHashAggregate" not in planned(grams) and dict(grams.dtypes)["gram"] == "bigint"
+    found = {(r.id_a, r.id_b) for r in fz.similar_titles(t, "levenshtein", 0.8).collect()}
+    a, b = t.where("block IS NOT NULL").toDF("i", "x", "p"), t.where("block IS NOT NULL").toDF("j", "y", "q")
+    near = F.lit(1) - F.levenshtein("p", "q") / F.greatest(F.length("p"), F.length("q")) >= 0.8 - 1e-12
+    want = {(r.i, r.j) for r in a.join(b, (c("i") < c("j")) & near).select("i", "j").collect()}
+    assert found == want and {(i, 300 + i) for i in range(20)} <= want
