@@ -142,6 +142,36 @@ def test_keep_one_links_every_pair_of_similarity_eight_tenths(spark, monkeypatch
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(label))
 
 
+@pytest.mark.parametrize("n", [4, 5, 7, 9, 13, 16, 17, 33, 64, 100, 205, 512])
+def test_similar_sets_share_the_simhash_of_a_segment(n):
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    shared = -(-8 * n // 9)
+    for _ in range(100):  # the two ends of similarity 0.8: one set in the other, and sets of one size
+        whole, both = draw(int(1.25 * n)), draw(2 * n - shared)
+        for a, b in ((whole[:n], whole), (both[:n], both[n - shared:])):
+            assert len(np.intersect1d(simhash.segment_keys(np.sort(a)), simhash.segment_keys(np.sort(b))))
+
+
+def test_the_print_of_a_segment_is_the_simhash_of_its_shingles():
+    found = np.random.default_rng(3).integers(0, 1 << 64, 6, np.uint64)
+    places, prints = simhash.segment_prints(found, 1, 2)
+    want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in found) > len(found))
+    assert places.tolist() == list(range(simhash.SEGMENTS)) and set(prints.tolist()) == {want}
+    assert not len(simhash.segment_prints(found, 1, 7)[0]) and not len(simhash.segment_keys(found[:3]))
+
+
+def test_a_key_over_many_batches_has_one_least_set(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, 8, [100 + i // 50] + ([5] if i in (3, 60, 140) else [])) for i in range(150)] + [(900, 8, [999])]
+        per = spark.createDataFrame(rows, "s long, n long, bands array<long>")
+        got = simhash.candidate_clusters(per.select("s", "n"), per.unionByName(per.where("s % 3 = 0"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.s: r.cluster for r in got} == {i: 0 for i in range(150)}
+
+
 @pytest.mark.parametrize("distance", [1, 3, 4])
 def test_every_near_pair_has_a_viable_chain(distance):
     rng = random.Random(distance)

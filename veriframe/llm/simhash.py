@@ -15,9 +15,10 @@ A key may hold many fingerprints. Its rows are cut into blocks and every two blo
 bounded size; a group returns one edge per fingerprint, to the least one it is connected with, and never a list of pairs.
 
 ``keep_one`` goes by the Jaccard similarity of the sets of shingles instead. A similarity of 0.8 may change 13 bits of 64 and more, where
-segments are too short to select by; so its candidates share one of ``BANDS`` keys of ``ROWS`` least values of the set under different
-hashes (two sets of similarity 0.8 share none once in a million pairs), and every link is verified on the whole sets. There the
-fingerprint only spares verifications: sets that differ in over ``FAR`` bits are not compared.
+segments of the bits are too short to select by; so there the ring is one of shingles: a hash deals them over segments, and each segment
+has a SimHash of its own. A shingle that differs changes one segment only, so of sets that are similar some segments are equal, as in a
+chain's first link, and their SimHash is the key. Every link is verified on the whole sets. The fingerprint of the whole set spares
+verifications: sets that differ in over ``FAR`` bits are not compared.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .shipping import by_value
 
 BITS = 64
 BLOCK = 1024
-#: Candidate keys of a set: so many keys of so many least values each.
-BANDS, ROWS = 36, 5
+#: Segments of a set that give candidate keys, and the most shingles of a segment on average (half as many at least in the set's own class).
+SEGMENTS, PER_SEGMENT = 52, 6
 #: At similarity 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9; small sets have coarser ones and are always compared.
 FAR, SMALL = 26, 32
 #: Shingles of a block of sets.
@@ -234,25 +235,51 @@ def set_fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found)).view(np.uint64)[0])
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The candidate keys of a set; none for an empty one."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(5)
-    change, factor = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-    factor |= np.uint64(1)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(found), 2048):
-        least = np.minimum(least, ((found[None, at:at + 2048] ^ change[:, None]) * factor[:, None]).min(axis=1))
-    mixed = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    return ((mixed & np.uint64((1 << 56) - 1)) | np.arange(BANDS, dtype=np.uint64) << np.uint64(56)).view(np.int64)
+def _rings(n: int) -> list[tuple[int, int]]:
+    """(size class, number of segments) of the rings under which a set of ``n`` is filed: that of its class, and the next one's if a similar
+    set may belong there. Sets under four have no similar set but copies."""
+    if n < 4:
+        return []
+    own = max(0, (n - 1).bit_length() - 3)
+    return [(c, max(2, ((8 << c) + PER_SEGMENT - 1) // PER_SEGMENT)) for c in ((own, own + 1) if 5 * n > 4 * (8 << own) else (own,))]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(33)
+
+
+def segment_prints(found: np.ndarray, segments: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a set's first ``SEGMENTS`` segments that have ``least`` shingles or more, and the SimHash of each.
+
+    A ring deals the shingles over its segments by a hash; as many rings follow each other as give ``SEGMENTS`` segments."""
+    turns = np.arange(-(-SEGMENTS // segments), dtype=np.uint64)
+    hashes = _mixed(found[None, :] ^ (turns[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    at = (((hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)) + turns[:, None] * np.uint64(segments)).ravel().astype(np.int64)
+    chosen = np.flatnonzero(at < SEGMENTS)
+    chosen = chosen[np.argsort(at[chosen], kind="stable")]
+    size = np.bincount(at[chosen], minlength=SEGMENTS)
+    chosen, size = chosen[(size >= least)[at[chosen]]], np.where(size >= least, size, 0)
+    places = np.flatnonzero(size)
+    if not len(places):
+        return places, np.zeros(0, np.uint64)
+    bits = np.unpackbits(found[chosen % len(found)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(size[places]) - size[places], axis=0, dtype=np.int64)
+    return places, np.packbits(2 * ones > size[places][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def segment_keys(found: np.ndarray) -> np.ndarray:
+    """The candidate keys of a set: the SimHash of each segment, with its place and size class."""
+    keys = [np.zeros(0, np.uint64)]
+    for c, m in _rings(len(found)):
+        places, prints = segment_prints(found, m, 3 if c > 1 else 2)
+        keys.append(_mixed(prints ^ _mixed(places.astype(np.uint64) + np.uint64(1 + (c << 16)))))
+    return np.concatenate(keys).view(np.int64)
 
 
 def described(rows: DataFrame, shingle: int) -> DataFrame:
-    """``k, a, b, s, n, bands``: of every row's ``text`` the number of its set of shingles, the set's size and candidate keys."""
+    """``k, a, b, s, n, bands``: of every row's ``text`` the number of its set of shingles, the set's size and candidate keys (once for the
+    copies of a batch)."""
     import pyarrow as pa
 
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("s", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -263,8 +290,9 @@ def described(rows: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(3)]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            once = set(np.unique(ids, return_index=True)[1].tolist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()),
-                                              pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=schema.names)
+                                              pa.array([segment_keys(x) if i in once else x[:0].view(np.int64) for i, x in enumerate(sets)], pa.list_(pa.int64()))], names=schema.names)
 
     return rows.select("k", "a", "b", F.col("text").cast("binary")).mapInArrow(run, schema)
 
@@ -332,11 +360,27 @@ def similar_edges(members: DataFrame, similarity: float) -> DataFrame:
     return groups.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
 
 
-def candidate_clusters(per: DataFrame) -> DataFrame:
-    """``s, cluster, blocks``: sets ``s`` (with ``n, bands``) that are connected by common candidate keys, and how many blocks their cluster has."""
-    slots = per.select("s", F.explode("bands").alias("slot"))
-    shared = slots.groupBy("slot").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    edges = attach_per_key(slots, shared, ["slot"], "m").where("s <> least").select(F.col("s").alias("src"), F.col("least").alias("dst")).distinct()
+def candidate_clusters(per: DataFrame, keys: DataFrame) -> DataFrame:
+    """``s, cluster, blocks``: sets ``s`` (of size ``n`` in ``per``) that are connected by common ``bands`` in ``keys``, and how many blocks their
+    cluster has. ``keys`` may hold a set repeatedly."""
+    import pyarrow as pa
+
+    def run(batches):
+        slot = least = None
+        for batch in batches:
+            slots, sets = (batch.column(i).to_numpy() for i in range(2))
+            if not len(slots):
+                continue
+            new = np.diff(slots, prepend=slots[0]) != 0
+            new[0] = slots[0] != slot
+            starts = np.flatnonzero(new)
+            first = np.concatenate([sets[:0] if new[0] else np.full(starts[0] if len(starts) else len(sets), least), np.repeat(sets[starts], np.diff(starts, append=len(sets)))])
+            slot, least, other = slots[-1], first[-1], np.flatnonzero(sets != first)
+            yield pa.RecordBatch.from_arrays([pa.array(sets[other]), pa.array(first[other])], names=["src", "dst"])
+
+    # The rows of a key are a sorted stream and go to its least set, so they are shuffled once and nothing of a key is held.
+    edges = (keys.select(F.explode("bands").alias("slot"), "s").repartition("slot").sortWithinPartitions("slot", "s")
+             .mapInArrow(run, "src long, dst long").distinct())
     nodes = cut_lineage(connected_components(cut_lineage(edges)).select(F.col("node").alias("s"), F.col("component").alias("cluster")).join(per.select("s", "n"), "s"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks"))
@@ -349,8 +393,8 @@ def similar_classes(rows: DataFrame, similarity: float, shingle: int) -> DataFra
     import pyarrow as pa
 
     every = cut_lineage(described(rows, shingle))
-    per = cut_lineage(every.groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per), "s"))
+    per = cut_lineage(every.groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n")))
+    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per, every), "s"))
 
     def run(batches):
         for batch in batches:
