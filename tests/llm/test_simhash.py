@@ -183,3 +183,85 @@ def test_every_near_pair_has_a_viable_chain(distance):
             b ^= 1 << bit
         pair = np.array([a], np.uint64), np.array([b], np.uint64)
         assert any(simhash.near(*pair, np.array([i]), distance)[0] for i in range(len(ring)))
+
+
+@pytest.mark.parametrize("n", [40, 200, 600])
+def test_sets_that_differ_where_it_hurts_most_share_a_key(n):
+    """Shingles are replaced so that the fewest common keys are left, as far as similarity 0.8 allows."""
+    rng = np.random.default_rng(n)
+    whole = np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+    mine = simhash.segment_keys(whole)
+    left = whole
+    while True:
+        some = rng.permutation(len(left))[:60]
+        tries = [np.delete(left, i) for i in some]
+        common = [len(np.intersect1d(simhash.segment_keys(t), mine)) for t in tries]
+        best = tries[int(np.argmin(common))]
+        if len(best) < 0.8 * n:
+            break
+        left = best
+        assert min(common)
+
+
+def test_a_set_in_too_few_segments_is_filed_under_shingles_too(monkeypatch):
+    monkeypatch.setattr(simhash, "SPARE", 0.1)
+    rng = np.random.default_rng(8)
+    for n in (4, 30, 200):
+        whole = np.sort(rng.integers(0, 1 << 64, n + n // 4, np.uint64))
+        part = np.delete(whole, rng.permutation(len(whole))[:n // 4])
+        assert len(np.intersect1d(simhash.segment_keys(whole), simhash.segment_keys(part)))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9])
+def test_other_similarities_lose_no_key(similarity):
+    rng = np.random.default_rng(5)
+    for n in (5, 20, 130):
+        whole = np.sort(rng.integers(0, 1 << 64, int(n / similarity), np.uint64))
+        part = np.sort(rng.choice(whole, n, replace=False))
+        assert len(part) == len(whole) or len(np.intersect1d(simhash.segment_keys(whole, similarity), simhash.segment_keys(part, similarity)))
+
+
+def test_similar_sets_are_linked_however_far_their_simhashes_are_apart():
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 64, 80, np.uint64)
+    ends = np.arange(10, dtype=np.uint64)
+    low, high = (np.sort(np.concatenate([common, x])) for x in (ends, ~ends))  # shingles whose hashes have nearly no and nearly all bits
+    bits = lambda x: 2 * np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(x)
+    assert (bits(low) != bits(high)).sum() > 40
+    assert simhash.similar_roots([low, high], 0.8).tolist() == [0, 0]
+    assert simhash.similar_roots([low, high[high != common[0]]], 0.8).tolist() == [0, 1]
+
+
+def test_sets_that_share_a_passage_do_not_chain_up(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    draw = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    sets = [draw(100)]
+    for _ in range(9):  # each shares 30 of 100 shingles with the one before
+        sets.append(np.concatenate([sets[-1][:30], draw(70)])[::-1])
+    sets.append(np.concatenate([sets[0][:95], draw(45)]))  # of another number of buckets, similar to none
+    sets += [np.concatenate([x[:95], draw(5)]) for x in sets[:3]]
+    sets = [np.sort(x) for x in sets]
+    rows = [(i, len(x), bytearray(simhash.parities([x], simhash.buckets(len(x))).tobytes()), simhash.segment_keys(x).tolist() + [1]) for i, x in enumerate(sets)]
+    per = spark.createDataFrame(rows, "s long, n long, odd binary, bands array<long>")
+    clusters = lambda: {r.s: r.cluster for r in simhash.candidate_clusters(per.select("s", "n", "odd"), per, 0.8).collect()}
+    assert len({len(r[2]) for r in rows}) == 2
+    assert clusters() == {0: 0, 11: 0, 1: 1, 12: 1, 2: 2, 13: 2}
+    monkeypatch.setattr(simhash, "PAIRS", 4)
+    assert set(clusters().values()) == {0}  # under a key of many sets all are candidates
+
+
+def test_common_shingles_take_no_part_in_segments_but_no_link_is_lost():
+    rng = np.random.default_rng(10)
+    draw = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    passage = draw(60)
+    often = np.zeros(1 << simhash.COUNT_BITS, np.int64)
+    often[passage >> np.uint64(64 - simhash.COUNT_BITS)] = 1000
+    for own in (4, 20, 300):
+        for _ in range(30):
+            base = np.concatenate([passage, draw(own)])
+            near = np.sort(np.concatenate([np.delete(base, rng.permutation(len(base))[:len(base) // 10]), draw(len(base) // 10)]))
+            keys = [simhash.segment_keys(np.sort(x), 0.8, often) for x in (base, near)]
+            assert len(np.intersect1d(*keys))
+    counts = rng.poisson(1000, 1 << simhash.COUNT_BITS)
+    counts[5] = 3000
+    assert simhash.common_only(counts)[5] == 3000 and (simhash.common_only(counts) > 0).sum() < 5

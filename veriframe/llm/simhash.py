@@ -16,9 +16,13 @@ bounded size; a group returns one edge per fingerprint, to the least one it is c
 
 ``keep_one`` goes by the Jaccard similarity of the sets of shingles instead. A similarity of 0.8 may change 13 bits of 64 and more, where
 segments of the bits are too short to select by; so there the ring is one of shingles: a hash deals them over segments, and each segment
-has a SimHash of its own. A shingle that differs changes one segment only, so of sets that are similar some segments are equal, as in a
-chain's first link, and their SimHash is the key. Every link is verified on the whole sets. The fingerprint of the whole set spares
-verifications: sets that differ in over ``FAR`` bits are not compared.
+has a SimHash of its own. A shingle that differs changes one segment only. If at most D shingles may differ, a set that has more than D
+segments has an equal one in every similar set, as in a chain's first link, and the SimHash of a segment is the key. The largest D + 1
+segments are enough: of the segments that two sets have in common, the first by size and place has at most D before it in either. Shingles
+that stand in very many texts are not dealt, which takes no difference away from or to a pair but keeps texts with a common passage apart.
+Of a set that is dealt over D segments or fewer, the D + 1 rarest shingles are keys too, by the same argument. So no link is lost. Every
+link is verified on the whole sets; a pair is only spared if the parities of its shingles, counted in buckets, prove that over D differ.
+The same proof keeps pairs under one key apart before clusters are made of them, or texts that share a little would chain up to one cluster.
 """
 
 from __future__ import annotations
@@ -31,14 +35,20 @@ from pyspark.sql import types as T
 from ..operators.graph import connected_components
 from ..operators.skew import attach_per_key
 from ..session import cut_lineage
-from .shipping import by_value
+from .shipping import Shared, by_value
 
 BITS = 64
 BLOCK = 1024
-#: Segments of a set that give candidate keys, and the most shingles of a segment on average (half as many at least in the set's own class).
-SEGMENTS, PER_SEGMENT = 52, 6
-#: At similarity 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9; small sets have coarser ones and are always compared.
-FAR, SMALL = 26, 32
+#: The fewest segments of a ring, and segments of a ring for each shingle that may differ in the largest sets of its class: some stay empty.
+SEGMENTS, SPARE = 1, 9 / 7
+#: Buckets in which the shingles of a set are counted for their parities: more than six for ten shingles, a power of two within these bounds.
+BUCKETS = 64, 1 << 15
+#: Sets under a key up to which every two are held against each other before they make a cluster; more are one cluster in any case.
+PAIRS = 32
+#: Bits of a shingle by which all are counted.
+COUNT_BITS = 17
+#: Slots of row hashes, a bit each, by which rows are left out before a join.
+SLOTS = 1 << 26
 #: Shingles of a block of sets.
 BLOCK_SHINGLES = 1_000_000
 
@@ -228,20 +238,20 @@ def shingle_set(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(found ^ again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def set_fingerprint(found: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(found), 1 << 16):
-        ones += np.unpackbits(found[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(found)).view(np.uint64)[0])
+def may_differ(n, m, similarity: float):
+    """The most shingles that are in only one of two sets of ``n`` and ``m`` with that similarity."""
+    return np.floor((n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
 
 
-def _rings(n: int) -> list[tuple[int, int]]:
-    """(size class, number of segments) of the rings under which a set of ``n`` is filed: that of its class, and the next one's if a similar
-    set may belong there. Sets under four have no similar set but copies."""
-    if n < 4:
+def _rings(n: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(size class, number of segments, shingles that may differ) of the rings under which a set of ``n`` is filed: that of its class, and those
+    of larger similar sets. Sets that may not differ in a shingle have no similar set but copies."""
+    of = lambda size: max(0, (size - 1).bit_length() - 3)
+    largest = int(n / similarity + 1e-6)
+    if not may_differ(n, largest, similarity):
         return []
-    own = max(0, (n - 1).bit_length() - 3)
-    return [(c, max(2, ((8 << c) + PER_SEGMENT - 1) // PER_SEGMENT)) for c in ((own, own + 1) if 5 * n > 4 * (8 << own) else (own,))]
+    return [(c, max(SEGMENTS, 1 + int(np.ceil(SPARE * may_differ(8 << c, 8 << c, similarity)))), int(may_differ(n, min(8 << c, largest), similarity)))
+            for c in range(of(n), of(largest) + 1)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -249,60 +259,137 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def segment_prints(found: np.ndarray, segments: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of a set's first ``SEGMENTS`` segments that have ``least`` shingles or more, and the SimHash of each.
-
-    A ring deals the shingles over its segments by a hash; as many rings follow each other as give ``SEGMENTS`` segments."""
-    turns = np.arange(-(-SEGMENTS // segments), dtype=np.uint64)
-    hashes = _mixed(found[None, :] ^ (turns[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    at = (((hashes >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)) + turns[:, None] * np.uint64(segments)).ravel().astype(np.int64)
-    chosen = np.flatnonzero(at < SEGMENTS)
+def segment_prints(found: np.ndarray, segments: int, least: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a set's segments that have ``least`` shingles or more (the ``most`` largest of them, by size and place), and the SimHash
+    of each. A hash deals the shingles over the segments."""
+    at = ((_mixed(found ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    size = np.bincount(at, minlength=segments)
+    places = np.flatnonzero(size >= least)
+    if most is not None and len(places) > most:
+        places = np.sort(places[np.argsort(-size[places], kind="stable")[:most]])
+    taken = np.zeros(segments, bool)
+    taken[places] = True
+    chosen = np.flatnonzero(taken[at])
     chosen = chosen[np.argsort(at[chosen], kind="stable")]
-    size = np.bincount(at[chosen], minlength=SEGMENTS)
-    chosen, size = chosen[(size >= least)[at[chosen]]], np.where(size >= least, size, 0)
-    places = np.flatnonzero(size)
-    if not len(places):
-        return places, np.zeros(0, np.uint64)
-    bits = np.unpackbits(found[chosen % len(found)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.cumsum(size[places]) - size[places], axis=0, dtype=np.int64)
-    return places, np.packbits(2 * ones > size[places][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-
-
-def segment_keys(found: np.ndarray) -> np.ndarray:
-    """The candidate keys of a set: the SimHash of each segment, with its place and size class."""
+    ends, prints = np.cumsum(size[places]), [np.zeros(0, np.uint64)]
+    for first in range(0, len(places), 1 << 14):
+        own = size[places[first:first + (1 << 14)]]
+        begin = int(ends[first] - own[0])
+        bits = np.unpackbits(found[chosen[begin:begin + int(own.sum())]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
+        prints.append(np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0])
+    return places, np.concatenate(prints)
+
+
+def segment_keys(found: np.ndarray, similarity: float = 0.8, often: np.ndarray | None = None) -> np.ndarray:
+    """The candidate keys of a set: the SimHash of each segment, with its place and size class. Similar sets have one in common.
+
+    ``often`` has the counts of common shingles by bucket, else zero."""
     keys = [np.zeros(0, np.uint64)]
-    for c, m in _rings(len(found)):
-        places, prints = segment_prints(found, m, 3 if c > 1 else 2)
-        keys.append(_mixed(prints ^ _mixed(places.astype(np.uint64) + np.uint64(1 + (c << 16)))))
+    n = (np.zeros(1 << COUNT_BITS, np.int64) if often is None else often)[found >> np.uint64(64 - COUNT_BITS)]
+    for c, m, differ in _rings(len(found), similarity):
+        places, prints = segment_prints(found[n == 0], m, 1, differ + 1)
+        keys.append(_mixed(prints ^ _mixed(places.astype(np.uint64) + np.uint64(1 + (c << 40)))))
+        if len(places) <= differ:
+            keys.append(_mixed(found[np.argsort(n, kind="stable")[:differ + 1]] ^ _mixed(np.uint64([c << 40]))))
     return np.concatenate(keys).view(np.int64)
 
 
+def common_only(counts: np.ndarray) -> np.ndarray:
+    """The counts of buckets that hold a shingle of very many texts: those above what chance gives to the usual bucket; else zero."""
+    usual = float(np.median(counts))
+    return np.where(counts > usual + 6 * usual ** 0.5 + 20, counts, 0)
+
+
+def buckets(n: int) -> int:
+    return min(max(BUCKETS[0], 1 << (3 * n // 5).bit_length()), BUCKETS[1])
+
+
+def parities(sets: list[np.ndarray], buckets: int) -> np.ndarray:
+    """A row of ``buckets`` bits for each set: whether a bucket has an odd number of its shingles. Sets differ in at least as many shingles as bits."""
+    rows, step = [], max(1, (1 << 22) // buckets)
+    for first in range(0, len(sets), step):
+        some = sets[first:first + step]
+        of = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        counts = np.bincount(of * buckets + (np.concatenate(some) % np.uint64(buckets)).astype(np.int64), minlength=len(some) * buckets)
+        rows.append(np.packbits((counts & 1).astype(np.uint8).reshape(len(some), buckets), axis=1).view(np.uint64))
+    return np.concatenate(rows)
+
+
+def may_be_similar(n: np.ndarray, odd: list[bytes], m: np.ndarray, other: list[bytes], similarity: float) -> np.ndarray:
+    """Whether sizes and parities of the sets of each pair leave it open that they are similar. Of more buckets, those a power of two apart are
+    taken together."""
+    far, found = np.zeros(len(n), np.int64), []
+    lengths = np.array([[len(a), len(b)] for a, b in zip(odd, other, strict=True)], np.int64).reshape(-1, 2)
+    for x, y in np.unique(lengths, axis=0).tolist():
+        at, width = np.flatnonzero((lengths == (x, y)).all(axis=1)), min(x, y) // 8
+        found = [np.bitwise_xor.reduce(np.frombuffer(b"".join(side[i] for i in at.tolist()), np.uint64).reshape(len(at), -1, width), axis=1) for side in (odd, other)]
+        far[at] = np.bitwise_count(found[0] ^ found[1]).sum(axis=1, dtype=np.int64)
+    return (far <= may_differ(n, m, similarity)) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+
+
 def described(rows: DataFrame, shingle: int) -> DataFrame:
-    """``k, a, b, s, n, bands``: of every row's ``text`` the number of its set of shingles, the set's size and candidate keys (once for the
-    copies of a batch)."""
+    """``k, a, b, s, n, odd``: of every row's ``text`` the number of its set of shingles, the set's size and parities. Rows without ``n``: what
+    a task counted in all, the shingles ``b`` of bucket ``a``."""
     import pyarrow as pa
 
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("s", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("s", T.LongType()), T.StructField("n", T.LongType()), T.StructField("odd", T.BinaryType())])
 
     def run(batches):
-        import xxhash
-
+        total, kind = np.zeros(1 << COUNT_BITS, np.int64), pa.null()
         for batch in batches:
-            sets = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(3)]
-            ids = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            once = set(np.unique(ids, return_index=True)[1].tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()),
-                                              pa.array([segment_keys(x) if i in once else x[:0].view(np.int64) for i, x in enumerate(sets)], pa.list_(pa.int64()))], names=schema.names)
+            sets, kind = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(3)], batch.column(0).type
+            for x in sets:
+                np.add.at(total, x >> np.uint64(64 - COUNT_BITS), 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(set_numbers(sets)), pa.array([len(x) for x in sets], pa.int64()),
+                                              pa.array([parities([x], buckets(len(x))).tobytes() for x in sets], pa.binary())], names=schema.names)
+        at = np.flatnonzero(total)
+        if len(at):
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(at), pa.array(total[at]), none, none, pa.nulls(len(at), pa.binary())], names=schema.names)
 
     return rows.select("k", "a", "b", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
+def set_numbers(sets: list[np.ndarray]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+
+
+def filed(texts: DataFrame, shingle: int, similarity: float, often: Shared) -> DataFrame:
+    """``s, bands``: the candidate keys of every set, once for the copies of a batch.
+
+    The sets are made a second time: keys are a quarter of the shingles or more, and go to their shuffle without being written before."""
+    import pyarrow as pa
+
+    def run(batches):
+        common = often.derived(common_only)
+        for batch in batches:
+            sets = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(0)]
+            ids, once = np.unique(set_numbers(sets), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([segment_keys(sets[i], similarity, common) for i in once], pa.list_(pa.int64()))], names=["s", "bands"])
+
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "s long, bands array<long>")
+
+
+def that_may_be_in(rows: DataFrame, few: DataFrame, name: str) -> DataFrame:
+    """The rows whose hash ``name`` has the slot of one in ``few``, by bitmaps of at most ``SLOTS`` bits: what a join need not shuffle is left out."""
+    slot = F.pmod(F.col(name), F.lit(SLOTS)) + 1
+    maps = (few.select(F.bitmap_bit_position(slot).alias("_bit"), F.bitmap_bucket_number(slot).alias("_map")).repartition("_map")
+            .groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_map"))
+            .where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns))
+
+
 def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the place of one set that it is connected with by links of at least ``similarity``, the same for all of a class.
 
     Classes grow from one set at a time: only sets that are in no class yet are compared with it, so a class of copies costs one comparison a set."""
     size = np.array([len(x) for x in sets])
-    prints = np.array([set_fingerprint(x) for x in sets], np.uint64)
+    odd = parities(sets, buckets(int(size.max())))
     begins, flat = np.cumsum(size) - size, np.concatenate(sets)
     root, free = np.full(len(sets), -1), np.ones(len(sets), bool)
     for first in range(len(sets)):
@@ -313,8 +400,8 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         while queue:
             i = queue.pop()
             other = np.flatnonzero(free)
-            other = other[(np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9)
-                          & ((np.bitwise_count(prints[other] ^ prints[i]) <= FAR) | (np.minimum(size[other], size[i]) < SMALL))]
+            other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9]
+            other = other[np.bitwise_count(odd[other] ^ odd[i]).sum(axis=1, dtype=np.int64) <= may_differ(size[other], size[i], similarity)]
             if not len(other):
                 continue
             lengths = size[other]
@@ -360,28 +447,74 @@ def similar_edges(members: DataFrame, similarity: float) -> DataFrame:
     return groups.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
 
 
-def candidate_clusters(per: DataFrame, keys: DataFrame) -> DataFrame:
-    """``s, cluster, blocks``: sets ``s`` (of size ``n`` in ``per``) that are connected by common ``bands`` in ``keys``, and how many blocks their
-    cluster has. ``keys`` may hold a set repeatedly."""
+def met(keys: DataFrame) -> DataFrame:
+    """``src, dst, star``: the pairs of sets ``s`` under each of ``bands``; of over ``PAIRS`` sets each with the least one (``star``)."""
+    import pyarrow as pa
+
+    def run(batches):
+        slots, sets, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in _and_end(batches):
+            src, dst, star = [], [], []
+            if batch is not None:
+                slots, sets = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((slots, sets)))
+            once = np.flatnonzero((np.diff(slots, prepend=~slots[:1]) != 0) | (np.diff(sets, prepend=~sets[:1]) != 0))
+            slots, sets = slots[once], sets[once]
+            if large and len(slots):  # the rest of a key that had too many sets before
+                rest = int(np.searchsorted(slots, large[0], "right"))
+                src, dst, star = [sets[:rest]], [np.full(rest, large[1])], [np.ones(rest, bool)]
+                slots, sets, large = slots[rest:], sets[rest:], large if rest == len(slots) else None
+            begins = np.flatnonzero(np.diff(slots, prepend=~slots[:1]) != 0)
+            size = np.diff(begins, append=len(slots))
+            upto = len(slots)
+            if batch is not None and len(size):  # the last key may go on
+                if size[-1] > PAIRS:
+                    large = slots[-1], sets[begins[-1]]
+                else:
+                    upto, begins, size = begins[-1], begins[:-1], size[:-1]
+            own, key = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
+            many = np.flatnonzero(own > PAIRS)
+            src.append(sets[many])
+            dst.append(sets[begins[key[many]]])
+            star.append(np.ones(len(many), bool))
+            few = np.flatnonzero((own > 1) & (own <= PAIRS))
+            for ahead in range(1, int(min(size.max(initial=0), PAIRS))):
+                few = few[few + ahead < upto]
+                few = few[key[few] == key[few + ahead]]
+                src.append(sets[few + ahead])
+                dst.append(sets[few])
+                star.append(np.zeros(len(few), bool))
+            slots, sets = slots[upto:], sets[upto:]
+            src, dst, star = (np.concatenate(x) for x in (src, dst, star))
+            differ = src != dst
+            yield pa.RecordBatch.from_arrays([pa.array(x[differ]) for x in (src, dst, star)], names=["src", "dst", "star"])
+
+    # The rows of a key are a sorted stream, so they are shuffled once and at most ``PAIRS`` of a key are held.
+    return (keys.select(F.explode("bands").alias("slot"), "s").repartition("slot").sortWithinPartitions("slot", "s")
+            .mapInArrow(run, "src long, dst long, star boolean").distinct())
+
+
+def that_may_be_similar(pairs: DataFrame, per: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: the pairs of sets that ``n`` and ``odd`` in ``per`` do not prove to be apart."""
     import pyarrow as pa
 
     def run(batches):
-        slot = least = None
         for batch in batches:
-            slots, sets = (batch.column(i).to_numpy() for i in range(2))
-            if not len(slots):
-                continue
-            new = np.diff(slots, prepend=slots[0]) != 0
-            new[0] = slots[0] != slot
-            starts = np.flatnonzero(new)
-            first = np.concatenate([sets[:0] if new[0] else np.full(starts[0] if len(starts) else len(sets), least), np.repeat(sets[starts], np.diff(starts, append=len(sets)))])
-            slot, least, other = slots[-1], first[-1], np.flatnonzero(sets != first)
-            yield pa.RecordBatch.from_arrays([pa.array(sets[other]), pa.array(first[other])], names=["src", "dst"])
-
-    # The rows of a key are a sorted stream and go to its least set, so they are shuffled once and nothing of a key is held.
-    edges = (keys.select(F.explode("bands").alias("slot"), "s").repartition("slot").sortWithinPartitions("slot", "s")
-             .mapInArrow(run, "src long, dst long").distinct())
-    nodes = cut_lineage(connected_components(cut_lineage(edges)).select(F.col("node").alias("s"), F.col("component").alias("cluster")).join(per.select("s", "n"), "s"))
+            src, dst, n, m = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            near = np.flatnonzero(may_be_similar(n, batch.column(3).to_pylist(), m, batch.column(5).to_pylist(), similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(src[near]), pa.array(dst[near])], names=["src", "dst"])
+
+    of = lambda end, tag: per.select(F.col("s").alias(end), F.col("n").alias(f"n{tag}"), F.col("odd").alias(f"odd{tag}"))
+    both = pairs.select("src", "dst").join(of("src", 0), "src").join(of("dst", 1), "dst")
+    return both.select("src", "dst", "n0", "odd0", "n1", "odd1").mapInArrow(run, "src long, dst long")
+
+
+def candidate_clusters(per: DataFrame, keys: DataFrame, similarity: float | None = None) -> DataFrame:
+    """``s, cluster, blocks``: sets ``s`` (of size ``n`` in ``per``) that are connected by common ``bands`` in ``keys``, and how many blocks their
+    cluster has. ``keys`` may hold a set repeatedly. With a ``similarity``, pairs that ``odd`` in ``per`` proves to be apart do not count."""
+    edges = cut_lineage(met(keys))
+    if similarity is not None:
+        edges = cut_lineage(edges.where("star").select("src", "dst").unionByName(that_may_be_similar(edges.where("NOT star"), per, similarity)))
+    nodes = cut_lineage(connected_components(edges).select(F.col("node").alias("s"), F.col("component").alias("cluster")).join(per.select("s", "n"), "s"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks"))
     return attach_per_key(nodes, sizes, ["cluster"], "m").select("s", "cluster", "blocks")
@@ -392,9 +525,12 @@ def similar_classes(rows: DataFrame, similarity: float, shingle: int) -> DataFra
     ``similarity``. ``a, b`` identify key and text."""
     import pyarrow as pa
 
-    every = cut_lineage(described(rows, shingle))
-    per = cut_lineage(every.groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n")))
-    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per, every), "s"))
+    seen = cut_lineage(described(rows, shingle))
+    every, counts = seen.where("n IS NOT NULL"), np.zeros(1 << COUNT_BITS, np.int64)
+    table = seen.where("n IS NULL").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
+    counts[table.column("a").to_numpy()] = table.column("b").to_numpy()
+    per = cut_lineage(every.groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per, filed(rows, shingle, similarity, Shared(rows.sparkSession, counts)), similarity), "s"))
 
     def run(batches):
         for batch in batches:
@@ -402,7 +538,7 @@ def similar_classes(rows: DataFrame, similarity: float, shingle: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["s", "cluster", "blocks", "set"])
 
     # Of repeated rows (the same a and b) one is taken, after the join, as a set must not meet itself in a group.
-    texts = (rows.select("a", "b", F.col("text").cast("binary").alias("t")).join(chosen, ["a", "b"]).dropDuplicates(["s"])
+    texts = (that_may_be_in(rows.select("a", "b", F.col("text").cast("binary").alias("t")), chosen, "a").join(chosen, ["a", "b"]).dropDuplicates(["s"])
              .select("s", "cluster", "blocks", "t").mapInArrow(run, "s long, cluster long, blocks int, set binary"))
     classes = connected_components(cut_lineage(similar_edges(cut_lineage(texts), similarity)))
     return (every.select("k", "a", "b", "s").join(classes.select(F.col("node").alias("s"), "component"), "s", "left")
