@@ -117,3 +117,35 @@ def test_every_template_accepts_its_own_wording():
             broken[len(codes) // 2] = 0
             if "<<" not in template and "[[" not in template:
                 assert not len(automaton.starts(broken, np.zeros(len(codes), int)))
+
+
+def test_parts_of_a_benchmark_are_not_held_at_once(spark, monkeypatch):
+    rng = random.Random(6)
+    bench = items(rng)
+    docs = documents(spark, planted(rng, bench))
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    broadcasts = lambda: spaced_seeds.contaminated(docs, benchmark)._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    assert broadcasts() == 2  # index and items of the one part
+    monkeypatch.setattr(spaced_seeds, "PART_WORDS", 60)
+    assert broadcasts() == 0  # each part's hits were written before the next part was broadcast
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_a_row_beside_a_seed_holds_only_the_words_a_window_reaches(spark, monkeypatch, piece):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spaced_seeds, "PIECE", piece)
+    for n in (0, 1, 6, 7, 63, 64, 65, 200):
+        h = F.expr(f"slice(sequence(0L, {n}L), 1, {n})")
+        cut = spark.range(1).select(F.explode(spaced_seeds.pieces(h)).alias("x")).select("x.*").collect()
+        assert sorted(w for r in cut for w in r.h[r.lo:r.hi + 1]) == list(range(n))
+        reach = spaced_seeds.WINDOW - 1
+        for r in cut:
+            assert len(r.h) <= piece + 2 * reach and r.h == list(range(max(0, r.h[r.lo] - reach), min(n, r.h[r.hi] + reach + (piece - (r.hi - r.lo + 1)) + 1)))
+    # A text in which items stand on all sides of the borders of pieces.
+    rng = random.Random(piece)
+    bench = items(rng)
+    docs = documents(spark, [(1, prose(rng, 50) + " " + " ".join(prose(rng, 3 + i) + " " + (t or "") for i, (_, t) in enumerate(bench * 3)), "en", "s", 1)])
+    rows = docs.select("doc_id", "text").collect()
+    want = as_text(sql(spaced_seeds.contaminated_sql(), documents=(rows, ["doc_id", "text"]), benchmark=(bench, ["item_id", "text"])))
+    assert as_text(spaced_seeds.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()) == want

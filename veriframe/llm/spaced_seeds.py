@@ -6,8 +6,10 @@ are laid over each other, and the overlap counts if some window of ``WINDOW`` al
 at most one replaced word in five; items under 15 words must stand as they are. The masks were chosen by search over all
 placements of that many replaced words: every such window contains a hit of one of them, so none is missed.
 
-DataFrame functions only. Seeds are made, joined and verified in one pass over the documents, without a shuffle of their words. The
-benchmark is broadcast in parts of at most ``PART_WORDS`` words, one pass over the documents for each part.
+DataFrame functions only. Seeds are made, joined and verified in one pass over the documents, without a shuffle of their words. A text
+goes through it in pieces of ``PIECE`` words with the words around them that a window can reach, so that no row beside a seed is longer,
+however long the text is. The benchmark is broadcast in parts of at most ``PART_WORDS`` words, one pass over the documents for each part;
+the passes follow each other, so one part is held at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WINDOW = 20
 EXACT_BELOW = 15
 LEAST_WORDS = 5
 PART_WORDS = 500_000
+#: Words of a text whose seeds go with one copy of the words around them.
+PIECE = 64
 
 
 def words(text: Column) -> Column:
@@ -43,6 +47,18 @@ def seeds() -> Column:
                      for i, mask in enumerate(MASKS)])
 
 
+def pieces(h: Column) -> Column:
+    """Structs of ``h``, words with those around them that windows reach, and ``lo``, ``hi``, the places in it of the first and last word of the
+    piece itself. Every word of the text is in one piece; an empty text has none."""
+    def piece(i):
+        begin = i * PIECE
+        first = F.greatest(F.lit(0), begin - (WINDOW - 1))
+        return F.struct(F.slice(h, first + 1, begin - first + (PIECE + WINDOW - 1)).alias("h"), (begin - first).alias("lo"),
+                        (F.least(begin + PIECE, F.size(h)) - first - 1).alias("hi"))
+
+    return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / PIECE).cast("int")), piece))
+
+
 def benchmark_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """``item, ih, n``: distinct word sequences of at least five words, with the least key of each."""
     return (benchmark.select(F.col(key).alias("item"), hashed(F.col(text)).alias("ih")).where(F.size("ih") >= LEAST_WORDS)
@@ -54,8 +70,9 @@ def overlaps(docs: DataFrame, items: DataFrame, carry: list[Column], text: str)
     index = (items.select("number", F.col("ih").alias("h"), F.posexplode("ih").alias("p", "w"))
              .select("number", "p", F.posexplode(seeds()).alias("m", "seed")).where("seed IS NOT NULL")
              .select("seed", F.col("number").alias("of"), F.col("p").alias("q")))
-    hits = (docs.select(*carry, hashed(F.col(text)).alias("h"))
-            .select("*", F.posexplode("h").alias("p", "w")).select("*", F.explode(seeds()).alias("seed"))
+    names = docs.select(*carry).columns
+    hits = (docs.select(*carry, hashed(F.col(text)).alias("h")).select(*names, F.explode(pieces(F.col("h"))).alias("piece"))
+            .select(*names, "piece.h", F.explode(F.sequence("piece.lo", "piece.hi")).alias("p")).select("*", F.explode(seeds()).alias("seed"))
             .join(F.broadcast(index), "seed").join(F.broadcast(items), F.col("of") == F.col("number")))
     size = F.least(F.col("n"), F.lit(WINDOW))
     may_differ = F.when(F.col("n") < EXACT_BELOW, 0).otherwise(F.floor(size / 5)).cast("int")
@@ -72,8 +89,10 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[Column], text: str,
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
     parts = max(1, -(-size // PART_WORDS))
     names = docs.select(*carry).columns
-    found = [overlaps(docs, items.where(F.pmod("number", F.lit(parts)) == i), carry, text).select(*names, "item") for i in range(parts)]
-    return reduce(DataFrame.unionByName, found).distinct()
+    found = [overlaps(docs, items.where(F.pmod("number", F.lit(parts)) == i), carry, text).select(*names, "item").distinct() for i in range(parts)]
+    if parts == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, [cut_lineage(one) for one in found])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
