@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from ..operators.skew import attach_per_key
+from ..operators.skew import attach_per_key, that_may_be_in
 from ..session import cut_lineage
 from .shipping import Shared, by_value
 
@@ -47,8 +47,8 @@ BUCKETS = 64, 1 << 15
 PAIRS = 32
 #: Bits of a shingle by which all are counted.
 COUNT_BITS = 17
-#: Slots of row hashes, a bit each, by which rows are left out before a join.
-SLOTS = 1 << 26
+#: Texts whose sets a worker holds at once.
+SLICE = 500
 #: Shingles of a block of sets.
 BLOCK_SHINGLES = 1_000_000
 
@@ -328,6 +328,13 @@ def may_be_similar(n: np.ndarray, odd: list[bytes], m: np.ndarray, other: list[b
     return (far <= may_differ(n, m, similarity)) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
 
 
+def _slices(batches):
+    """Parts of ``SLICE`` rows, so that a worker holds few sets at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def described(rows: DataFrame, shingle: int) -> DataFrame:
     """``k, a, b, s, n, odd``: of every row's ``text`` the number of its set of shingles, the set's size and parities. Rows without ``n``: what
     a task counted in all, the shingles ``b`` of bucket ``a``."""
@@ -337,7 +344,7 @@ def described(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         total, kind = np.zeros(1 << COUNT_BITS, np.int64), pa.null()
-        for batch in batches:
+        for batch in _slices(batches):
             sets, kind = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(3)], batch.column(0).type
             for x in sets:
                 np.add.at(total, x >> np.uint64(64 - COUNT_BITS), 1)
@@ -365,7 +372,7 @@ def filed(texts: DataFrame, shingle: int, similarity: float, often: Shared) -> D
 
     def run(batches):
         common = often.derived(common_only)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py().translate(LOWER).split(), shingle) for t in batch.column(0)]
             ids, once = np.unique(set_numbers(sets), return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([segment_keys(sets[i], similarity, common) for i in once], pa.list_(pa.int64()))], names=["s", "bands"])
@@ -373,17 +380,6 @@ def filed(texts: DataFrame, shingle: int, similarity: float, often: Shared) -> D
     return texts.select(F.col("text").cast("binary")).mapInArrow(run, "s long, bands array<long>")
 
 
-def that_may_be_in(rows: DataFrame, few: DataFrame, name: str) -> DataFrame:
-    """The rows whose hash ``name`` has the slot of one in ``few``, by bitmaps of at most ``SLOTS`` bits: what a join need not shuffle is left out."""
-    slot = F.pmod(F.col(name), F.lit(SLOTS)) + 1
-    maps = (few.select(F.bitmap_bit_position(slot).alias("_bit"), F.bitmap_bucket_number(slot).alias("_map")).repartition("_map")
-            .groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
-    bit = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return (rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_map"))
-            .where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns))
-
-
 def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set the place of one set that it is connected with by links of at least ``similarity``, the same for all of a class.
 
@@ -533,7 +529,7 @@ def similar_classes(rows: DataFrame, similarity: float, shingle: int) -> DataFra
     chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per, filed(rows, shingle, similarity, Shared(rows.sparkSession, counts)), similarity), "s"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py().translate(LOWER).split(), shingle).tobytes() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], names=["s", "cluster", "blocks", "set"])
 

@@ -1,4 +1,4 @@
-"""Joins that hold when one key owns a large share of the rows."""
+"""Joins that hold when one key owns a large share of the rows, or that need few of the rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from ..session import cut_lineage
 
 #: A key is hot if it has over this many rows and over one part in ``SHARE`` of all; so there are fewer than ``SHARE`` hot keys.
 SHARE = 5_000
+#: Slots of keys, a bit each, by which rows are left out before a join.
+SLOTS = 1 << 26
 
 
 def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, limit: int = 100_000,
@@ -37,3 +39,16 @@ def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col:
                                             .otherwise(F.array(F.lit(-1)))))
              .drop("_hash", "_salts"))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def that_may_be_in(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` has the slot of one in ``few``: all that a join on it keeps, and some others. A join of what is left shuffles no more.
+
+    The slots are bitmaps of at most ``SLOTS`` bits (8 MB) that are broadcast."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)) + 1
+    bit = F.bitmap_bit_position(slot)
+    maps = (few.where(F.col(key).isNotNull()).select(bit.alias("_bit"), F.bitmap_bucket_number(slot).alias("_map")).repartition("_map")
+            .groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_map"))
+            .where(F.col(key).isNotNull() & (F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1)).select(*rows.columns))
