@@ -77,3 +77,37 @@ def test_short_quotes_need_no_index(spark, monkeypatch):
     assert run("ld river", "cold river", "r bed", "river") == ({(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 2), (1, 3), (1, 4), (2, 0), *((3, i) for i in range(5))}, 0)
     found, rows = run("river a bed of stone")
     assert found == {(0, 4)} and 0 < rows <= 7
+
+
+def test_common_quotes_are_read_in_the_texts_with_the_same_result(spark, monkeypatch):
+    texts = ["the cold river bed", "old river", "cold  riverbed stone", "a cold river", "Cold river a bed of stone lies", None, "", "the the", "breathe, the end"]
+    quotes = ["ld river", "cold river", "r bed", "river", "river a bed of stone", "the", "THE", "e ", "the the", "t", "nowhere", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    asked = spark.createDataFrame([*enumerate(quotes), (None, "river")], "k int, q string")
+    squeezed = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    want = {(i, j) for i, q in enumerate(quotes) for j, t in enumerate(texts) if q and t and squeezed(q) and squeezed(q) in squeezed(t)}
+    run = lambda: sorted(tuple(r) for r in phrases.locate(asked, "k", "q", docs, "id", "t").collect())
+    assert run() == sorted(want)
+    monkeypatch.setattr(phrases, "FEW", 0)
+    assert run() == sorted(want)  # all are common here
+    monkeypatch.setattr(phrases, "LOOKED", 2)
+    assert run() == sorted(want)  # the others go by the index
+
+
+def test_words_are_neither_written_by_grams_nor_shuffled_with_their_texts(spark, monkeypatch):
+    written = []
+
+    def keep(df):
+        out = cut_lineage(df)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        written.append((set(out.columns), out.count(), plan))
+        return out
+
+    monkeypatch.setattr(phrases, "cut_lineage", keep)
+    docs = spark.createDataFrame([(i, f"word{i} stands beside another{i} in text number{i}") for i in range(300)], "id int, t string")
+    quotes = spark.createDataFrame([(0, "ord7 stands bes"), (1, "beside anoth"), (2, "number12")], "k int, q string")
+    got = phrases.locate(quotes, "k", "q", docs, "id", "t")
+    assert got.where("k = 1").count() == 300 and got.where("k = 2").count() == 11
+    assert not [n for columns, n, _ in written if {"g", "word"} <= columns]
+    hits = next(plan for columns, _, plan in written if {"q", "d", "s"} <= columns)
+    assert "LeftSemi" not in hits and "bitmap" in hits  # a semi-join of all words shuffles them once the list is large

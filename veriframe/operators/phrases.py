@@ -9,7 +9,9 @@ word). That is what ``contains`` finds on texts with squeezed white space, witho
 2. each fragment is looked up on its rarest place, which gives (text, position) candidates; the places beside it are checked on the spot;
 3. the places further off are checked by joining candidates with the index on (text, position).
 
-Only the index entries whose word some quote can use are kept, of texts that have such candidates; quotes are never compared with texts.
+Only the index entries whose word some quote can use are kept, of texts that have such candidates. Words of texts are not shuffled to find
+them. A quote of which every place is so common that it meets one word in ``COMMON`` would have an index row for nearly every text: it is
+looked for in the texts themselves, at most ``LOOKED`` of them, the most common ones. All others are never compared with texts.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
-from .skew import attach_per_key
+from .skew import attach_per_key, that_may_be_in
 
 #: Characters of the grams by which edges of fragments are found in the vocabulary; shorter edges use all their characters.
 Q = 3
+#: Reading so many words of a text for a quote costs about what one row of the index does; so many rows of it are few in any case.
+COMMON, FEW = 1_000, 10_000
+#: The most quotes for which texts are read.
+LOOKED = 1_000
 # What stands for left-out words in a quote.
 ELLIPSIS = r"\s*(?:\[\s*)?(?:\.\.\.|…)(?:\s*\])?\s*"
 
@@ -43,19 +49,19 @@ def _grams(word: Column, q: int) -> Column:
 
 
 def usable(vocabulary: DataFrame, edges: DataFrame) -> DataFrame:
-    """``word, part, kind``: the words of ``vocabulary`` (word) that can stand where ``edges`` (part, kind) has a part of a word.
+    """``part, kind`` beside each word of ``vocabulary`` (word, ...) that can stand where ``edges`` (part, kind) has a part of a word.
 
     A part meets the words that hold one q-gram of it, the rarest one; parts shorter than ``Q`` are their own gram."""
     sizes = list(range(1, Q + 1))
     probe = F.when(F.length("part") < Q, F.array("part")).otherwise(_grams(F.col("part"), Q))
     probes = cut_lineage(edges.select("part", "kind", F.explode(probe).alias("g")))
     grams = F.flatten(F.array(*[F.when(F.length("word") >= q, _grams(F.col("word"), q)).otherwise(F.array().cast("array<string>")) for q in sizes]))
-    held = cut_lineage(vocabulary.select("word", F.explode(grams).alias("g")).join(probes.select("g").distinct(), "g", "left_semi"))
-    df = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    best = (probes.join(df, "g", "left").groupBy("part", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("b"))
-            .select("part", "kind", F.col("b.g").alias("g"), F.col("b.n").alias("n")))
+    # Grams are counted where they are made; the list of the rarest ones is written, so that its size is known, and the grams are made again.
+    df = vocabulary.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    best = cut_lineage(probes.join(df, "g", "left").groupBy("part", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("b"))
+                       .select("part", "kind", F.col("b.g").alias("g")))
     fits = (F.when(F.col("kind") == "end", F.endswith("word", "part")).when(F.col("kind") == "begin", F.startswith("word", "part")).otherwise(F.contains("word", "part")))
-    return held.join(best.drop("n"), "g").where(fits).select("word", "part", "kind")
+    return vocabulary.select("*", F.explode(grams).alias("g")).join(best, "g").where(fits).select(*vocabulary.columns, "part", "kind")
 
 
 def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_key: str, text: str, gaps: bool = False) -> DataFrame:
@@ -71,26 +77,33 @@ def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_k
     edges = frags.where("kind <> 'whole'").select(F.col("word").alias("part"), "kind").distinct()
     vocabulary = cut_lineage(texts.select(F.explode("_w").alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     wholes = frags.where("kind = 'whole'").select(F.col("word").alias("part"), "kind").distinct()
-    can = usable(vocabulary, edges).unionByName(vocabulary.select("word").join(wholes, F.col("word") == F.col("part")).select("word", "part", "kind"))
-    can = cut_lineage(can.join(vocabulary, "word"))
+    can = cut_lineage(usable(vocabulary, edges).unionByName(vocabulary.join(wholes, F.col("word") == F.col("part")).select("word", "n", "part", "kind")))
 
     # The rarest place of each fragment, by the occurrences of the words that can stand there.
     load = can.groupBy("part", "kind").agg(F.sum("n").alias("n_part"))
     weighed = frags.join(load, (frags["word"] == load["part"]) & (frags["kind"] == load["kind"]), "left").select(frags["*"], F.coalesce("n_part", F.lit(0)).alias("load"))
-    anchors = (weighed.groupBy("q", "frag", "n_frag", "n").agg(F.min(F.struct("load", "place", "word", "kind")).alias("a"))
-               .select("q", "frag", "n_frag", "n", F.col("a.load").alias("load"), F.col("a.place").alias("place"), F.col("a.word").alias("part"), F.col("a.kind").alias("kind")))
+    anchors = cut_lineage(weighed.groupBy("q", "frag", "n_frag", "n").agg(F.min(F.struct("load", "place", "word", "kind")).alias("a"))
+                          .select("q", "frag", "n_frag", "n", F.col("a.load").alias("load"), F.col("a.place").alias("place"), F.col("a.word").alias("part"), F.col("a.kind").alias("kind")))
+    read = None
+    if not gaps:
+        least = max(FEW, vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / COMMON)
+        common = (quotes.select(F.col(quote_key).alias("q"), tx.normalize_quote(F.col(quote)).alias("_q"))
+                  .join(anchors.where(F.col("load") > least).select("q", "load"), "q"))
+        listed = cut_lineage(common.groupBy("_q").agg(F.max("load").alias("load")).orderBy(F.desc("load"), "_q").limit(LOOKED).select("_q"))
+        read = cut_lineage(common.join(listed, "_q", "left_semi").select("q", "_q").distinct())
+        anchors = anchors.join(read, "q", "left_anti")
+        whole_texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("d"), tx.normalize_quote(F.col(text)).alias("_t"))
+        read = whole_texts.join(F.broadcast(listed), F.contains("_t", "_q")).select("d", "_q").join(read, "_q").select("q", "d")
     live = anchors.groupBy("q").agg(F.min("load").alias("least")).where("least > 0").select("q")  # a fragment without any candidate ends its quote
     # Written, as are the texts that count below: the planner knows the size and need not shuffle the words to meet a short list.
-    starts = cut_lineage(anchors.join(live, "q", "left_semi").join(can.select("word", "part", "kind"), ["part", "kind"])
-                         .select("q", "frag", "n_frag", "n", "place", "word"))
-    rare = cut_lineage(starts.select("word").distinct())
+    anchors = cut_lineage(anchors.join(live, "q", "left_semi"))
+    starts = cut_lineage(anchors.join(can.select("word", "part", "kind", F.col("n").alias("m")), ["part", "kind"])
+                         .select("q", "frag", "n_frag", "n", "place", "word", "m"))
     need = frags.where("n > 1").select("q", "frag", "place", F.col("word").alias("part"), "kind")
     beside = lambda step, tag: need.select("q", "frag", (F.col("place") - step).alias("place"), F.col("part").alias(f"{tag}_part"), F.col("kind").alias(f"{tag}_kind"))
-    per = (starts.join(can.select("word", F.col("n").alias("m")).distinct(), "word")
-           .join(beside(-1, "before"), ["q", "frag", "place"], "left").join(beside(1, "after"), ["q", "frag", "place"], "left"))
+    per = starts.join(beside(-1, "before"), ["q", "frag", "place"], "left").join(beside(1, "after"), ["q", "frag", "place"], "left")
     # A word of the text with the words beside it, so that three places of a fragment are checked where its rarest one is found.
-    spots = (texts.select("d", F.explode(tx.bound(F.col("_w"), _with_neighbours)).alias("_x")).select("d", "_x.*").where("word <> ''")
-             .join(rare, "word", "left_semi"))
+    spots = that_may_be_in(texts.select("d", F.explode(tx.bound(F.col("_w"), _with_neighbours)).alias("_x")).select("d", "_x.*").where("word <> ''"), starts, "word")
     fit = [F.coalesce(F.col(f"{tag}_part").isNull() | _fits(F.col(tag), F.col(f"{tag}_part"), F.col(f"{tag}_kind")), F.lit(False)) for tag in ("before", "after")]
     hits = cut_lineage(attach_per_key(spots, per, ["word"], "m").where(fit[0] & fit[1])
                        .select("q", "frag", "n_frag", "n", "place", "d", (F.col("p") - F.col("place")).alias("s")).where("s >= 0"))
@@ -102,8 +115,8 @@ def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_k
     short = F.col("place").between(F.col("n") - 2, 1)
     single, longer = hits.where(short).drop("place"), hits.where(~short)
     counting = cut_lineage((hits if gaps else longer).select("d").distinct())
-    index = cut_lineage(texts.join(counting, "d", "left_semi").select("d", F.posexplode("_w").alias("p", "word"))
-                        .join(cut_lineage(can.select("word").distinct()), "word", "left_semi").select("d", "p", "word"))
+    used = can if gaps else can.join(frags.join(anchors.where("n > 2"), "q", "left_semi").select(F.col("word").alias("part"), "kind").distinct(), ["part", "kind"], "left_semi")
+    index = cut_lineage(that_may_be_in(texts.join(counting, "d", "left_semi").select("d", F.posexplode("_w").alias("p", "word")), used, "word"))
     others = need.withColumnRenamed("place", "at")
     wanted = (longer.join(others, ["q", "frag"]).where("abs(at - place) > 1")
               .select("q", "frag", "n_frag", "n", "place", "d", "s", (F.col("s") + F.col("at")).alias("p"), "part", "kind"))
@@ -112,7 +125,7 @@ def locate(quotes: DataFrame, quote_key: str, quote: str, docs: DataFrame, doc_k
     whole = seen.groupBy("q", "frag", "n_frag", "n", "place", "d", "s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.col("n") - known).drop("k", "place")
     found = whole.unionByName(single)
     if not gaps:
-        return found.select("q", "d").distinct().select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
+        return found.select("q", "d").unionByName(read).distinct().select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
     return _follow(found, frags, index).select(F.col("q").alias(quote_key), F.col("d").alias(doc_key))
 
 
