@@ -47,6 +47,8 @@ BUCKETS = 64, 1 << 15
 PAIRS = 32
 #: Bits of a shingle by which all are counted.
 COUNT_BITS = 17
+#: Shingles of the sets whose keys one task sorts, about.
+SORTED = 1_200_000
 #: Texts whose sets a worker holds at once.
 SLICE = 500
 #: Shingles of a block of sets.
@@ -443,7 +445,7 @@ def similar_edges(members: DataFrame, similarity: float) -> DataFrame:
     return groups.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
 
 
-def met(keys: DataFrame) -> DataFrame:
+def met(keys: DataFrame, tasks: int | None = None) -> DataFrame:
     """``src, dst, star``: the pairs of sets ``s`` under each of ``bands``; of over ``PAIRS`` sets each with the least one (``star``)."""
     import pyarrow as pa
 
@@ -485,7 +487,7 @@ def met(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[differ]) for x in (src, dst, star)], names=["src", "dst", "star"])
 
     # The rows of a key are a sorted stream, so they are shuffled once and at most ``PAIRS`` of a key are held.
-    return (keys.select(F.explode("bands").alias("slot"), "s").repartition("slot").sortWithinPartitions("slot", "s")
+    return (keys.select(F.explode("bands").alias("slot"), "s").repartition(*([tasks] if tasks else []), "slot").sortWithinPartitions("slot", "s")
             .mapInArrow(run, "src long, dst long, star boolean").distinct())
 
 
@@ -504,10 +506,11 @@ def that_may_be_similar(pairs: DataFrame, per: DataFrame, similarity: float) ->
     return both.select("src", "dst", "n0", "odd0", "n1", "odd1").mapInArrow(run, "src long, dst long")
 
 
-def candidate_clusters(per: DataFrame, keys: DataFrame, similarity: float | None = None) -> DataFrame:
+def candidate_clusters(per: DataFrame, keys: DataFrame, similarity: float | None = None, tasks: int | None = None) -> DataFrame:
     """``s, cluster, blocks``: sets ``s`` (of size ``n`` in ``per``) that are connected by common ``bands`` in ``keys``, and how many blocks their
-    cluster has. ``keys`` may hold a set repeatedly. With a ``similarity``, pairs that ``odd`` in ``per`` proves to be apart do not count."""
-    edges = cut_lineage(met(keys))
+    cluster has. ``keys`` may hold a set repeatedly. With a ``similarity``, pairs that ``odd`` in ``per`` proves to be apart do not count.
+    ``tasks`` sort the keys (otherwise as many as Spark is set to)."""
+    edges = cut_lineage(met(keys, tasks))
     if similarity is not None:
         edges = cut_lineage(edges.where("star").select("src", "dst").unionByName(that_may_be_similar(edges.where("NOT star"), per, similarity)))
     nodes = cut_lineage(connected_components(edges).select(F.col("node").alias("s"), F.col("component").alias("cluster")).join(per.select("s", "n"), "s"))
@@ -526,7 +529,8 @@ def similar_classes(rows: DataFrame, similarity: float, shingle: int) -> DataFra
     table = seen.where("n IS NULL").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
     counts[table.column("a").to_numpy()] = table.column("b").to_numpy()
     per = cut_lineage(every.groupBy("s").agg(F.min(F.struct("a", "b")).alias("r"), F.first("n").alias("n"), F.first("odd").alias("odd")))
-    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(candidate_clusters(per, filed(rows, shingle, similarity, Shared(rows.sparkSession, counts)), similarity), "s"))
+    clusters = candidate_clusters(per, filed(rows, shingle, similarity, Shared(rows.sparkSession, counts)), similarity, -(-int(counts.sum()) // SORTED))
+    chosen = cut_lineage(per.select("s", "r.a", "r.b").join(clusters, "s"))
 
     def run(batches):
         for batch in _slices(batches):
